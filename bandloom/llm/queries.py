@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, nearest, packing, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, licenses, minhash, nearest, packing, personal_data, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
@@ -40,12 +44,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op10_toxicity)
+    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op4_decontamination, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op9_personal_data, op10_toxicity)
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_oracle()}
