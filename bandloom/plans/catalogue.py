@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+from . import pyramids  # noqa: E402,F401
+from .registry import ORACLES, QUERIES  # noqa: E402,F401
