@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 
-from . import pyramids  # noqa: E402,F401
+from . import pyramids, stores  # noqa: E402,F401
 from .registry import ORACLES, QUERIES  # noqa: E402,F401
