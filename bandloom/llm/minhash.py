@@ -4,13 +4,15 @@
    minima of the set, and 32 band keys of four minima each. At a similarity of 0.75 a pair
    misses every band once in 200,000 pairs, above it more rarely still.
 2. Equal sets are one class; its smallest document stands for it from here on.
-3. Each band bucket links its members to its smallest one (a star, not all pairs). A
-   document first tries the two centres that it shares most buckets with.
+3. Each band bucket has a centre, the member that shares most with others, and links the
+   rest to it (a star, not all pairs). A document tries the two centres that it meets most.
 4. Pairs pass the comparison of signatures, then that of full sets.
-5. Components of the confirmed links come from alternating stars. Buckets whose members
-   still lie in several components then give every pair across these: small buckets by a
-   join, large ones block against block inside tasks, which emit only what signatures allow.
-   So no link between different texts is lost, and copies are never expanded into pairs.
+5. Components of the confirmed links come from alternating stars. Where a bucket's members
+   still lie in several components, what is left of its pairs is tried: each document with
+   the components that it meets, and documents that are alone with each other. Small sides
+   are joined; large ones are compared block against block on full sets inside tasks, which
+   emit a spanning forest of the links found. So no two texts that links connect come apart,
+   and copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ HASHES = BANDS * ROWS
 NUMERATOR, DENOMINATOR = 75, 100
 #: Equal minima below which a pair of similarity 0.75 falls once in ten thousand million pairs.
 LEAST_EQUAL = 64
-#: Centres that a document tries first; members up to which a bucket is joined with itself;
-#: members of a block of larger buckets; pairs of one centre that go together.
+#: Centres that a document tries first; size up to which a bucket or component is joined;
+#: members of a block of larger ones; pairs of one centre that go together.
 FIRST_CENTRES, SMALL_BUCKET, BLOCK, TOGETHER = 2, 64, 512, 1_000
 
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
@@ -142,17 +144,15 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough.
 
-    ``reps(node, signature)``; ``rows(node, text)``. The sets of a centre's partners go to
+    ``reps(node, signature)``; ``sets(node, items)``. The sets of a centre's partners go to
     the centre's set, a centre with many partners to several places.
     """
     side = lambda name: reps.select(F.col("node").alias(name), F.col("signature").alias(f"signature_{name}"))
     signed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b")
     likely = written(signed.mapInArrow(_alike, "a long, b long"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(rows.join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"))
     many = likely.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("places"))
     dealt = likely.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")).join(sets, F.col("a") == F.col("node")).select("a", "place", F.col("items").alias("x"))
@@ -175,52 +175,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     reps = written(full.join(classes, "digest").filter("doc_id = node").groupBy("node", "digest").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")))
     members = reps.select("node", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(members.join(centres, "bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(members.join(sizes, "bucket"))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     # a row for each document and centre, at most BANDS for a document
-    tries = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
+    tries = shared.join(centres, "bucket").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
     order = W.partitionBy("node").orderBy(F.desc("times"), "centre")
     pairs = written(tries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIRST_CENTRES).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    links = confirmed(pairs, reps, rows)
+    sets = written(rows.join(weights.select("node"), "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"))
+    links = confirmed(pairs, reps, sets)
     of = components(links)
-    rest = _across(shared, of, reps).join(pairs, ["a", "b"], "left_anti")
-    rest = written(rest)
-    if not rest.isEmpty():
-        more = confirmed(rest, reps, rows)
-        if not more.isEmpty():
-            of = components(links.unionByName(more))
+    more = _across(shared, of, pairs, reps, sets)
+    if not more.isEmpty():
+        of = components(links.unionByName(more))
+    # equal sets are one class, by digest
     component = reps.join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     empty = signed.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = full.select("doc_id", "n_shingles", "digest").join(component, "digest").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _across(shared: DataFrame, of: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, that share a bucket and not a component."""
-    placed = shared.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    left = written(placed.join(mixed.select("bucket", "n"), "bucket"))
-    small = left.filter(F.col("n") <= SMALL_BUCKET)
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    out = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = left.filter(F.col("n") > SMALL_BUCKET)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        large.join(reps.select("node", "signature"), "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature")
-    )
-    out = out.unionByName(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long"))
-    return out.distinct()
-
-
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-    x, y = rows[rows["own"] == i], rows[rows["own"] == j]
-    lanes = lambda part: np.frombuffer(b"".join(part["signature"]), np.uint16).reshape(-1, HASHES)
-    sx, sy, cx, cy, nx, ny = lanes(x), lanes(y), x["component"].to_numpy(), y["component"].to_numpy(), x["node"].to_numpy(), y["node"].to_numpy()
-    found = []
-    for k in range(len(x)):
-        near = np.flatnonzero(((sy == sx[k]).sum(1) >= LEAST_EQUAL) & (cy != cx[k]) & (ny != nx[k]))
-        found += [(min(nx[k], ny[m]), max(nx[k], ny[m])) for m in near]
+def _across(shared: DataFrame, of: DataFrame, tried: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between documents that share a bucket and not a component."""
+    placed = shared.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    left = written(placed.join(mixed, "bucket"))
+    # documents and the components that they meet; of two components one asks the other
+    targets = left.filter("not alone").select("bucket", F.col("component").alias("target")).distinct()
+    asks = written(left.join(targets, "bucket").filter("component <> target and (alone or component > target)").select("node", "target").distinct())
+    inside = of.select(F.col("component").alias("target"), F.col("node").alias("member")).join(asks.select("target").distinct(), "target", "left_semi")
+    extent = written(inside.groupBy("target").agg(F.count("*").alias("n")).join(asks.groupBy("target").agg(F.count("*").alias("m")), "target"))
+    few = asks.join(extent.filter(F.col("n") <= SMALL_BUCKET).select("target"), "target").join(inside, "target").select(F.col("node").alias("a"), F.col("member").alias("b"))
+    # documents that are alone, bucket by bucket
+    lonely = left.filter("alone").select("bucket", "node")
+    counts = lonely.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    lonely = written(lonely.join(counts, "bucket"))
+    small = lonely.filter(F.col("n") <= SMALL_BUCKET)
+    both = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")))
+    few = few.unionByName(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
+    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = written(few.join(done, ["a", "b"], "left_anti"))
+    found = confirmed(rest, reps, sets)
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
+    large = extent.filter(F.col("n") > SMALL_BUCKET).select("target", parts("n").alias("ns"), parts("m").alias("ms"))
+    x = inside.join(large, "target").select(F.col("target").alias("group"), deal("member", "ns").alias("i"), each("ms").alias("j"), F.col("member").alias("node"))
+    y = asks.join(large, "target").select(F.col("target").alias("group"), each("ns").alias("i"), deal("node", "ms").alias("j"), "node")
+    crowded = lonely.filter(F.col("n") > SMALL_BUCKET).select("bucket", "node", parts("n").alias("ns"))
+    x = x.unionByName(crowded.select(F.col("bucket").alias("group"), deal("node", "ns").alias("i"), each("ns").alias("j"), "node").filter("i <= j"))
+    y = y.unionByName(crowded.select(F.col("bucket").alias("group"), each("ns").alias("i"), deal("node", "ns").alias("j"), "node").filter("i <= j"))
+    key = ["group", "i", "j"]
+    full = lambda side: side.join(sets, "node").select(*[F.col(c).alias(c) for c in (*key, "node", "items")]).groupBy(key)
+    return found.unionByName(written(full(x).cogroup(full(y)).applyInPandas(_block_links, "a long, b long")))
+
+
+def _block_links(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """Links between rows of ``x`` and ``y`` that are similar enough: of those, a spanning forest."""
+    found, root = [], {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    if len(x) and len(y):
+        sizes = np.array([len(v) for v in x["items"]])
+        names, items = x["node"].to_numpy(), np.concatenate(x["items"].to_list())
+        known, where = np.unique(items, return_inverse=True)
+        starts = np.cumsum([0, *sizes[:-1]])
+        for node, own in zip(y["node"], y["items"], strict=True):
+            own = np.asarray(own)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            mark = np.zeros(len(known), np.int32)
+            mark[at[known[at] == own]] = 1
+            shared = np.add.reduceat(mark[where], starts)
+            for k in np.flatnonzero((shared * DENOMINATOR >= (sizes + len(own) - shared) * NUMERATOR) & (names != node)):
+                a, b = find(("x", names[k])), find(("y", node))
+                if a != b:
+                    root[a] = b
+                    found.append((node, names[k]))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
