@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 
-from . import pyramids, signals, sources, stores, windows  # noqa: E402,F401
+from . import pyramids, signals, sources, stores, streams, windows  # noqa: E402,F401
 from .registry import ORACLES, QUERIES  # noqa: E402,F401
