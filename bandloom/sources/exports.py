@@ -47,5 +47,5 @@ def parse_exports(contents: DataFrame, lead: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_exports(spark: SparkSession, path: str, lead: tuple[str, ...] = ()) -> DataFrame:
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     return parse_exports(rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content")), lead)
