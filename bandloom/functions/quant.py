@@ -67,7 +67,7 @@ def colour_index(value: Column, vmin: Column, vmax: Column) -> Column:
 
 def epoch_seconds(stamp: Column) -> Column:
     """Seconds since 1970 of an ISO time (blank or T, Z or an offset; without one: UTC); null if it is none."""
-    text = F.regexp_replace(F.trim(stamp), r"([+-][0-9]{2})$", "$1:00")
+    text = F.regexp_replace(F.trim(stamp), r"(:[0-9]{2}(?:\.[0-9]+)?)([+-][0-9]{2})$", "$1$2:00")
     return F.unix_micros(F.try_to_timestamp(text)) / F.lit(1e6)
 
 
