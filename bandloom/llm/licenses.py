@@ -109,7 +109,7 @@ def scan_oracle(known_texts: list[tuple[str, str]] | None = None) -> str:
     q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '(^|\n)[ \t]*(copyright|\(c\)|all rights reserved)[^\n]*', '\1', 'g')"
+        out = rf"regexp_replace(lower({x}), '(^|\n)[ \t]*(copyright|\(c\)|all rights reserved)[^\n]*', '\1', 'g')"
         out = f"' ' || regexp_replace({out}, '[^a-z0-9]+', ' ', 'g') || ' '"
         for other, usual in SPELLINGS:
             out = f"replace({out}, ' {other} ', ' {usual} ')"

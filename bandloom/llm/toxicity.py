@@ -2,7 +2,7 @@
 
 Confirmed toxic documents are the positives; a sample of all documents, their labels
 unseen, is the unlabelled side. A linear model over the words that tell the two apart is
-fitted with the risk ``pi * R+(g) + max(0, R-u(g) - pi * R-p(g))``: the negative risk is
+fitted (beginnings of words count as words) with the risk ``pi * R+(g) + max(0, R-u(g) - pi * R-p(g))``: the negative risk is
 that of the unlabelled text less the share ``pi`` that is toxic, and when a step would
 drive it below zero, that step goes back instead. ``pi`` comes from the labelled rows of
 the training fold. Texts are scored where they lie, in whole.
@@ -10,6 +10,8 @@ the training fold. Texts are scored where they lie, in whole.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +33,37 @@ def words_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """The word itself, and its beginnings, marked as such: inflected and compound forms share them."""
+    return [word, *(b"<" + word[:n] for n in (5, 6, 7) if len(word) > n)]
+
+
+class _Found(dict):
+    """The features of a word that the model weighs."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        super().__init__()
+        self._weights = weights
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) > 1_000_000:
+            self.clear()
+        found = self[word] = tuple(f for f in features_of(word) if f in self._weights)
+        return found
+
+
 class Lexicon:
-    """Linear score over the distinct words of a text."""
+    """Linear score over the distinct words of a text and their beginnings."""
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
+        self._found = _Found(weights)
+
+    def __reduce__(self):
+        return Lexicon, (self.weights, self.bias)
 
     def score(self, text: str) -> float:
-        found = self.weights.keys() & words_of(text)
+        found = {f for some in filter(None, map(self._found.__getitem__, words_of(text))) for f in some}
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[w] for w in sorted(found)), -30, 30))))
 
 
@@ -52,7 +77,7 @@ def fit_nnpu(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: fl
     index = {w: i for i, w in enumerate(words)}
 
     def rows(docs):
-        ids = [np.fromiter((index[w] for w in d if w in index), np.int64) for d in docs]
+        ids = [np.array(sorted({index[f] for w in d for f in features_of(w) if f in index}), np.int64) for d in docs]
         return np.repeat(np.arange(len(docs)), [len(x) for x in ids]), np.concatenate([*ids, np.empty(0, np.int64)])
 
     (p_row, p_word), (u_row, u_word) = rows(positive), rows(unlabelled)
@@ -85,8 +110,8 @@ def _telling(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> list[b
     counts: dict[bytes, list[int]] = {}
     for side, docs in enumerate((positive, unlabelled)):
         for d in docs:
-            for w in d:
-                counts.setdefault(w, [0, 0])[side] += 1
+            for f in {f for w in d for f in features_of(w)}:
+                counts.setdefault(f, [0, 0])[side] += 1
     rows = [(w, a, b) for w, (a, b) in counts.items() if a + b >= 4]
     if not rows:
         return []
@@ -119,12 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # at most MAX_POSITIVE + MAX_UNLABELLED rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     words = rows.select("sides", "text").mapInArrow(_words, "sides array<int>, words binary")
-    sides = ([], [])
+    sides: tuple[list, list] = ([], [])
+    pool: dict[bytes, bytes] = {}
     for row in words.toLocalIterator():
-        found = set(bytes(row["words"]).split(b" ")) - {b""}
+        found = {pool.setdefault(w, w) for w in bytes(row["words"]).split(b" ") if w}
         for side in row["sides"]:
-            sides[side].append((sorted(found), found))
-    ordered = [[d for _, d in sorted(side, key=lambda x: x[0])] for side in sides]
+            sides[side].append((hashlib.sha256(b" ".join(sorted(found))).digest(), found))
+    ordered = [[d for _, d in sorted(side, key=lambda x: x[0])] for side in sides]  # the same model in whatever order rows come
     return fit_nnpu(*ordered, prior)
 
 
