@@ -76,12 +76,20 @@ def column_of(t: Column, t0: Column, t1: Column, cols: int) -> Column:
     return F.least(F.lit(cols - 1), F.greatest(F.lit(0), ((t - t0) / span * cols).cast("int")))
 
 
-def to_grid(captures: DataFrame, windows: DataFrame, cols: int, by: Sequence[str], vector: str) -> DataFrame:
-    """Captures of each window ``(window_id, ..by, t0, t1)`` max-pooled to its columns: window_id, col, smax, n.
+def within(rows: DataFrame, windows: DataFrame, by: Sequence[str], before: int = 0) -> DataFrame:
+    """Rows ``(..by, t)`` with the windows ``(window_id, ..by, t0, t1)`` that hold them, or that begin up to ``before`` seconds later.
 
-    Windows are a request: few rows, sent to the captures where their size allows.
+    Both sides meet by day, so that neither a key's rows nor its windows gather in one place.
     """
-    inside = captures.join(windows, list(by)).filter("t >= t0 and t < t1").withColumn("col", column_of(F.col("t"), F.col("t0"), F.col("t1"), cols))
+    days = F.sequence(F.floor((F.col("t0") - before) / BUCKETS[-1]), F.floor(F.greatest("t0", "t1") / BUCKETS[-1]))
+    asked = windows.withColumn("_day", F.explode(days))
+    dated = rows.withColumn("_day", F.floor(F.col("t") / BUCKETS[-1]))
+    return dated.join(asked, [*by, "_day"]).filter((F.col("t") >= F.col("t0") - before) & (F.col("t") < F.col("t1"))).drop("_day")
+
+
+def to_grid(captures: DataFrame, windows: DataFrame, cols: int, by: Sequence[str], vector: str) -> DataFrame:
+    """Captures of each window ``(window_id, ..by, t0, t1)`` max-pooled to its columns: window_id, col, smax, n."""
+    inside = within(captures, windows, by).withColumn("col", column_of(F.col("t"), F.col("t0"), F.col("t1"), cols))
     pooled = vector_max(inside, ["window_id", "col"], vector)
     return pooled.join(inside.groupBy("window_id", "col").agg(F.count("*").alias("n")), ["window_id", "col"])
 
@@ -91,9 +99,9 @@ def levels_to_grid(level: DataFrame, windows: DataFrame, cols: int, bucket: int,
     width = (F.col("t1") - F.col("t0")) / cols
     low = F.floor((F.col("t") - F.col("t0")) / width)
     high = F.floor((F.col("t") + F.lit(bucket - 1e-9) - F.col("t0")) / width)
-    near = level.join(windows, list(by)).filter((F.col("t") >= F.col("t0") - bucket) & (F.col("t") < F.col("t1")))
-    placed = near.withColumn("col", F.explode(F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), F.least(F.lit(cols - 1), high))))).withColumn("col", F.col("col").cast("int"))
-    return vector_max(placed.filter((F.col("t") + bucket > F.col("t0"))), ["window_id", "col"], "smax")
+    near = within(level, windows, by, before=bucket).filter(F.col("t") + bucket > F.col("t0"))
+    columns = F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), F.least(F.lit(cols - 1), high)))
+    return vector_max(near.withColumn("col", F.explode(columns)).withColumn("col", F.col("col").cast("int")), ["window_id", "col"], "smax")
 
 
 def pool_rows(vector: Column, n: int, h: int) -> Column:
@@ -114,9 +122,44 @@ def hold(grid: DataFrame, windows: DataFrame, cols: int, value: str) -> DataFram
 
 
 def as_of(captures: DataFrame, windows: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
-    """For each window the last capture before its end, else the first ever: window_id, t, vector."""
-    joined = captures.join(windows, list(by))
-    before = F.max_by(F.struct("t", vector), F.when(F.col("t") < F.col("t1"), F.col("t")))
-    found = joined.groupBy("window_id").agg(before.alias("b"), F.min_by(F.struct("t", vector), "t").alias("a"), F.max(F.col("t") < F.col("t1")).alias("any"))
-    chosen = F.when(F.col("any"), F.col("b")).otherwise(F.col("a"))
+    """For each window the last capture before its end, else the first ever: window_id, t, vector.
+
+    The capture is of the end's own day, or the last of an earlier day, of which a row a day is kept.
+    """
+    one = F.struct("t", vector)
+    dated = captures.withColumn("_day", F.floor(F.col("t") / BUCKETS[-1]))
+    asked = windows.withColumn("_day", F.floor(F.col("t1") / BUCKETS[-1]))
+    same = dated.join(asked.select("window_id", *by, "t1", "_day"), [*by, "_day"]).filter("t < t1").groupBy("window_id").agg(F.max_by(one, "t").alias("same"))
+    last = dated.groupBy(*by, "_day").agg(F.max_by(one, "t").alias("one"), F.min_by(one, "t").alias("early"))
+    first = last.groupBy(*by).agg(F.min_by("early", "_day").alias("first"))
+    older = asked.select("window_id", *by, F.col("_day").alias("_end")).join(last, list(by)).filter("_day < _end").groupBy("window_id").agg(F.max_by("one", "_day").alias("older"))
+    found = asked.join(first, list(by)).join(same, "window_id", "left").join(older, "window_id", "left")
+    chosen = F.coalesce("same", "older", "first")
     return found.select("window_id", chosen["t"].alias("t"), chosen[vector].alias(vector))
+
+
+def numbered(rows: DataFrame, by: Sequence[str], *ties: str) -> DataFrame:
+    """``rows`` with ``k``, their place in the order of ``t`` within ``by``, from 0.
+
+    A place is the count of the days before and the place within the day, so that no key is
+    sorted in one task.
+    """
+    day = F.floor(F.col("t") / BUCKETS[-1])
+    counts = rows.groupBy(*by, day.alias("_d")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_d").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.withColumn("_o", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy(*by, "_d").orderBy("t", *ties)) - 1
+    return rows.withColumn("_d", day).withColumn("_r", own).join(offsets, [*by, "_d"]).withColumn("k", F.col("_o") + F.col("_r")).drop("_d", "_r", "_o")
+
+
+def previous(rows: DataFrame, by: Sequence[str], order: str, value: str, width: int) -> DataFrame:
+    """``rows`` with ``p``, the ``value`` of the row before in ``order`` within ``by``.
+
+    Rows are taken in stretches of ``width`` of the order; the first of a stretch gets the last of
+    the stretch before.
+    """
+    cut = rows.withColumn("_s", F.floor(F.col(order) / width))
+    last = cut.groupBy(*by, "_s").agg(F.max_by(value, order).alias("_v"))
+    carried = last.withColumn("_c", F.lag("_v").over(W.partitionBy(*by).orderBy("_s"))).drop("_v")
+    own = F.lag(value).over(W.partitionBy(*by, "_s").orderBy(order))
+    return cut.withColumn("_p", own).join(carried, [*by, "_s"]).withColumn("p", F.coalesce("_p", "_c")).drop("_s", "_p", "_c")

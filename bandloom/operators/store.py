@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.quant import Geometry
+from .pyramid import numbered
 
 DAY = 86_400
 
@@ -75,18 +76,9 @@ def merge_units(source: DataFrame, target: DataFrame, key: str) -> tuple[DataFra
 
 
 def pack(captures: DataFrame, by: Sequence[str], size: int, vector: str) -> DataFrame:
-    """Chunks of ``size`` consecutive captures: by, chunk, t0, t1, n, caps.
-
-    The place of a capture follows from counts by day and its place within the day, so that no
-    key's captures are sorted in one task.
-    """
-    day = F.floor(F.col("t") / DAY)
-    counts = captures.groupBy(*by, day.alias("_d")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_d").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.withColumn("_o", F.coalesce(before, F.lit(0))).drop("_n")
-    own = F.row_number().over(W.partitionBy(*by, "_d").orderBy("t")) - 1
-    placed = captures.withColumn("_d", day).withColumn("_r", own).join(offsets, [*by, "_d"])
-    chunk = F.floor((F.col("_o") + F.col("_r")) / size).cast("long")
+    """Chunks of ``size`` consecutive captures: by, chunk, t0, t1, n, caps."""
+    placed = numbered(captures, by)
+    chunk = F.floor(F.col("k") / size).cast("long")
     caps = F.sort_array(F.collect_list(F.struct("t", vector)))
     return placed.groupBy(*by, chunk.alias("chunk")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"), caps.alias("caps"))
 

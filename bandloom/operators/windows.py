@@ -101,8 +101,8 @@ def spectrum_window(captures: DataFrame, windows: DataFrame, cols: int, h: int,
     the captures; pooled to columns; where a window is empty the capture before it; gaps held;
     bins pooled to at most ``h`` rows; decoded. All windows are one job.
     """
-    inside = windows.join(captures.select(*by, "t"), list(by), "left").groupBy("window_id").agg(F.count(F.when((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), 1)).alias("ncap"))
-    chosen = windows.join(inside, "window_id").withColumn("level", psd_level_of(F.col("t1") - F.col("t0"), F.lit(cols), F.col("ncap"), sorted(levels or {})))
+    inside = P.within(captures.select(*by, "t"), windows, by).groupBy("window_id").agg(F.count("*").alias("ncap"))
+    chosen = windows.join(inside, "window_id", "left").fillna(0, "ncap").withColumn("level", psd_level_of(F.col("t1") - F.col("t0"), F.lit(cols), F.col("ncap"), sorted(levels or {})))
     plain = chosen.filter("level is null")
     grid = P.to_grid(captures, plain.drop("level", "ncap"), cols, by, "spec").select("window_id", "col", "smax")
     for bucket, level in (levels or {}).items():

@@ -167,9 +167,10 @@ def window_count(spark, sf_dir):
 s AS (SELECT *, CASE WHEN n > 400 THEN CAST(ceil(n / 400.0) AS BIGINT) ELSE 1 END AS stride FROM n) SELECT sensor, stride, round(t, 6) AS t, freq, round(mx, 6) AS mx FROM s WHERE k % stride = 0""", "v_summary"))
 def stride_thin(spark, sf_dir):
     """Every Nth row in time order, so that at most 400 a sensor are left: an explicit opt-in."""
-    own = W.partitionBy("sensor")
-    rows = V.summary(spark, sf_dir).withColumn("k", F.row_number().over(own.orderBy("t", "freq", "mx")) - 1).withColumn("n", F.count("*").over(own))
-    rows = rows.withColumn("stride", F.when(F.col("n") > 400, F.ceil(F.col("n") / 400)).otherwise(1).cast("long"))
+    rows = V.summary(spark, sf_dir)
+    sizes = rows.groupBy("sensor").agg(F.count("*").alias("n"))
+    stride = F.when(F.col("n") > 400, F.ceil(F.col("n") / 400)).otherwise(1).cast("long")
+    rows = P.numbered(rows, ["sensor"], "freq", "mx").join(sizes, "sensor").withColumn("stride", stride)
     return rows.filter(F.col("k") % F.col("stride") == 0).select("sensor", "stride", F.round("t", 6).alias("t"), "freq", F.round("mx", 6).alias("mx"))
 
 
@@ -189,8 +190,7 @@ def spread_probe(spark, sf_dir):
 def order_check(spark, sf_dir):
     """Captures that do not follow their predecessor in the file's order."""
     e = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("sensor"), V.epoch(F.col("ts")).alias("t"), "event_id")
-    before = F.lag("t").over(W.partitionBy("sensor").orderBy("event_id"))
-    return e.withColumn("p", before).groupBy("sensor").agg(F.count("*").alias("n"), F.count(F.when(F.col("t") <= F.col("p"), 1)).alias("out_of_order"))
+    return P.previous(e, ["sensor"], "event_id", "t", 100_000).groupBy("sensor").agg(F.count("*").alias("n"), F.count(F.when(F.col("t") <= F.col("p"), 1)).alias("out_of_order"))
 
 
 @query(sql(f"SELECT {code.__name__!r} AS kind, sensor, t, unnest(range(0, 64)) AS pos, unnest(spec) AS q FROM ({CODES})", "v_psd"))
