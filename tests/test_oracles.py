@@ -1,11 +1,13 @@
 """Every query against its SQL, and every query for its rows."""
 
+import os
+
 import duckdb
 import pytest
 
 from bandloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
