@@ -26,7 +26,7 @@ END_ID = 1
 #: Pieces (later: bins) that one task packs at once.
 GROUP = 4096
 
-PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -36,7 +36,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gr
     any others. Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_cut(tokenizer, capacity), PIECES))
+    pieces = written(rows.mapInArrow(_cut(tokenizer, capacity), PIECES).withColumn("row", F.monotonically_increasing_id()))
     return pack(pieces, capacity, group).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -47,25 +47,25 @@ def _cut(tokenizer: str, capacity: int):
         encoder = word_level_ids(tokenizer)
         for batch in batches:
             out = []
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encoder.ids(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((row, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` (a stored table with a unique ``row, piece`` and a ``length`` of 1 to ``capacity``)
+    """``pieces`` (a stored table with a unique ``row`` and a ``length`` of 1 to ``capacity``)
     with ``sequence_id`` (even for bins, odd for pieces that fill a sequence alone) and ``offset``."""
     loose = pieces.filter(F.col("length") < capacity)
     packed = written(
-        _dealt(loose.select("row", "piece", "length"), loose.count(), group, "row", "piece")
-        .applyInPandas(_packer(capacity, ["row", "piece"]), "row long, piece int, bin long, offset long, fill long")
+        _dealt(loose.select("row", "length"), loose.count(), group, "row")
+        .applyInPandas(_packer(capacity, ["row"]), "row long, bin long, offset long, fill long")
     )
     bins, moves, before = packed.filter("offset = 0").select("bin", "fill"), None, None
     while True:
@@ -78,14 +78,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         step = moved.select("bin", "first", F.col("offset").alias("shift"))
         moves = step if moves is None else _follow(moves, step)
         bins, before = moved.filter("offset = 0").select(F.col("first").alias("bin"), "fill"), left
-    placed = packed.select("row", "piece", "bin", "offset")
+    placed = packed.select("row", "bin", "offset")
     if moves is not None:
-        placed = placed.join(moves, "bin", "left").select("row", "piece", F.coalesce("first", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    placed = placed.select("row", "piece", (F.col("bin") * 2).alias("sequence_id"), "offset")
-    alone = 2 * (F.col("row") * (1 << 22) + F.col("piece")) + 1  # a row has at most 2**22 pieces, 17 billion tokens
+        placed = placed.join(moves, "bin", "left").select("row", F.coalesce("first", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    placed = placed.select("row", (F.col("bin") * 2).alias("sequence_id"), "offset")
     return (
-        pieces.join(placed, ["row", "piece"], "left")
-        .withColumn("sequence_id", F.coalesce("sequence_id", alone)).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+        pieces.join(placed, "row", "left")
+        .withColumn("sequence_id", F.coalesce("sequence_id", F.col("row") * 2 + 1)).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
     )
 
 
