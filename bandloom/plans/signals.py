@@ -152,9 +152,9 @@ def recon_ties(spark, sf_dir):
     return R.ties(R.cells(rows, stored), NARROW)
 
 
-@query()
+@query(sql(f"{CELL} SELECT sensor, stat, count(*) AS n_checked, count(*) FILTER (WHERE abs((CAST(v AS DECIMAL(18,9)) + 180) * 255 / 90 - q) > 0.500001) AS n_bad FROM b WHERE v BETWEEN -180 AND -90 AND (CAST(floor(t) AS BIGINT) * 31 + pos * 17) % 7 = 0 GROUP BY ALL", "v_psd_stat"))
 def recon_exact(spark, sf_dir):
-    """Decimal arithmetic on a hashed seventh of the cells, which is the feature."""
+    """Decimal arithmetic on a fixed seventh of the cells: the sample is the feature."""
     return R.exact(both(spark, sf_dir), NARROW)
 
 

@@ -14,10 +14,10 @@ from .registry import query
 
 
 def text_rows(spark, sf_dir):
-    """The summaries as the text of day files; in every 40th file a row is broken."""
+    """The summaries as the text of day files; in every fifth day's some rows are broken."""
     e = V.table(spark, sf_dir, "events")
     mx = F.lit(-100.0) + F.col("value") / 10
-    broken = (F.crc32(F.date_format("ts", "yyyy-MM-dd").cast("binary")) % 5 == 0) & (F.col("event_id") % 7 == 0)
+    broken = (F.dayofmonth("ts") % 5 == 0) & (F.col("event_id") % 7 == 0)
     return e.select(
         F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv")).alias("file"), F.col("event_type").alias("sensor_name"), (F.lit(3535) + 10 * (F.col("user_id") % 18)).cast("string").alias("channel_frequency_mhz"),
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00")).alias("timestamp"), F.when(broken, "n/a").otherwise(mx.cast("string")).alias("max"),
@@ -35,9 +35,9 @@ def summary_scan(spark, sf_dir):
     return ok.select("sensor", "freq", *[F.round(c, 6).alias(c) for c in ("t", "mx", "md", "mn")])
 
 
-@query()
+@query("SELECT strftime(ts, '%Y-%m-%d') || '.csv' AS file, count(*) AS rows, count(*) FILTER (WHERE event_id % 7 = 0) AS bad FROM events WHERE day(ts) % 5 = 0 GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 7 = 0) > 0")
 def summary_rejects(spark, sf_dir):
-    """Files with a broken row, reported; checked by tests on written files."""
+    """Files with a broken row, reported."""
     _, bad = X.parse_summaries(text_rows(spark, sf_dir))
     return bad
 
