@@ -9,7 +9,7 @@ def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_stages_take_effect(spark):
+def test_stages_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
@@ -26,7 +26,7 @@ def test_stages_take_effect(spark):
             want = docs
             assert all(r["spans"] == "" for r in personal_data.find(out).collect())
         assert ids(out) == ids(want), name
-        path = spark.sparkContext._jvm.java.nio.file.Files.createTempDirectory("spark-").toString() + "/t"
+        path = str(tmp_path / name)
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     rows = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
