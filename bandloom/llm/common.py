@@ -50,3 +50,10 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batches, rows: int = 1024):
+    """Arrow batches in slices, so that only a few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

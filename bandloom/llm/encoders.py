@@ -16,8 +16,8 @@ import numpy as np
 
 #: White space beyond plain blanks and line feeds; its runs are left to the library.
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Entries kept per worker (about 150 MB) before the cache starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries kept per worker (about 80 MB) before the cache starts anew.
+CACHE_ENTRIES = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -32,17 +32,27 @@ def _specials(library) -> list[str]:
     return [t.content for t in library.get_added_tokens_decoder().values()]
 
 
+#: A run of these after an ASCII letter or digit, at a stretch's end, is a pre-token of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Counts(dict):
     """Token count of ``prefix + key``."""
 
-    def __init__(self, library, prefix: str):
+    def __init__(self, library, prefix: str, marks: dict | None = None):
         super().__init__()
         self._library, self._prefix = library, prefix
+        self._marks = self if marks is None else marks
 
     def __missing__(self, key: str) -> int:
+        stem = key.rstrip(MARKS)
+        if stem and len(stem) < len(key) and stem[-1].isascii() and stem[-1].isalnum():
+            n = self[stem] + self._marks[key[len(stem) :]]
+        else:
+            n = len(self._library.encode(self._prefix + key, add_special_tokens=False).ids)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        n = self[key] = len(self._library.encode(self._prefix + key, add_special_tokens=False).ids)
+        self[key] = n
         return n
 
 
@@ -57,7 +67,8 @@ class ByteLevelCounter:
     def __init__(self, path: str):
         self.library = _library(path)
         self.specials = _specials(self.library)
-        self.first, self.rest = _Counts(self.library, ""), _Counts(self.library, " ")
+        self.first = _Counts(self.library, "")
+        self.rest = _Counts(self.library, " ", self.first)
         self.line_feed = len(self.library.encode("\n", add_special_tokens=False).ids)
 
     def plain(self, text: str) -> bool:
@@ -110,6 +121,9 @@ class ByteLevelCounter:
         return np.array(starts, np.int64), np.array([*new, len(words)], np.int64)
 
 
+_MARKS = MARKS.encode()
+
+
 class _Ids(dict):
     """Little-endian unsigned 32-bit ids of a stretch without ASCII white space."""
 
@@ -118,10 +132,14 @@ class _Ids(dict):
         self._library = library
 
     def __missing__(self, key: bytes) -> bytes:
+        stem = key.rstrip(_MARKS)
+        if stem and len(stem) < len(key) and stem[-1:].isalnum() and b"<|" not in key:  # no special token is cut
+            found = self[stem] + self[key[len(stem) :]]
+        else:
+            found = np.array(self._library.encode(key.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self._library.encode(key.decode("utf-8"), add_special_tokens=False).ids
-        found = self[key] = np.array(ids, "<u4").tobytes()
+        self[key] = found
         return found
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import sliced, written
 from .components import components
 
 WORDS = 5
@@ -46,13 +46,15 @@ _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _STEP = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words whose hash a worker keeps; workers live through several stages.
+CACHED_WORDS = 150_000
 #: Shingles that are hashed at once: a few fit the processor's caches.
 _AT_ONCE = 1 << 15
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -106,7 +108,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         m = minima([sets[i] for i in full]) if full else np.empty((HASHES, 0), np.uint64)
@@ -129,7 +131,7 @@ def _signed(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
         offsets = np.cumsum([0, *map(len, found)])
         yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .encoders import word_level_ids
 
 CAPACITY = 4096
@@ -45,7 +45,7 @@ def _cut(tokenizer: str, capacity: int):
 
     def run(batches):
         encoder = word_level_ids(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encoder.ids(text) + end

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_training_fold
+from .common import held_out, in_training_fold, sliced
 
 #: Bound of the labelled sample on which the classes are fitted.
 MAX_LABELLED = 20_000
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame):
 
 
 def _statistics(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics_of(t).tolist() for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["quality", "x"])
 
 
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([statistics_of(t) for t in batch.column(2).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(x), pa.float64())], ["doc_id", "held_out", "score"])
 

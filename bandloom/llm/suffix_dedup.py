@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import shuffle_parts, sliced, written
 
 DEPTH = 200
 GRAM = 50
@@ -117,7 +117,7 @@ def anchors(texts: list[bytes]):
 
 
 def _occurrences(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
         for owner, gram, digest, first, count in anchors(texts):
@@ -129,7 +129,7 @@ def _occurrences(batches):
 
 def _stretches(batches):
     """The bytes of the wanted stretches of each text."""
-    for batch in batches:
+    for batch in sliced(batches):
         out = {name: [] for name in ("anchor", "stretch", "times", "key", "first", "bytes")}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -229,8 +229,9 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """``key, first, last``: spans (they may overlap) that cover just the bytes of ``rows(key, text)``
     that lie in a DEPTH-byte string which also starts elsewhere."""
     spark = rows.sparkSession
-    occurrences = written(rows.select("key", "text").mapInArrow(_occurrences, "anchor long, stretch long, key long, place long"))
-    again = occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # found twice rather than stored: a second pass over the texts costs less than the table of all anchors
+    occurrences = rows.select("key", "text").mapInArrow(_occurrences, "anchor long, stretch long, key long, place long")
+    again = written(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     open_ = written(occurrences.join(again, "anchor"))
     one = F.struct("key", "place")
     distinct = written(open_.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), F.min(one).alias("one")))
@@ -265,7 +266,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for text, first, last in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for text, first, last in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
             raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0

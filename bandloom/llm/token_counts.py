@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import shuffle_parts, sliced, written
 from .encoders import byte_level_counter
 
 CHUNK = 32_768
@@ -46,7 +46,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int =
 def _whole(tokenizer: str):
     def run(batches):
         counter = byte_level_counter(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())],

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_training_fold
+from .common import held_out, in_training_fold, sliced
 
 #: Bounds of the sample on which the model is fitted; the driver holds its words.
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
@@ -25,6 +25,9 @@ MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
 MAX_WORDS = 4_096
 THRESHOLD = 0.5
 
+#: Words whose hash or features a worker keeps; workers live through several stages.
+CACHED_WORDS = 150_000
+
 #: ASCII letters go to lower case, other ASCII signs and white space to blanks.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -46,7 +49,7 @@ class _Found(dict):
         self._weights = weights
 
     def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        if len(self) > 1_000_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         found = self[word] = tuple(f for f in features_of(word) if f in self._weights)
         return found
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def _words(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["sides", "words"])
 
 
@@ -167,7 +170,7 @@ def score(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD) -> Data
 
 def _scored(model: Lexicon):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             scores = pa.array([model.score(t) for t in batch.column(2).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["doc_id", "held_out", "score"])
 
@@ -180,7 +183,7 @@ def remove_toxic(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD)
     place = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [model.score(t or "") < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
