@@ -16,8 +16,8 @@ import numpy as np
 
 #: White space beyond plain blanks and line feeds; its runs are left to the library.
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Entries kept per worker (about 80 MB) before the cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries kept per worker (about 160 MB) before the cache starts anew.
+CACHE_ENTRIES = 800_000
 
 
 @lru_cache(maxsize=4)
