@@ -1,14 +1,15 @@
 """Benchmark decontamination by edit distance.
 
-Texts and items are reduced to lower-case words with one blank between. In each document,
-windows of an item's size are placed where at least two of its seeds (three words in a row,
-or three of four) occur and agree, within the edits allowed, on where it starts. The CGK random walk turns a window into
-a string in which edit distance shows as Hamming distance: it copies the character it stands
-on and moves on or stays as a shared random function of step and character says. Samples of
-its positions are the LSH keys; walks and samples are repeated until, by a rehearsal on
-edited items, the target recall is met. Windows that share a key with an item are verified:
-the item's exact edit distance to the best stretch of the window's surroundings, by
-bit-parallel columns.
+Texts and items are reduced to lower-case words with one blank between. An item of m
+characters counts as found where a stretch of the text is within k = RATIO * m edits of it.
+It is cut into p pieces of q characters, with p > k. An edit touches one piece at most, so
+in any such stretch p - k pieces stand unchanged, each moved by the insertions and deletions
+before it, which are k together at most. So an item is looked at where p - k pieces agree,
+within k characters, on its start, and nowhere else; nothing is lost by that. There, the
+exact edit distance to the best stretch is taken, by bit-parallel columns.
+
+Pieces replace CGK walks and sampled keys, which lose some items by chance. Characters, not
+words, are cut, so scripts without blanks and items of a few letters are found alike.
 
 Items go in blocks of a bounded size, each of which is sent to all tasks and passes over the
 documents once. Nothing is shuffled.
@@ -16,11 +17,8 @@ documents once. Nothing is shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,56 +26,62 @@ from .common import written
 
 #: Largest share of an item's characters that may be edited.
 RATIO = 0.1
-TARGET = 0.97
-#: Sampled positions of a key; keys from one walk; walks at most.
-BITS, KEYS, MAX_WALKS = 6, 16, 24
-#: Steps after which a walk's moves repeat; characters of windows that are walked at once.
-PERIOD, CELLS = 4_096, 2_000_000
+#: Characters of a piece at most: they fit a word of 64 bits.
+PIECE = 8
+#: Pieces that should agree on a start, if pieces of LEAST_PIECE characters allow it.
+AGREE, LEAST_PIECE = 2, 6
 #: Items sent to the tasks at once (about 20 MB).
 ITEMS = 10_000
-#: Seeds that must agree on a window's place.
-VOTES = 2
+#: Characters that are searched at once, and places of pieces.
+CHARS, PLACES = 1 << 18, 1 << 21
+
 #: Items of fewer words take no part.
 LEAST_WORDS = 5
 
-#: Words whose hash or features a worker keeps; workers live through several stages.
-CACHED_WORDS = 150_000
-
-_ODD = np.random.Generator(np.random.PCG64(404)).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEEDS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _MAP_BITS = 22
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
 
+def _low(q: int) -> np.uint64:
+    return np.uint64((1 << 8 * q) - 1)
 
-_hashes = _Hashes()
 
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram * _ODD >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+def codes(raw: bytes) -> tuple[str, np.ndarray]:
+    """A reduced text and one byte for each of its characters; others than ASCII may share one."""
+    text = raw.decode("utf-8", "replace")
+    if raw.isascii():
+        return text, np.frombuffer(raw, np.uint8)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text, np.where(points < 128, points, 128 | (points ^ points >> np.uint32(7) ^ points >> np.uint32(14)) & 127).astype(np.uint8)
 
 
-def seeds(words: list[bytes]) -> list[np.ndarray]:
-    """For each kind of seed, its hashes at every word where it fits."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out = []
-    for k, places in enumerate(_SEEDS):
-        n = max(0, len(h) - places[-1])
-        total = np.full(n, k, np.uint64) * _ODD[3]
-        for p, odd in zip(places, _ODD, strict=False):
-            total = total + h[p : p + n] * odd
-        total ^= total >> np.uint64(31)
-        out.append(total * _ODD[4])
+def grams(chars: np.ndarray) -> np.ndarray:
+    """The PIECE characters from each on as one number, the first in its lowest byte; zeros follow the end."""
+    padded, out = np.zeros(-(-len(chars) // PIECE) * PIECE + PIECE, np.uint8), np.empty(len(chars), np.uint64)
+    padded[: len(chars)] = chars
+    for k in range(min(PIECE, len(chars))):
+        n = -(-(len(chars) - k) // PIECE)
+        out[k::PIECE] = padded[k : k + n * PIECE].view("<u8")
     return out
 
 
+def piece_size(m: int, most: int) -> int:
+    """Characters of a piece for an item of ``m`` characters, of which ``most`` may be edited."""
+    for q in range(min(m, PIECE), LEAST_PIECE - 1, -1):
+        if m // q - most >= AGREE:
+            return q
+    return next(q for q in range(min(m, PIECE), 0, -1) if m // q > most)
+
+
 def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int]:
     """Least edit distance of ``item`` to any stretch of ``text``, and that stretch's end; (most + 1, 0) if larger.
 
@@ -101,51 +105,6 @@ def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int]:
     return (best, end) if best <= most else (most + 1, 0)
 
 
-class Walks:
-    """CGK walks and the sampled positions of their keys, over byte strings."""
-
-    def __init__(self, n: int, longest: int, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        # a walk of twice a window's length has read nearly all of it; long walks repeat their moves
-        self.moves = rng.integers(0, 2, (n, min(2 * longest, PERIOD), 256), dtype=np.int8)
-        # positions as fractions of a walk of twice the window's length
-        self.samples = rng.random((n, KEYS, BITS))
-        self.odd = rng.integers(0, 1 << 63, (KEYS, BITS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, walk: int, strings: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """(strings, KEYS) keys; ``sizes``: lengths of the items whose windows the strings are.
-
-        Strings of like size are walked together, up to CELLS characters and steps.
-        """
-        out, order, at = np.empty((len(strings), KEYS), np.uint64), np.argsort(sizes, kind="stable"), 0
-        while at < len(order):
-            last = at + 1
-            while last < len(order) and (last + 1 - at) * int(sizes[order[last]]) <= CELLS:
-                last += 1
-            part = order[at:last]
-            out[part] = self._keys(walk, [strings[i] for i in part], sizes[part])
-            at = last
-        return out
-
-    def _keys(self, walk: int, strings: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        width = max(map(len, strings)) + 1
-        chars = np.zeros((len(strings), width), np.uint8)
-        for i, s in enumerate(strings):
-            chars[i, : len(s)] = np.frombuffer(s, np.uint8)
-        flat, base = chars.ravel(), np.arange(len(strings)) * width
-        at, moves = np.zeros(len(strings), np.int64), self.moves[walk]
-        copied = np.empty((2 * int(sizes.max()), len(strings)), np.uint8)
-        for step in range(len(copied)):
-            c = flat[base + at]
-            copied[step] = c
-            at += moves[step % len(moves)][c]
-            np.minimum(at, width - 1, out=at)
-        place = (self.samples[walk][None] * 2 * sizes[:, None, None]).astype(np.int64)  # strings, keys, bits
-        seen = copied[place, np.arange(len(strings))[:, None, None]].astype(np.uint64) + np.uint64(1)
-        key = (seen * self.odd).sum(2) * _ODD[5]
-        return (key ^ (key >> np.uint64(30))) * _ODD[6] + np.arange(KEYS, dtype=np.uint64) * _ODD[7]
-
-
 def edited(text: str, n: int, rng) -> str:
     out = list(text)
     for _ in range(n):
@@ -160,120 +119,120 @@ def edited(text: str, n: int, rng) -> str:
 
 
 class Items:
-    """A block of items with its seeds and LSH keys."""
+    """A block of items with their pieces."""
 
-    def __init__(self, rows: list[tuple[int, str]], ratio: float = RATIO, target: float = TARGET):
+    def __init__(self, rows: list[tuple[int, str]], ratio: float = RATIO):
         found = [(i, words_of(t)) for i, t in rows]
-        found = [(i, w) for i, w in found if len(w) >= LEAST_WORDS]
+        found = [(i, b" ".join(w)) for i, w in found if len(w) >= LEAST_WORDS]
+        found = [(i, r) for i, r in found if r]
         self.ids = [i for i, _ in found]
-        self.raw = [b" ".join(w) for _, w in found]
-        self.texts = [r.decode("utf-8", "replace") for r in self.raw]
-        self.sizes = np.array([len(r) for r in self.raw], np.int64)
-        self.most = [int(ratio * len(t)) for t in self.texts]
-        offsets = [np.cumsum([0, *(len(x) + 1 for x in w)]) for _, w in found]
-        hashes, owner, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, (_, w) in enumerate(found):
-            for s in seeds(w):
-                hashes.append(s)
-                owner.append(np.full(len(s), i))
-                place.append(offsets[i][: len(s)])
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        self.seeds, self.owner, self.place = h[order], np.concatenate(owner)[order], np.concatenate(place)[order]
-        self.map = np.zeros(1 << _MAP_BITS, bool)
-        self.map[(self.seeds >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
-        if found:
-            self._rehearse(target)
-
-    def _rehearse(self, target: float) -> None:
-        """As many walks as find items at the largest distance with the target recall."""
-        rng = np.random.default_rng(9)
-        chosen = rng.choice(len(self.ids), min(60, len(self.ids)), replace=False)
-        copies = [(i, edited(self.texts[i], self.most[i], rng).encode()) for i in chosen for _ in range(4)]
-        sizes = self.sizes[[i for i, _ in copies]]
-        self.walks = Walks(MAX_WALKS, int(self.sizes.max()))
-        self.tables, hit = [], np.zeros(len(copies), bool)
-        for walk in range(MAX_WALKS):
-            keys = self.walks.keys(walk, self.raw, self.sizes)
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.tables.append((keys.ravel()[order], np.repeat(np.arange(len(self.ids)), KEYS)[order]))
-            hit |= (self.walks.keys(walk, [c for _, c in copies], sizes) == keys[[i for i, _ in copies]]).any(1)
-            if hit.mean() >= target:
-                break
-        self.recall = float(hit.mean())
-        self.walks.moves = self.walks.moves[: len(self.tables)]
-
-    def windows(self, text: str):
-        """The reduced text and windows ``(start, item)`` in it."""
-        words = words_of(text)
-        if len(words) < 4 or not self.ids:
-            return b"", []
-        hits, at = [], []
-        for s in seeds(words):
-            maybe = np.flatnonzero(self.map[(s >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])
-            low, high = np.searchsorted(self.seeds, s[maybe], "left"), np.searchsorted(self.seeds, s[maybe], "right")
-            some = np.flatnonzero(high > low)
-            for k in some:
-                hits += range(low[k], high[k])
-                at += [maybe[k]] * int(high[k] - low[k])
-        if len(hits) < VOTES:
-            return b"", []
-        offsets = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=offsets[1:])
-        item, start = self.owner[hits], np.maximum(0, offsets[at] - self.place[hits])
-        # votes of an item for much the same start; the start with most of them stands for all
-        votes = Counter(zip(item.tolist(), start.tolist(), strict=True))
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for (i, o), n in votes.items():
-            by_item.setdefault(i, []).append((o, n))
-        raw, out = b" ".join(words), []
-        for i, starts in by_item.items():
-            starts.sort()
-            slack, k = 2 * self.most[i] + 8, 0
-            while k < len(starts):
-                last = k
-                while last + 1 < len(starts) and starts[last + 1][0] - starts[k][0] <= slack:
-                    last += 1
-                if sum(n for _, n in starts[k : last + 1]) >= VOTES:
-                    out.append((max(starts[k : last + 1], key=lambda x: (x[1], -x[0]))[0], i))
-                    k = last + 1
-                else:
-                    k += 1
-        return raw, sorted(out)
+        coded = [codes(r) for _, r in found]
+        self.texts = [t for t, _ in coded]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(ratio * len(t)) for t in self.texts], np.int64)
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.agree = np.zeros(len(found), np.int64)
+        for i, (_, chars) in enumerate(coded):
+            q = piece_size(len(chars), int(self.most[i]))
+            place = np.arange(len(chars) // q) * q
+            self.agree[i] = len(place) - self.most[i]
+            parts.setdefault(q, []).append((grams(chars)[place] & _low(q), np.full(len(place), i), place))
+        self.pieces = {}
+        for q, some in sorted(parts.items()):
+            gram, owner, place = map(np.concatenate, zip(*some, strict=True))
+            order = np.argsort(gram, kind="stable")
+            self.pieces[q] = gram[order], owner[order], place[order]
+        self.maps: dict[int, np.ndarray] = {}
+
+    def _map(self, q: int) -> np.ndarray:
+        """Marks of the pieces' hashes, made where it is used."""
+        if q not in self.maps:
+            self.maps[q] = np.zeros(1 << _MAP_BITS, bool)
+            self.maps[q][_slot(self.pieces[q][0])] = True
+        return self.maps[q]
+
+    def _windows(self, chars: np.ndarray, starts: np.ndarray):
+        """Stretches ``(text, item, from, to)`` of joined texts that may hold an item; ``starts``: where texts begin."""
+        most = self.sizes.max()
+        bins = int(len(chars) + most) + 2  # more than there are bins of a start
+        all_grams = grams(chars)
+        keys, counts = [], []
+        for q, (known, owner, place) in self.pieces.items():
+            seen = all_grams & _low(q) if q < PIECE else all_grams
+            at = np.flatnonzero(self._map(q)[_slot(seen)])
+            low, high = np.searchsorted(known, seen[at], "left"), np.searchsorted(known, seen[at], "right")
+            met = high > low
+            at, low, n = at[met], low[met], (high - low)[met]
+            total = np.cumsum(n)
+            first = 0
+            while first < len(at):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PLACES, "right")))
+                m = n[first:last]
+                k = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                where, item = np.repeat(at[first:last], m), owner[k]
+                text = np.searchsorted(starts, where, "right") - 1
+                start = where - starts[text] - place[k] + most
+                # of an item without edits one place in a text stands for all
+                bin_ = np.where(self.most[item] == 0, 0, start // (self.most[item] + 1))
+                key, count = np.unique((text * len(self.ids) + item) * bins + bin_, return_counts=True)
+                keys.append(key)
+                counts.append(count)
+                first = last
+        if not keys:
+            return
+        if len(keys) > 1:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        else:
+            key, count = keys[0], counts[0]
+        # the pieces that stand in a copy lie in one bin or in two neighbours
+        after = np.zeros(len(key), np.int64)
+        after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        some = np.flatnonzero(count + after >= self.agree[key // bins % len(self.ids)])
+        ends = np.append(starts[1:] - 1, len(chars))
+        for x in key[some].tolist():
+            x, bin_ = divmod(x, bins)
+            text, item = divmod(x, len(self.ids))
+            begin, end, k = int(starts[text]), int(ends[text]), int(self.most[item])
+            if k:
+                start = begin + bin_ * (k + 1) - int(most)
+                end = min(end, start + 2 * (k + 1) + int(self.sizes[item]) + 2 * k)
+                begin = max(begin, start - k)
+            yield text, item, begin, end
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """For each text its leaked items, as (item id, edit distance)."""
+        """For each text its leaked items, as (item id, least edit distance)."""
         out: list[dict[int, int]] = [{} for _ in texts]
-        raws, placed = [], []
-        for t, text in enumerate(texts):
-            raw, windows = self.windows(text)
-            raws.append(raw if windows else b"")
-            placed += [(t, start, i) for start, i in windows]
-        for first in range(0, len(placed), 4096):
-            part = placed[first : first + 4096]
-            strings = [raws[t][s : s + int(self.sizes[i])] for t, s, i in part]
-            sizes = self.sizes[[i for _, _, i in part]]
-            pairs = set()
-            for walk, (keys, owner) in enumerate(self.tables):
-                mine = self.walks.keys(walk, strings, sizes).ravel()
-                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                for k in np.flatnonzero(high > low):
-                    pairs.update((int(k) // KEYS, int(o)) for o in owner[low[k] : high[k]])
-            for k, i in sorted(pairs):
-                t, start, _ = part[k]
-                slack = 2 * self.most[i] + 8
-                around = raws[t][max(0, start - slack) : start + int(self.sizes[i]) + slack].decode("utf-8", "replace")
-                if out[t].get(self.ids[i], 1) == 0:
+        if not self.ids:
+            return [[] for _ in texts]
+        first = 0
+        while first < len(texts):
+            raws, size, last = [], 0, first
+            while last < len(texts) and size < CHARS:
+                raws.append(b" ".join(words_of(texts[last])))
+                size += len(raws[-1]) + 1
+                last += 1
+            joined, chars = codes(b"\0".join(raws))
+            starts = np.append(0, np.flatnonzero(chars == 0) + 1)
+            done: dict[tuple[int, int], int] = {}  # where the stretch tried last ended
+            for text, i, begin, end in self._windows(chars, starts):
+                found, most, item = out[first + text], int(self.most[i]), self.texts[i]
+                if found.get(self.ids[i], 1) == 0:
+                    continue
+                if done.get((text, i), -1) >= end:
                     continue
-                distance, _ = edit_distance_within(self.texts[i], around, self.most[i])
-                if distance <= self.most[i]:
-                    out[t][self.ids[i]] = min(distance, out[t].get(self.ids[i], distance))
+                done[text, i] = end
+                stretch = joined[begin:end]
+                distance = 0 if item in stretch else edit_distance_within(item, stretch, most)[0] if most else 1
+                if distance <= most:
+                    found[self.ids[i]] = min(distance, found.get(self.ids[i], distance))
+            first = last
         return [sorted(x.items()) for x in out]
 
 
 def blocks(benchmark: DataFrame, size: int = ITEMS) -> list[Items]:
-    """Items of ``benchmark(item_id, text)`` in blocks. Null ids and texts, and items of fewer
-    than LEAST_WORDS words, are left out; of a repeated id every text counts. One block is
+    """Items of ``benchmark(item_id, text)`` in blocks. Null ids and texts, and items without
+    a letter or digit, are left out; of a repeated id every text counts. One block is
     brought to the driver at a time, and only as long as its index is built."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     n = rows.count()

@@ -126,6 +126,19 @@ def test_leaks_reach_the_recall_and_are_exact(spark):
     assert decontaminate.leaks(df, bench.limit(0)).collect() == []
 
 
+def test_a_typo_in_every_second_word_hides_no_item():
+    items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall()
+    block, (foreign,) = decontaminate.Items(items), duckdb.connect().execute(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 300 AND 900 ORDER BY doc_id LIMIT 1").fetchone()
+    tried = 0
+    for i, item, most in zip(block.ids, block.texts, block.most, strict=True):
+        words = item.split(" ")
+        words[1::2] = [w[:-1] + ("z" if w[-1] != "z" else "y") for w in words[1::2]]
+        if len(words) // 2 <= most:
+            tried += 1
+            assert dict(block.leaks([f"{foreign} {' '.join(words)} {foreign}"])[0])[i] <= len(words) // 2
+    assert tried > 30
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"one two three four five six seven number{i} eight nine") for i in range(30)], "item_id long, text string")
     assert sorted(x for b in decontaminate.blocks(bench, size=7) for x in b.ids) == list(range(30))
