@@ -35,9 +35,6 @@ ITEMS = 10_000
 #: Characters that are searched at once, and places of pieces.
 CHARS, PLACES = 1 << 18, 1 << 21
 
-#: Items of fewer words take no part.
-LEAST_WORDS = 5
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _MAP_BITS = 22
@@ -122,8 +119,7 @@ class Items:
     """A block of items with their pieces."""
 
     def __init__(self, rows: list[tuple[int, str]], ratio: float = RATIO):
-        found = [(i, words_of(t)) for i, t in rows]
-        found = [(i, b" ".join(w)) for i, w in found if len(w) >= LEAST_WORDS]
+        found = [(i, b" ".join(words_of(t))) for i, t in rows]
         found = [(i, r) for i, r in found if r]
         self.ids = [i for i, _ in found]
         coded = [codes(r) for _, r in found]

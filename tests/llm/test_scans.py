@@ -139,6 +139,26 @@ def test_a_typo_in_every_second_word_hides_no_item():
     assert tried > 30
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "\u8bf7\u95ee\u6c34\u7684\u6cb8\u70b9\u5728\u6807\u51c6\u5927\u6c14\u538b\u4e0b\u662f\u591a\u5c11\u5ea6"), (3, "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e"), (4, "?!"), (5, "\u6c34")]
+    docs = [(1, "so - who wrote  HAMLET, then"), (2, f"abc\u3002{items[1][1]}\u3002def"), (3, f"x{items[1][1].replace(chr(0x6cb8), chr(0x70e7))}"), (4, f"\u0e41\u0e25\u0e30{items[2][1]}\u0e44"), (5, "who wrote othello"), (6, "Hamlet?! who wrote"), (7, items[4][1])]
+    found = {tuple(r) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1, 0), (2, 2, 0), (2, 5, 0), (3, 2, 1), (3, 5, 0), (4, 3, 0), (7, 5, 0)}
+
+
+def test_leaks_equal_brute_force_for_items_of_all_sizes():
+    rng = np.random.default_rng(8)
+    for letters in ("ab ", "abcdefgh  ", "a\u00e9\u6c34\u0e01 "):
+        make = lambda n: " ".join("".join(rng.choice(list(letters), n)).split())  # noqa: E731, B023
+        items = [(n, t) for n in [*range(1, 24), 29, 30, 40, 57, 80] if (t := make(n))]
+        texts = [make(int(rng.integers(0, 60))) for _ in range(20)]
+        for _, t in items:
+            texts.append(make(9) + decontaminate.edited(t, len(t) // 10, rng) + make(9))
+        for text, found in zip(texts, decontaminate.Items(items).leaks(texts), strict=True):
+            reduced = b" ".join(decontaminate.words_of(text)).decode()
+            assert found == [(i, d) for i, t in items if (d := plain_distance(t, reduced)) <= len(t) // 10]
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"one two three four five six seven number{i} eight nine") for i in range(30)], "item_id long, text string")
     assert sorted(x for b in decontaminate.blocks(bench, size=7) for x in b.ids) == list(range(30))
