@@ -159,6 +159,20 @@ def test_leaks_equal_brute_force_for_items_of_all_sizes():
             assert found == [(i, d) for i, t in items if (d := plain_distance(t, reduced)) <= len(t) // 10]
 
 
+def test_each_share_of_edits_reaches_the_recall():
+    rng = np.random.default_rng(6)
+    block = decontaminate.Items(duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall())
+    (foreign,) = duckdb.connect().execute(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 300 AND 900 ORDER BY doc_id LIMIT 1").fetchone()
+    for share in (0, 0.03, 0.06, 0.1):
+        texts = [f"{foreign} {decontaminate.edited(t, int(share * len(t)), rng)} {foreign}" for t in block.texts for _ in range(3)]
+        assert all(block.ids[k // 3] in dict(f) for k, f in enumerate(block.leaks(texts))), share
+    # insertions or deletions alone shift a copy most
+    for k, (t, most) in enumerate(zip(block.texts, block.most, strict=True)):
+        words = t.split(" ")
+        for copy in ("q" * int(most) + t, t[int(most):], " ".join([words[0] + "q" * int(most), *words[1:]])):
+            assert block.ids[k] in dict(block.leaks([f"{foreign} {copy} {foreign}"])[0])
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"one two three four five six seven number{i} eight nine") for i in range(30)], "item_id long, text string")
     assert sorted(x for b in decontaminate.blocks(bench, size=7) for x in b.ids) == list(range(30))
