@@ -3,16 +3,17 @@
 1. Each text becomes its set of five-word shingles (64-bit hashes), 128 universal hash
    minima of the set, and 32 band keys of four minima each. At a similarity of 0.75 a pair
    misses every band once in 200,000 pairs, above it more rarely still.
-2. Equal sets are one class; its smallest document stands for it from here on.
+2. Equal sets are one class, a node from here on.
 3. Each band bucket has a centre, the member that shares most with others, and links the
-   rest to it (a star, not all pairs). A document tries the two centres that it meets most.
+   rest to it (a star, not all pairs). A node tries the two centres that it meets most.
 4. Pairs pass the comparison of signatures, then that of full sets.
-5. Components of the confirmed links come from alternating stars. Where a bucket's members
-   still lie in several components, what is left of its pairs is tried: each document with
-   the components that it meets, and documents that are alone with each other. Small sides
-   are joined; large ones are compared block against block on full sets inside tasks, which
-   emit a spanning forest of the links found. So no two texts that links connect come apart,
-   and copies are never expanded into pairs.
+5. Components of the confirmed links come from alternating stars.
+6. Where a bucket's members still lie in several components, its pairs across components
+   are compared inside tasks, in blocks of bounded size: signatures first, each pair in the
+   first bucket it shares only. The members that have a likely partner are joined with their
+   full sets, and the blocks emit a spanning forest of the links found. The way is the same
+   at every size of bucket, and no pair becomes a row unless it is a link that joins two
+   components.
 """
 
 from __future__ import annotations
@@ -20,14 +21,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import sliced, written
+from .common import Cuts, fresh, keyed, sliced, whole_groups, written
 from .components import components
 
 WORDS = 5
@@ -35,11 +35,14 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Equal minima below which a pair of similarity 0.75 falls once in ten thousand million pairs.
-LEAST_EQUAL = 64
-#: Centres that a document tries first; size up to which a bucket or component is joined;
-#: members of a block of larger ones; pairs of one centre that go together.
-FIRST_CENTRES, SMALL_BUCKET, BLOCK, TOGETHER = 2, 64, 512, 1_000
+#: Equal minima below which a pair of similarity 0.75 falls once in a million pairs.
+LEAST_EQUAL = 72
+#: Centres that a node tries first; pairs of one centre that go together.
+FIRST_CENTRES, TOGETHER = 2, 1_000
+#: Members, and shingles of members, in a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Lanes of signatures compared at once.
+LANES = 1 << 22
 
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +116,7 @@ def _signed(batches):
         full = [i for i, s in enumerate(sets) if len(s)]
         m = minima([sets[i] for i in full]) if full else np.empty((HASHES, 0), np.uint64)
         keys = _mixed((m.reshape(BANDS, ROWS, -1) * _BAND).sum(1)).view(np.int64).T
-        lanes = np.ascontiguousarray((m >> np.uint64(48)).astype(np.uint16).T)
+        lanes = np.ascontiguousarray((m & np.uint64(0xFFFF)).astype(np.uint16).T)
         sizes = np.zeros(len(sets) + 1, np.int32)
         sizes[1:][full] = BANDS
         signature: list[bytes | None] = [None] * len(sets)
@@ -122,7 +125,7 @@ def _signed(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.ascontiguousarray(keys).ravel(), pa.int64())),
                 pa.array(signature, pa.binary()),
             ],
@@ -130,38 +133,50 @@ def _signed(batches):
         )
 
 
+def digest_of(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _sets(batches):
+    """Sets of the texts whose digest is the wanted one; an id may stand for other texts as well."""
     for batch in sliced(batches):
-        found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        offsets = np.cumsum([0, *map(len, found)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64()))], ["node", "items"]
-        )
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        right = [digest_of(s) == d for s, d in zip(found, batch.column("digest").to_pylist(), strict=True)]
+        found = [s.view(np.int64) for s, r in zip(found, right, strict=True) if r]
+        nodes = batch.column("node").filter(pa.array(right, pa.bool_()))
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        items = pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())
+        yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, items)], ["node", "items"])
+
+
+def lanes_of(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, HASHES)
 
 
 def _alike(batches):
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
-        keep = (a == b).sum(1) >= LEAST_EQUAL
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = (lanes_of(batch.column(k).to_pylist()) for k in ("signature_a", "signature_b"))
+        keep = pa.array((a == b).sum(1) >= LEAST_EQUAL, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, cut: Cuts) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough.
 
     ``reps(node, signature)``; ``sets(node, items)``. The sets of a centre's partners go to
     the centre's set, a centre with many partners to several places.
     """
     side = lambda name: reps.select(F.col("node").alias(name), F.col("signature").alias(f"signature_{name}"))
-    signed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b")
-    likely = written(signed.mapInArrow(_alike, "a long, b long"))
+    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_alike, "a long, b long"))
     many = likely.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("places"))
-    dealt = likely.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
-    left = many.select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")).join(sets, F.col("a") == F.col("node")).select("a", "place", F.col("items").alias("x"))
-    right = dealt.join(sets, F.col("b") == F.col("node")).select("a", "place", "b", F.col("items").alias("y"))
+    place = F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place")
+    every = F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")
+    left = many.select("a", every).join(sets, F.col("a") == F.col("node")).select("a", "place", F.col("items").alias("x"))
+    right = likely.join(many, "a").select("a", "b", place).join(sets, F.col("b") == F.col("node"))
+    right = right.select("a", "place", "b", F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     found = left.join(right, ["a", "place"]).select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("all"))
-    return written(found.filter(F.col("shared") * DENOMINATOR >= F.col("all") * NUMERATOR).select("a", "b"))
+    return cut(found.filter(F.col("shared") * DENOMINATOR >= F.col("all") * NUMERATOR).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -169,93 +184,159 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id
     each get the component of their own text. A null id is linked with nothing: its component
-    is null and it is not kept. Other columns of ``docs`` are not read.
+    is null and it is not kept. Other columns of ``docs`` are not read; an empty table gives an
+    empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"))
+    with Cuts(docs.sparkSession) as cut:
+        return written(_near_duplicates(docs, cut))
+
+
+def _near_duplicates(docs: DataFrame, cut: Cuts) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shape = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
+    signed = cut(rows.mapInArrow(_signed, shape))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    reps = written(full.join(classes, "digest").filter("doc_id = node").groupBy("node", "digest").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")]
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("least"), *firsts)
+    reps = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     members = reps.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(members.join(sizes, "bucket"))
+    shared = cut(members.join(sizes, "bucket"))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = shared.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    # a row for each document and centre, at most BANDS for a document
+    heaviest = F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")
+    centres = shared.join(weights, "node").groupBy("bucket").agg(heaviest)
+    # a row for each node and centre, at most BANDS for a node
     tries = shared.join(centres, "bucket").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
     order = W.partitionBy("node").orderBy(F.desc("times"), "centre")
-    pairs = written(tries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIRST_CENTRES).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    sets = written(rows.join(weights.select("node"), "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"))
-    links = confirmed(pairs, reps, sets)
+    first = tries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIRST_CENTRES)
+    pairs = cut(first.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    wanted = reps.join(weights, "node", "left_semi").select(F.col("least").alias("doc_id"), "node", "digest")
+    sets = cut(rows.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, items array<long>"))
+    links = confirmed(pairs, reps, sets, cut)
     of = components(links)
-    more = _across(shared, of, pairs, reps, sets)
+    more = _across(shared, of, reps, sets, cut)
     if not more.isEmpty():
         of = components(links.unionByName(more))
-    # equal sets are one class, by digest
-    component = reps.join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    placed = reps.select("digest", "node", "least").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    component = placed.join(named, "component").select("digest", "component_id")
     empty = signed.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = full.select("doc_id", "n_shingles", "digest").join(component, "digest").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def _across(shared: DataFrame, of: DataFrame, tried: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between documents that share a bucket and not a component."""
-    placed = shared.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = written(placed.join(mixed, "bucket"))
-    # documents and the components that they meet; of two components one asks the other
-    targets = left.filter("not alone").select("bucket", F.col("component").alias("target")).distinct()
-    asks = written(left.join(targets, "bucket").filter("component <> target and (alone or component > target)").select("node", "target").distinct())
-    inside = of.select(F.col("component").alias("target"), F.col("node").alias("member")).join(asks.select("target").distinct(), "target", "left_semi")
-    extent = written(inside.groupBy("target").agg(F.count("*").alias("n")).join(asks.groupBy("target").agg(F.count("*").alias("m")), "target"))
-    few = asks.join(extent.filter(F.col("n") <= SMALL_BUCKET).select("target"), "target").join(inside, "target").select(F.col("node").alias("a"), F.col("member").alias("b"))
-    # documents that are alone, bucket by bucket
-    lonely = left.filter("alone").select("bucket", "node")
-    counts = lonely.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    lonely = written(lonely.join(counts, "bucket"))
-    small = lonely.filter(F.col("n") <= SMALL_BUCKET)
-    both = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")))
-    few = few.unionByName(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(few.join(done, ["a", "b"], "left_anti"))
-    found = confirmed(rest, reps, sets)
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK).cast("int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    deal = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
-    large = extent.filter(F.col("n") > SMALL_BUCKET).select("target", parts("n").alias("ns"), parts("m").alias("ms"))
-    x = inside.join(large, "target").select(F.col("target").alias("group"), deal("member", "ns").alias("i"), each("ms").alias("j"), F.col("member").alias("node"))
-    y = asks.join(large, "target").select(F.col("target").alias("group"), each("ns").alias("i"), deal("node", "ms").alias("j"), "node")
-    crowded = lonely.filter(F.col("n") > SMALL_BUCKET).select("bucket", "node", parts("n").alias("ns"))
-    x = x.unionByName(crowded.select(F.col("bucket").alias("group"), deal("node", "ns").alias("i"), each("ns").alias("j"), "node").filter("i <= j"))
-    y = y.unionByName(crowded.select(F.col("bucket").alias("group"), each("ns").alias("i"), deal("node", "ns").alias("j"), "node").filter("i <= j"))
-    key = ["group", "i", "j"]
-    full = lambda side: side.join(sets, "node").select(*[F.col(c).alias(c) for c in (*key, "node", "items")]).groupBy(key)
-    return found.unionByName(written(full(x).cogroup(full(y)).applyInPandas(_block_links, "a long, b long")))
-
-
-def _block_links(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-    """Links between rows of ``x`` and ``y`` that are similar enough: of those, a spanning forest."""
-    found, root = [], {}
-
-    def find(v):
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.unionByName(empty).withColumn("kept", kept)
+
+
+def _across(shared: DataFrame, of: DataFrame, reps: DataFrame, sets: DataFrame, cut: Cuts) -> DataFrame:
+    """Links ``(a, b)`` between nodes that share a bucket and not a component."""
+    size = reps.select("node", "n_shingles", "bands", "signature")
+    placed = shared.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    low, high = F.min("component").alias("low"), F.max("component").alias("high")
+    counted = placed.join(size.select("node", "n_shingles"), "node").groupBy("bucket").agg(parts, low, high)
+    left = cut(placed.join(counted.filter("low <> high").select("bucket", "parts"), "bucket"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = left.select("bucket", "node", "component", part, "parts").select("*", other)
+    one, two = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select("bucket", F.xxhash64("bucket", one, two).alias("block"), "node", "component", (F.col("part") == two).alias("second"), (one == two).alias("alone"))
+    likely = _by_block(dealt.join(size.drop("n_shingles"), "node")).mapInArrow(_likely, "block long, node long, component long, second boolean, alone boolean")
+    return cut(_by_block(cut(likely).join(sets, "node")).mapInArrow(_linked, "a long, b long"))
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
+def _groups(batches):
+    """Blocks of pairs: ``table, rows of the one side, rows of the other``."""
+    for some in whole_groups(batches, "block"):
+        block = some.column("block").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            group = some.slice(first, last - first)
+            second = group.column("second").to_numpy()
+            every = np.arange(len(group))
+            alone = group.column("alone")[0].as_py()
+            yield group, every if alone else every[~second], every if alone else every[second]
+
+
+def _likely(batches):
+    """The members of each block that have a partner of another component whose signature is like theirs."""
+    for group, x, y in _groups(batches):
+        of = group.column("component").to_numpy()
+        if not len(x) or not len(y) or (of == of[0]).all():
+            continue
+        lanes = lanes_of(group.column("signature").to_pylist())
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        place = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
+        hit = np.zeros(len(group), bool)
+        step = max(1, LANES // (HASHES * len(y)))
+        for at in range(0, len(x), step):
+            own = x[at : at + step]
+            like = of[own, None] != of[None, y]
+            for k in range(place):  # compared in an earlier bucket
+                like &= bands[own, None, k] != bands[None, y, k]
+            like &= (lanes[own, None] == lanes[None, y]).sum(2) >= LEAST_EQUAL
+            hit[own[like.any(1)]] = True
+            hit[y[like.any(0)]] = True
+        if hit.any():
+            kept = group.select(["block", "node", "component", "second", "alone"]).filter(pa.array(hit))
+            yield from kept.to_batches()
+
+
+def _linked(batches):
+    """Of the links between the components of each block: a spanning forest."""
+    for group, x, y in _groups(batches):
+        found = block_links(group.column("component").to_numpy(), [i.values.to_numpy() for i in group.column("items")], x, y)
+        if found:
+            nodes = group.column("node").to_numpy()
+            a, b = (pa.array(nodes[list(side)], pa.int64()) for side in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+
+def block_links(of: np.ndarray, items: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``x`` and ``y`` that are similar enough and join components ``of``, as long as they do."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
         while root.setdefault(v, v) != v:
             root[v] = v = root[root[v]]
         return v
 
-    if len(x) and len(y):
-        sizes = np.array([len(v) for v in x["items"]])
-        names, items = x["node"].to_numpy(), np.concatenate(x["items"].to_list())
-        known, where = np.unique(items, return_inverse=True)
-        starts = np.cumsum([0, *sizes[:-1]])
-        for node, own in zip(y["node"], y["items"], strict=True):
-            own = np.asarray(own)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            mark = np.zeros(len(known), np.int32)
-            mark[at[known[at] == own]] = 1
-            shared = np.add.reduceat(mark[where], starts)
-            for k in np.flatnonzero((shared * DENOMINATOR >= (sizes + len(own) - shared) * NUMERATOR) & (names != node)):
-                a, b = find(("x", names[k])), find(("y", node))
-                if a != b:
-                    root[a] = b
-                    found.append((node, names[k]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    if not len(x) or not len(y):
+        return []
+    sizes = np.array([len(items[i]) for i in x])
+    known, where = np.unique(np.concatenate([items[i] for i in x]), return_inverse=True)
+    starts = np.cumsum([0, *sizes[:-1]])
+    labels, most = np.unique(of[x], return_counts=True)
+    widest, found = labels[most.argmax()], []
+    same = len(x) == len(y) and x[0] == y[0]
+    for j in y:
+        if of[j] == widest and (same or len(labels) == 1):
+            continue  # its partners in other components look for it
+        at = np.minimum(np.searchsorted(known, items[j]), len(known) - 1)
+        mark = np.zeros(len(known), np.int32)
+        mark[at[known[at] == items[j]]] = 1
+        shared = np.add.reduceat(mark[where], starts)
+        near = shared * DENOMINATOR >= (sizes + len(items[j]) - shared) * NUMERATOR
+        for i in x[near & (of[x] != of[j])].tolist():
+            a, b = find(int(of[i])), find(int(of[j]))
+            if a != b:
+                root[a] = b
+                found.append((int(j), i))
+    return found
+
+
+def remove_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns kept, without near duplicates: of each group the row of
+    the smallest id stays, or any one where ids repeat or are all null.
+
+    Rows are told apart whatever their ids. Null and empty texts are no duplicates of anything.
+    """
+    key = fresh(docs, "row_key")
+    rows = keyed(docs, key)
+    groups = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("k"), "component_id")
+    ids = rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id"))
+    first = F.min_by("k", F.struct(F.col("id").isNull(), "id", "k")).alias(key)
+    stay = groups.join(ids, "k").groupBy("component_id").agg(first).select(key)
+    return rows.join(stay, key, "left_semi").select(*docs.columns)

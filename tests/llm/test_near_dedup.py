@@ -59,10 +59,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_matches_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+@pytest.mark.parametrize("block", [512, 3])
+def test_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "TOGETHER", 2)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "z", -1) for i, t in rows], "doc_id long, text string, node string, component_id int")
@@ -70,6 +69,44 @@ def test_matches_brute_force(spark, monkeypatch, small):
     assert found == brute(rows)
 
 
+@pytest.mark.parametrize("words", [73, 74])
+def test_hot_group_about_the_threshold(spark, words):
+    """2,000 copies of one text, each with another word at one of 13 places far apart: copies of one
+    place are alike, those of two places have 0.7468 in common with 73 words, 0.75 with 74."""
+    base = [f"b{i}" for i in range(words)]
+    rows, place = [], {}
+    for i in range(2_000):
+        at = 5 + 5 * (i * 7 % 13)
+        rows.append((i, " ".join([*base[:at], f"n{i}", *base[at + 1 :]])))
+        place[i] = at
+    first = {}
+    for i, at in place.items():
+        first.setdefault(at if words == 73 else 0, i)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: first[at if words == 73 else 0] for i, at in place.items()}
+
+
+def test_block_links_span_what_is_alike():
+    rng = random.Random(2)
+    import numpy as np
+
+    items = [np.array(sorted(rng.sample(range(14), rng.randint(8, 12)))) for _ in range(40)]
+    of = np.array([i // 3 for i in range(40)])
+    alike = lambda a, b: 4 * len(set(items[a]) & set(items[b])) >= 3 * len(set(items[a]) | set(items[b]))
+
+    def groups(links):
+        root = list(range(40))
+        for a, b in links:
+            root = [root[b] if r == root[a] else r for r in root]
+        return [[r == s for s in root] for r in root]
+
+    inside = [(a, b) for a in range(40) for b in range(a) if of[a] == of[b]]
+    for x, y in [(range(40), range(40)), (range(25), range(25, 40))]:
+        found = minhash.block_links(of, items, np.array(x), np.array(y))
+        assert all(alike(a, b) and of[a] != of[b] for a, b in found)
+        assert groups(inside + found) == groups(inside + [(a, b) for a in x for b in y if alike(a, b)])
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (9, None)], "doc_id long, text string")
     found = sorted(((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()))
@@ -77,6 +114,31 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_id_on_two_texts(spark):
+    alone, copied = "p q r s t u v", "a b c d e f g"
+    docs = spark.createDataFrame([(7, alone), (7, copied), (3, copied), (8, "m n o p q r")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(3, 3, 3, True), (7, 3, 3, False), (7, 3, 7, True), (8, 2, 8, True)]
+
+
+def test_removal_keeps_one_of_each_group(spark):
+    alone, copied, near = "p q r s t u v", " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(99))
+    rows = [(7, alone, 1, "x"), (7, copied, 2, "x"), (3, near, 3, "x"), (None, copied, 4, None), (None, "n u l l i d", 5, "x"), (None, "n u l l i d", 6, "x"), (9, None, 7, "x"), (9, "", 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int, component_id string")
+    stay = minhash.remove_near_duplicates(docs)
+    assert stay.columns == docs.columns
+    left = {r["row_key"] for r in stay.collect()}
+    assert left - {5, 6} == {1, 3, 7, 8} and len(left & {5, 6}) == 1
+    assert minhash.remove_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_very_long_text_and_its_near_copy(spark):
+    words = [f"w{i % 5003}x{i % 17}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30_000], "other", *words[30_000:]])), (3, "w " * 50_000)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_of_a_path_and_a_ring(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 3), (3, 5), (7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
