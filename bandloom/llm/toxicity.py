@@ -1,28 +1,27 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all documents, their labels
-unseen, is the unlabelled side. A linear model over the words that tell the two apart is
-fitted (beginnings of words count as words) with the risk ``pi * R+(g) + max(0, R-u(g) - pi * R-p(g))``: the negative risk is
-that of the unlabelled text less the share ``pi`` that is toxic, and when a step would
-drive it below zero, that step goes back instead. ``pi`` comes from the labelled rows of
-the training fold. Texts are scored where they lie, in whole.
+Confirmed toxic documents are the positives; labelled rows with their labels hidden are the
+unlabelled side, a sample of what texts are like whose toxic share ``pi`` is known. A linear
+model over the words that tell the two apart (beginnings of words count as words) is fitted
+with the risk ``pi * R+(g) + max(0, R-u(g) - pi * R-p(g))``: the negative risk is that of the
+unlabelled text less the share that is toxic, and when a step would drive it below zero, that
+step goes back instead. Texts are scored where they lie, in whole.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_training_fold, sliced
+from .common import Cuts, held_out, in_training_fold, sliced
 
-#: Bounds of the sample on which the model is fitted; the driver holds its words.
-MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
-#: Words the model may weigh, by how well they tell positives from unlabelled text.
-MAX_WORDS = 4_096
+#: Bounds of the sample of labelled rows on which the model is fitted: toxic ones, and rows whose labels are hidden.
+MAX_POSITIVE, MAX_HIDDEN = 2_000, 8_000
+#: Words the model may weigh; how often the sample must show one, and how many standard
+#: deviations its shares must lie apart.
+MAX_WORDS, LEAST_SEEN, LEAST_Z = 4_096, 4, 3.5
 THRESHOLD = 0.5
 
 #: Words whose hash or features a worker keeps; workers live through several stages.
@@ -70,25 +69,32 @@ class Lexicon:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[w] for w in sorted(found)), -30, 30))))
 
 
-def fit_nnpu(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Lexicon:
-    """Without positives or unlabelled documents every text scores the prior."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_nnpu(
+    positive: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float,
+    steps: int = 400, rate: float = 0.05, decay: float = 1e-3,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear model over features ``0 .. n_features - 1``.
+
+    A document is the list of its features. Without positives or unlabelled documents all
+    weights are 0 and the bias is the prior's.
+    """
     prior = min(max(prior, 1e-3), 0.999)
-    start = float(np.log(prior / (1 - prior)))
+    w, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return Lexicon({}, start)
-    words = _telling(positive, unlabelled)
-    index = {w: i for i, w in enumerate(words)}
+        return w, bias
 
-    def rows(docs):
-        ids = [np.array(sorted({index[f] for w in d for f in features_of(w) if f in index}), np.int64) for d in docs]
-        return np.repeat(np.arange(len(docs)), [len(x) for x in ids]), np.concatenate([*ids, np.empty(0, np.int64)])
+    def flat(docs):
+        sizes = [len(d) for d in docs]
+        return np.repeat(np.arange(len(docs)), sizes), np.array([f for d in docs for f in d], np.int64)
 
-    (p_row, p_word), (u_row, u_word) = rows(positive), rows(unlabelled)
+    (p_row, p_word), (u_row, u_word) = flat(positive), flat(unlabelled)
     n_p, n_u = len(positive), len(unlabelled)
-    w, bias = np.zeros(len(words)), start
-    mean, square, step_no = np.zeros(len(words) + 1), np.zeros(len(words) + 1), 0
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(steps):
+    mean, square = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    for step in range(1, steps + 1):
         g_p = bias + np.bincount(p_row, w[p_word], n_p)
         g_u = bias + np.bincount(u_row, w[u_word], n_u)
         # logistic losses: of being called positive log(1+e^-g), of being called negative log(1+e^g)
@@ -97,74 +103,84 @@ def fit_nnpu(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: fl
         d_u, d_p = sigmoid(g_u) / n_u, -prior * sigmoid(g_p) / n_p
         if negative < 0:  # the estimate went below what a risk can be: go back on this part alone
             d_u, d_p, d_plus = -d_u, -d_p, 0 * d_plus
-        grad = np.append(
-            np.bincount(p_word, (d_plus + d_p)[p_row], len(words)) + np.bincount(u_word, d_u[u_row], len(words)) + decay * w / max(1, len(words)) ** 0.5,
-            (d_plus + d_p).sum() + d_u.sum(),
-        )
-        step_no += 1
+        by_feature = np.bincount(p_word, (d_plus + d_p)[p_row], n_features) + np.bincount(u_word, d_u[u_row], n_features)
+        grad = np.append(by_feature + decay * w / max(1, n_features) ** 0.5, (d_plus + d_p).sum() + d_u.sum())
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
-        move = rate * (mean / (1 - 0.9**step_no)) / (np.sqrt(square / (1 - 0.999**step_no)) + 1e-8)
+        move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Lexicon({x: float(v) for x, v in zip(words, w, strict=True) if abs(v) > 1e-6}, float(bias))
-
-
-def _telling(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> list[bytes]:
-    """Words whose share among positives lies well above or below that in unlabelled text."""
-    counts: dict[bytes, list[int]] = {}
-    for side, docs in enumerate((positive, unlabelled)):
-        for d in docs:
-            for f in {f for w in d for f in features_of(w)}:
-                counts.setdefault(f, [0, 0])[side] += 1
-    rows = [(w, a, b) for w, (a, b) in counts.items() if a + b >= 4]
-    if not rows:
-        return []
-    a, b = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    n_a, n_b = len(positive), len(unlabelled)
-    share = (a + b + 1) / (n_a + n_b + 2)
-    z = np.abs(a / n_a - b / n_b) / np.sqrt(share * (1 - share) * (1 / n_a + 1 / n_b))
-    order = sorted(range(len(rows)), key=lambda i: (-z[i], rows[i][0]))[:MAX_WORDS]
-    return [rows[i][0] for i in order if z[i] > 3.5]
+    return w, float(bias)
+
+
+def telling(rows: DataFrame, n_positive: int, n_unlabelled: int) -> DataFrame:
+    """The features of ``rows(positive, unlabelled, features)`` whose share among positives lies
+    well above or below that in unlabelled text: at most MAX_WORDS, the most telling ones."""
+    each = rows.select("positive", "unlabelled", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.sum(F.col("positive").cast("long")).alias("a"), F.sum(F.col("unlabelled").cast("long")).alias("b"))
+    share = (F.col("a") + F.col("b") + 1) / (n_positive + n_unlabelled + 2)
+    apart = F.abs(F.col("a") / n_positive - F.col("b") / n_unlabelled)
+    z = apart / F.sqrt(share * (1 - share) * (1 / n_positive + 1 / n_unlabelled))
+    often = counts.filter(F.col("a") + F.col("b") >= LEAST_SEEN).withColumn("z", z).filter(F.col("z") > LEAST_Z)
+    return often.orderBy(F.desc("z"), "feature").limit(MAX_WORDS).select("feature")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from the training fold of ``labels(doc_id, toxic)`` and ``docs(doc_id, text)``.
 
     Several labels of one document count as toxic if any of them is; null ids and null
-    labels are left out. Positives and unlabelled documents are those of smallest hash, up
-    to MAX_POSITIVE and MAX_UNLABELLED; only their words go to the driver.
+    labels are left out, as are labels without a document. Positives, and rows whose labels
+    are then hidden, are those of smallest hash, up to MAX_POSITIVE and MAX_HIDDEN. Features
+    are counted by Spark; the driver gets MAX_WORDS of them at most and, for each document of
+    the sample, their numbers. With an empty table on either side every text scores the prior.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter("doc_id is not null and toxic is not null").filter(in_training_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .filter("doc_id is not null and toxic is not null").filter(in_training_fold(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     prior = counts["toxic"] / counts["n"] if counts["n"] else 0.0
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(in_training_fold(F.col("doc_id")))
-    by_hash = F.xxhash64("doc_id")
-    positive = known.filter("toxic = 1").select("doc_id").orderBy(by_hash, "doc_id").limit(MAX_POSITIVE).withColumn("side", F.lit(0))
-    sample = ids.orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED).withColumn("side", F.lit(1))
-    chosen = positive.unionByName(sample).groupBy("doc_id").agg(F.collect_set("side").alias("sides"))
-    # at most MAX_POSITIVE + MAX_UNLABELLED rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    words = rows.select("sides", "text").mapInArrow(_words, "sides array<int>, words binary")
-    sides: tuple[list, list] = ([], [])
-    pool: dict[bytes, bytes] = {}
-    for row in words.toLocalIterator():
-        found = {pool.setdefault(w, w) for w in bytes(row["words"]).split(b" ") if w}
-        for side in row["sides"]:
-            sides[side].append((hashlib.sha256(b" ".join(sorted(found))).digest(), found))
-    ordered = [[d for _, d in sorted(side, key=lambda x: x[0])] for side in sides]  # the same model in whatever order rows come
-    return fit_nnpu(*ordered, prior)
-
-
-def _words(batches):
+    by_hash = F.xxhash64("doc_id"), F.col("doc_id")
+    positive = known.filter("toxic = 1").orderBy(*by_hash).limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled"))
+    hidden = known.orderBy(*by_hash).limit(MAX_HIDDEN).select("doc_id", F.lit(False).alias("positive"), F.lit(True).alias("unlabelled"))
+    sides = [F.max(c).alias(c) for c in ("positive", "unlabelled")]
+    chosen = positive.unionByName(hidden).groupBy("doc_id").agg(*sides)  # MAX_POSITIVE + MAX_HIDDEN rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shape = "positive boolean, unlabelled boolean, features array<binary>"
+    with Cuts(docs.sparkSession) as cut:
+        rows = cut(texts.join(F.broadcast(chosen), "doc_id").select("positive", "unlabelled", "text").mapInArrow(_features, shape))
+        n = rows.agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")).first()
+        words = [bytes(r["feature"]) for r in telling(rows, n["p"], n["u"]).collect()] if n["p"] and n["u"] else []
+        index = {w: i for i, w in enumerate(words)}
+        numbers = rows.mapInArrow(_numbered(index), "positive boolean, unlabelled boolean, ids array<int>")
+        # sorted: the same model in whatever order rows come
+        found = sorted((r["ids"], r["positive"], r["unlabelled"]) for r in numbers.collect())
+    weights, bias = fit_nnpu([x for x, p, _ in found if p], [x for x, _, u in found if u], len(words), prior)
+    return Lexicon({w: float(v) for w, v in zip(words, weights, strict=True) if abs(v) > 1e-6}, bias)
+
+
+def _features(batches):
     for batch in sliced(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["sides", "words"])
+        found = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["positive", "unlabelled", "features"])
+
+
+def _numbered(index: dict[bytes, int]):
+    def run(batches):
+        for batch in sliced(batches):
+            ids = [sorted(index[f] for f in some if f in index) for some in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["positive", "unlabelled", "ids"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; a null text scores as an empty one."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
+
+    A null text scores as an empty one, which has the bias alone. Rows that repeat an id are
+    scored each; a null id stays null and counts as held out. Other columns are not read.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -178,7 +194,10 @@ def _scored(model: Lexicon):
 
 
 def remove_toxic(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    Null and empty texts score as the empty one; repeated rows stay or go together.
+    """
     names = docs.columns
     place = names.index("text")
 
