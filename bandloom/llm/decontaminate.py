@@ -17,12 +17,14 @@ documents once. Nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 #: Largest share of an item's characters that may be edited.
 RATIO = 0.1
@@ -226,16 +228,19 @@ class Items:
         return [sorted(x.items()) for x in out]
 
 
-def blocks(benchmark: DataFrame, size: int = ITEMS) -> list[Items]:
-    """Items of ``benchmark(item_id, text)`` in blocks. Null ids and texts, and items without
-    a letter or digit, are left out; of a repeated id every text counts. One block is
-    brought to the driver at a time, and only as long as its index is built."""
+def blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[tuple[Items, bool]]:
+    """Items of ``benchmark(item_id, text)`` in blocks, and whether the block is the only one.
+
+    Null ids and texts, and items without a letter or digit, are left out; of a repeated id
+    every text counts. The driver holds one block at a time.
+    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    n = rows.count()
-    if n <= size:
-        return [Items(sorted((r["item_id"], r["text"]) for r in rows.collect()))] if n else []
-    dealt = written(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // size)))))
-    return [Items(sorted((r["item_id"], r["text"]) for r in dealt.filter(F.col("part") == k).collect())) for k in range(-(-n // size))]
+    parts = -(-rows.count() // size)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
+    if parts > 1:
+        dealt = written(dealt)
+    for k in range(parts):
+        yield Items(sorted((r["item_id"], r["text"]) for r in dealt.filter(F.col("part") == k).collect())), parts == 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -243,38 +248,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at an edit distance of at most RATIO of the item's length.
 
     Null and empty texts leak nothing. Repeated rows each give their rows, null ids stay null;
-    other columns are not read. Without items the result is empty.
+    other columns are not read. Without items or documents the result is empty. With several
+    blocks of items each one's rows are written before the next block is fetched.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shape = "doc_id long, item_id long, distance int"
     out = None
-    for items in blocks(benchmark):
-        found = rows.mapInArrow(_leaks(items), "doc_id long, item_id long, distance int")
+    for items, only in blocks(benchmark):
+        found = rows.mapInArrow(_leaks(items), shape)
+        if not only:
+            found = written(found)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
+    return out if out is not None else rows.sparkSession.createDataFrame([], shape)
 
 
 def _leaks(items: Items):
     def run(batches):
-        for batch in batches:
-            found = items.leaks(batch.column(1).to_pylist())
-            rows = [(d, i, n) for d, f in zip(batch.column(0).to_pylist(), found, strict=True) for i, n in f]
+        for batch in sliced(batches):
+            found = items.leaks(batch.column("text").to_pylist())
+            rows = [(d, i, n) for d, f in zip(batch.column("doc_id").to_pylist(), found, strict=True) for i, n in f]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "distance"])
 
     return run
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together, whatever their ids.
+    """
     place = docs.columns.index("text")
-    for items in blocks(benchmark):
+    for items, only in blocks(benchmark):
         docs = docs.mapInArrow(_clean(items, place), docs.schema)
+        if not only:
+            docs = written(docs)
     return docs
 
 
 def _clean(items: Items, place: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = items.leaks([t or "" for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 

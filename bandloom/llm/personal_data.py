@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import fresh, keyed, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -234,24 +234,27 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every detected span replaced by its kind in brackets and ``n_chars`` as it then is.
 
-    Overlapping spans become one, named after the first. Texts without spans are not touched.
+    Overlapping spans become one, named after the first. Texts without spans, null and empty
+    ones among them, are not touched. Rows are told apart whatever their ids, none goes, and
+    all columns stay, whatever their names.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_text")]
-    found = candidates(docs.select(F.xxhash64("text").alias("doc_id"), "text"))  # the digest stands for the id from here
-    spans = detected(found)
+    key, listed = fresh(docs, "row_key"), fresh(docs, "row_spans")
+    rows = keyed(docs, key)
+    spans = detected(candidates(rows.select(F.col(key).alias("doc_id"), "text")))  # the key stands for the id from here
     own = W.partitionBy("row").orderBy("start", "kind")
-    island = spans.withColumn("_new", (F.col("start") >= F.coalesce(F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).cast("int")).withColumn("_n", F.sum("_new").over(own))
-    runs = island.groupBy("row", "doc_id", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
-    # rows of one text have the same spans
-    lists = runs.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).groupBy(F.col("doc_id").alias("_text")).agg(F.first("_spans").alias("_spans"))
+    reached = F.coalesce(F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    island = spans.withColumn("new", (F.col("start") >= reached).cast("int")).withColumn("n", F.sum("new").over(own))
+    first = F.min_by("kind", F.struct("start", "kind")).alias("kind")
+    runs = island.groupBy("row", "doc_id", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"), first)
+    lists = runs.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(listed))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    s, text = F.col("_spans"), F.col("text")
+    s, text = F.col(listed), F.col("text")
     last = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(s, i - 1)["end"])
-    pieces = F.transform(s, lambda x, i: F.concat(F.substring(text, (last(i) + 1).cast("int"), (x["start"] - last(i)).cast("int")), names[x["kind"]]))
+    between = lambda x, i: F.substring(text, (last(i) + 1).cast("int"), (x["start"] - last(i)).cast("int"))
+    pieces = F.transform(s, lambda x, i: F.concat(between(x, i), names[x["kind"]]))
     tail = F.substring(text, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(text))
-    joined = docs.withColumn("_text", key[1]).join(lists, "_text", "left")
-    clean = F.when(s.isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    out = joined.withColumn("text", clean)
+    out = rows.join(lists, key, "left").withColumn("text", F.when(s.isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(s.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(s.isNotNull(), size).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, sliced, written
+from .common import keyed, shuffle_parts, sliced, written
 
 DEPTH = 200
 GRAM = 50
@@ -215,16 +215,6 @@ def _exploded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["string", "anchor", "times", "key", "first"])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, text`` with a unique key: the id, or a number given to each row of a
-    stored copy where ids repeat or are missing."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    return written(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
-
-
 def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """``key, first, last``: spans (they may overlap) that cover just the bytes of ``rows(key, text)``
     that lie in a DEPTH-byte string which also starts elsewhere."""
@@ -282,7 +272,8 @@ def _cut(batches):
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    rows = keyed(docs)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = keyed(plain, "key")
     spans = repeated_spans(rows).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("s"))
     return rows.join(spans, "key", "left").select("doc_id", "text", F.col("s.first").alias("first"), F.col("s.last").alias("last"))
 

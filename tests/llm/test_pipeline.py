@@ -34,6 +34,20 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_repeated_rows_leave_one(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g", "en"), (1, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (None, "a b c d e f g", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    copies = [(i, "a b c d e f g", "en") for i in (1, 1, 2, None)]
+    docs = spark.createDataFrame([*copies, (3, None, "en"), (1, "h i j k l m n", "en")], "doc_id long, text string, lang string")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
-    assert sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 1, 3]
+    assert sorted((r["doc_id"], r["text"]) for r in out.fillna("").collect()) == [(1, "a b c d e f g"), (1, "h i j k l m n"), (3, "")]
+
+
+def test_stages_take_odd_rows(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row_key string"
+    rows = [(None, "write to a@b.com please", "en", None, 23, "a"), (5, "plain words here", None, "s", 16, "b"), (5, "other words there", "en", "s", 17, "c"), (6, "", "en", "s", 0, "d"), (7, None, None, None, None, "e")]
+    docs = spark.createDataFrame(rows, shape)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r["row_key"] for r in out.collect()} == set("abcde"), name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] or -1 for r in pieces) == [-1, 5, 5, 6, 7]
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), SF).collect() == []

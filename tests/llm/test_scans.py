@@ -59,6 +59,51 @@ def test_redaction(spark):
     assert personal_data.redact(docs.limit(0)).collect() == [] and personal_data.find(docs.limit(0).drop("n_chars")).collect() == []
 
 
+def test_redaction_tells_rows_apart_and_keeps_clashing_columns(spark):
+    names = "doc_id long, text string, row_key string, row_spans int, row int, kind string, start int, end int, _text string"
+    rows = [(1, "at a@b.com", "u", 1, 2, "k", 3, 4, "t"), (1, "at 1.2.3.4", "v", 1, 2, "k", 3, 4, "t"), (None, "c@d.org", "w", None, None, None, None, None, None), (None, "none", "x", 1, 2, "k", 3, 4, "t")]
+    docs = spark.createDataFrame(rows, names)
+    out = personal_data.redact(docs)
+    assert out.columns == docs.columns
+    assert {r["row_key"]: r["text"] for r in out.collect()} == {"u": "at [EMAIL]", "v": "at [IP]", "w": "[EMAIL]", "x": "none"}
+    assert {(r["row"], r["_text"]) for r in out.collect()} == {(2, "t"), (None, None)}
+
+
+def plain_em(patterns, rounds):
+    """The same estimates, over one row for every candidate."""
+    rows = [(k, v) for k, v, n in patterns for _ in range(n)]
+    q = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for _, v in rows]
+    for _ in range(rounds):
+        real = {k: [1 + sum(p for (kk, _), p in zip(rows, q, strict=True) if kk == k), 1 + sum(1 - p for (kk, _), p in zip(rows, q, strict=True) if kk == k)] for k, _ in rows}
+        table = {}
+        for j in range(5):
+            for y in (0, 1):
+                sums = [1 + sum((1 - p, p)[1 - y] for (_, v), p in zip(rows, q, strict=True) if v[j] == vote) for vote in (-1, 0, 1)]
+                for vote, n in zip((-1, 0, 1), sums, strict=True):
+                    table[j, vote, y] = n / sum(sums)
+        q = []
+        for k, v in rows:
+            a, b = real[k]
+            for j in range(5):
+                a, b = a * table[j, v[j], 0], b * table[j, v[j], 1]
+            q.append(a / (a + b))
+    by = dict(zip(rows, q, strict=True))
+    return [by[k, v] for k, v, _ in patterns]
+
+
+def test_reliabilities_equal_a_plain_em():
+    rng = np.random.default_rng(1)
+    seen = {}
+    for _ in range(200):
+        real, kind = rng.random() < 0.6, int(rng.integers(3))
+        votes = tuple(int(rng.choice([-1, 0, 1], p=[0.1, 0.2, 0.7] if real else [0.6, 0.3, 0.1])) for _ in range(5))
+        seen[kind, votes] = seen.get((kind, votes), 0) + 1
+    patterns = sorted((k, v, n) for (k, v), n in seen.items())
+    posterior, share = personal_data.reliabilities(patterns, rounds=12)
+    # share[j, v, 1] is that of real spans, of which posterior is the probability
+    assert np.allclose(posterior, plain_em(patterns, 12), rtol=1e-6) and share[0, 1, 1] > share[0, 1, 0]
+
+
 def test_licences(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     rows = [
@@ -173,6 +218,18 @@ def test_each_share_of_edits_reaches_the_recall():
             assert block.ids[k] in dict(block.leaks([f"{foreign} {copy} {foreign}"])[0])
 
 
+def test_very_long_and_repeated_texts(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards hum"
+    long = "lorem ipsum dolor " * 60_000
+    docs = spark.createDataFrame([(1, long + item), (1, long + item), (2, long), (3, item), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (1, "an other text of the same item id goes here"), (2, "x y z q w e r t y u i o p")], "item_id long, text string")
+    for size in (10_000, 1):  # one block, several
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (size,))
+        found = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(docs, bench).collect())
+        assert found == [(1, 1, 0), (1, 1, 0), (3, 1, 0)]
+        assert sorted((r["doc_id"], len(r["text"])) for r in decontaminate.remove_leaks(docs, bench).collect()) == [(2, len(long)), (3, 5)]
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"one two three four five six seven number{i} eight nine") for i in range(30)], "item_id long, text string")
-    assert sorted(x for b in decontaminate.blocks(bench, size=7) for x in b.ids) == list(range(30))
+    assert sorted(x for b, _ in decontaminate.blocks(bench, size=7) for x in b.ids) == list(range(30))

@@ -3,7 +3,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bandloom.llm import suffix_dedup
+from bandloom.llm.common import keyed
 
 
 def brute(texts, depth=200):
@@ -46,7 +49,7 @@ def test_matches_brute_force(spark, monkeypatch, hot, buffer):
     monkeypatch.setattr(suffix_dedup, "BUFFER", buffer)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, first int")
-    rows = suffix_dedup.keyed(docs)
+    rows = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "key")
     spans = {}
     for r in suffix_dedup.repeated_spans(rows, hot).collect():
         spans.setdefault(r["key"], []).append((r["first"], r["last"]))
