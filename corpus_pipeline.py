@@ -15,33 +15,44 @@ from bandloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of the training fold."""
+    """Documents that the classifier rejects go; it learns from the labels of the training fold.
+
+    Null and empty texts score as the empty one. Rows with one text stay or go together,
+    whatever their ids; without documents or labels nothing goes.
+    """
     return toxicity.remove_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id all do.
+    Rows are judged by their texts, whatever their ids: of repeated rows one stays, as it does
+    of copies without ids. Null and empty texts all stay.
     """
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    out = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+    return minhash.remove_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or one within the edits allowed, go."""
+    """Documents that hold a benchmark item, or one within the edits allowed, go.
+
+    Null and empty texts stay; without items nothing goes.
+    """
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by its kind; no document goes."""
+    """Every span found is replaced by its kind, ``n_chars`` follows; no document goes.
+
+    Null and empty texts stay as they are, repeated rows and ids are rows like any other.
+    """
     return personal_data.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document with its place in a sequence of 4,096 tokens.
+
+    A null or empty text is one piece, its end mark. Rows that repeat an id are packed each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
