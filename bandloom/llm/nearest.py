@@ -2,7 +2,7 @@
 
 Vectors are put in lists around centres fitted on a bounded sample. A query looks into the
 lists with the nearest centres; how many, the sample decides: the fewest with which sampled
-queries find their neighbours. Within a list the unit vectors are turned by one random
+queries find their neighbours, and more where those hold too few candidates. Within a list the unit vectors are turned by one random
 rotation, so that any leading columns estimate the whole distance, and are read in column
 blocks. After each block a test at a set confidence gives up candidates whose distance,
 scaled up from the columns read, already lies beyond the query's worst kept one. What is
@@ -28,15 +28,16 @@ SAMPLE, MAX_LISTS = 8_000, 1_024
 TARGET = 0.98
 #: Candidates, and queries, of a group.
 BLOCK, QUERIES = 4_096, 512
-#: Columns read between two tests, and the tests' width in deviations.
-COLUMNS, WIDTH = 16, 2.1
+#: Columns read between two tests, the tests' width in deviations, and rows between two bounds.
+COLUMNS, WIDTH, STRETCH = 16, 2.1, 1_024
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("embedding"))
         .filter("vec_id is not null and embedding is not null").filter(finite & F.exists(v, lambda x: x != 0))
     )
 
@@ -46,7 +47,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float32) for x in column]).astype(np.float64)
+    return np.stack([np.asarray(x, np.float64) for x in column])
 
 
 class Lists:
@@ -81,8 +82,16 @@ class Lists:
         needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
         return int(min(lists, needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)] + 1))
 
-    def nearest(self, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(_unit(rows) @ self.centres.T), axis=1, kind="stable")[:, :n]
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        """All lists of each row, the one with the nearest centre first."""
+        return np.argsort(-(_unit(rows) @ self.centres.T), axis=1, kind="stable")
+
+    def probed(self, rows: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each row looks into: ``probes`` of them, or as many more as hold ``least``
+        candidates (``held`` by list), or all."""
+        order = self.nearest(rows)
+        enough = (np.cumsum(held[order], axis=1) < least).sum(1) + 1
+        return [o[: max(self.probes, n)] for o, n in zip(order, enough, strict=True)]
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -110,12 +119,18 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
 def _search_one(spark, distinct: DataFrame, asked: DataFrame, k: int, d: int) -> DataFrame:
     n = distinct.count()
+    kind = distinct.schema["embedding"].dataType.simpleString()
     sample = distinct.orderBy("digest").limit(SAMPLE).select("embedding").collect()
     lists = Lists(_stack(r[0] for r in sample), n, k)
-    shape = "digest string, ids array<long>, embedding array<float>, list int"
-    candidates = written(distinct.select("digest", "ids", "embedding").mapInPandas(_assigned(lists, 1), shape))
+    shape = f"digest string, ids array<long>, embedding {kind}, list int"
+    candidates = written(distinct.select("digest", "ids", "embedding").mapInPandas(_assigned(lists), shape))
+    held = np.zeros(len(lists.centres), np.int64)  # MAX_LISTS numbers at most
+    for r in candidates.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["list"]] = r["n"]
     wanted = asked.select("digest").distinct()
-    queries = written(candidates.select("digest", "embedding").join(wanted, "digest", "left_semi").withColumn("ids", F.lit(None).cast("array<long>")).select("digest", "ids", "embedding").mapInPandas(_assigned(lists, lists.probes), shape))
+    own = candidates.select("digest", "embedding").join(wanted, "digest", "left_semi")
+    probing = own.withColumn("ids", F.lit(None).cast("array<long>")).select("digest", "ids", "embedding")
+    queries = written(probing.mapInPandas(_assigned(lists, held, k + 1), shape))
     sizes = candidates.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     loads = queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("loads"))
     plan = F.broadcast(sizes.join(loads, "list"))  # a row for each list, MAX_LISTS at most
@@ -136,13 +151,16 @@ def _search_one(spark, distinct: DataFrame, asked: DataFrame, k: int, d: int) ->
     return one.select("query_id", F.posexplode(mine).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _assigned(lists: Lists, n: int):
+def _assigned(lists: Lists, held: np.ndarray | None = None, least: int = 0):
+    """Rows in their nearest list or, with ``held`` given, in every list that they probe."""
+
     def run(batches):
         for rows in batches:
             if len(rows):
-                found = lists.nearest(_stack(rows["embedding"]), n)
-                at = np.repeat(np.arange(len(rows)), found.shape[1])
-                yield rows.iloc[at].assign(list=found.ravel().astype(np.int32))
+                vectors = _stack(rows["embedding"])
+                found = lists.nearest(vectors)[:, :1] if held is None else lists.probed(vectors, held, least)
+                at = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+                yield rows.iloc[at].assign(list=np.concatenate(list(found)).astype(np.int32))
 
     return run
 
@@ -154,25 +172,31 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
 def scan(units: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
     """Rows of the rotated ``units`` that may be among the ``k`` nearest of the rotated ``query``.
 
-    Squared distances grow column block by column block; from the ``c`` columns read the whole
-    is estimated as ``d / c`` times, and a row is given up when that exceeds the worst kept
-    distance by more than ``WIDTH / sqrt(c)`` of it.
+    Rows come in stretches. Squared distances grow column block by column block; from the ``c``
+    columns read the whole is estimated as ``d / c`` times, and a row is given up when that
+    exceeds the worst kept distance by more than ``WIDTH / sqrt(c)`` of it. After each stretch
+    the worst kept distance is that of the ``k`` best so far.
     """
     d = units.shape[1]
-    first = ((units[: 4 * k] - query) ** 2).sum(1)
-    if len(units) <= 4 * k:
-        return np.arange(len(units))
-    bound = np.partition(first, k - 1)[k - 1]
-    alive, partial = np.arange(len(units)), np.zeros(len(units))
-    for c in range(0, d, COLUMNS):
-        part = units[alive, c : c + COLUMNS] - query[c : c + COLUMNS]
-        partial = partial + (part * part).sum(1)
-        read = min(d, c + COLUMNS)
-        keep = partial * (d / read) <= bound * (1 + WIDTH / read**0.5) ** 2 + 1e-9 if read < d else np.ones(len(alive), bool)
-        alive, partial = alive[keep], partial[keep]
-    if len(alive) > k:
-        alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 1e-9]
-    return alive
+    kept, distance, bound = np.empty(0, np.int64), np.empty(0), np.inf
+    first = 0
+    while first < len(units):
+        last = min(len(units), first + (STRETCH if first else 4 * k))
+        alive, partial = np.arange(first, last), np.zeros(last - first)
+        for c in range(0, d, COLUMNS):
+            part = units[alive, c : c + COLUMNS] - query[c : c + COLUMNS]
+            partial = partial + (part * part).sum(1)
+            read = min(d, c + COLUMNS)
+            if read < d:
+                keep = partial * (d / read) <= bound * (1 + WIDTH / read**0.5) ** 2 + 1e-9
+                alive, partial = alive[keep], partial[keep]
+        kept, distance = np.concatenate([kept, alive]), np.concatenate([distance, partial])
+        if len(kept) > k:
+            bound = np.partition(distance, k - 1)[k - 1]
+            near = distance <= bound + 1e-9
+            kept, distance = kept[near], distance[near]
+        first = last
+    return kept
 
 
 def _scan(k: int, d: int):

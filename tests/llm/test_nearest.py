@@ -47,6 +47,29 @@ def test_few_and_none(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_every_query_gets_all_its_neighbours(spark, monkeypatch):
+    """Queries that lie alone, each in a list of its own, look into further lists."""
+    monkeypatch.setattr(nearest.Lists, "_enough", lambda self, units, k, rng: 1)
+    rng = np.random.default_rng(4)
+    rows = [(i + 1 + i // 49, (np.eye(16)[3] + 0.01 * rng.standard_normal(16)).tolist()) for i in range(1500)]
+    rows += [(50 * (1000 + i), (10 * np.eye(16)[i] * (-1) ** i).tolist()) for i in range(16)]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    asked = {i for i, _ in rows if i % 50 == 0}
+    assert got.keys() == asked and all(len(v) == 5 and len({j for _, j in v}) == 5 for v in got.values())
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    rows += [(200, rows[0][1]), (201, [x * (1 + 1e-12 * (k % 3)) for k, x in enumerate(rows[0][1])])]
+    v = {i: np.array(x) for i, x in rows}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        a, b = v[r["query_id"]], v[r["vec_id"]]
+        assert abs(r["score"] - float((a * b).sum() / (np.sqrt(a @ a) * np.sqrt(b @ b)))) < 1e-15
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(1)
     units = rng.standard_normal((5000, 64))
