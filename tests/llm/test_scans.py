@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from bandloom.llm import decontaminate, licenses, personal_data
 from bandloom.llm.personal_data import KINDS
@@ -117,6 +118,25 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), licenses.known(spark)).collect() == []
 
 
+def test_every_known_text_is_found(spark):
+    """Each as a document, in other case and with a copyright line before it."""
+    rows = [(k, ("Copyright (c) 2001 A. Body\n" if k % 2 else "") + (t.upper() if k % 3 == 0 else t)) for k, (_, t) in enumerate(licenses.KNOWN)]
+    docs = spark.createDataFrame([*rows, (9_999, licenses.KNOWN[-1][1][:-200])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known(spark)).collect()}
+    for k, (name, _) in enumerate(licenses.KNOWN):
+        assert found[k]["whole"] and name in found[k]["licenses"].split(","), name
+    assert not found[9_999]["whole"] and len({a for a, _ in licenses.KNOWN}) > 50
+    own = [("house", "You may read this and no more.")]  # a list of the caller's, without any usual word
+    note = spark.createDataFrame([(1, "x\nyou may READ this, and no more\ny"), (2, "x " * 100_000)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["licenses"]) for r in licenses.scan(note, licenses.known(spark, own)).collect()) == [(1, "house"), (2, "")]
+
+
+def test_one_form_in_spark_and_for_the_sql(spark):
+    texts = [t for _, t in licenses.KNOWN] + ["(C) x\n  Copyright y\nA-B v2 and/or licence!", "", "\u00c9 \u0130 v 3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(F.col("t")).alias("c"), "t").collect()
+    assert all(r["c"] == licenses.canonical_text(r["t"]) for r in rows)
+
+
 def test_licences_equal_the_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
