@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # The exports' name patterns. A sensor may hold underscores, a frame statistic one.
-PSD_NAME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([^_]+)\.csv$"
-PFP_NAME = r"^PFP_([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([^_]+(?:_[^_]+)?)\.csv$"
+PSD_NAME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([A-Za-z0-9]+)\.csv$"
+PFP_NAME = r"^PFP_([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([A-Za-z0-9]+(?:_[A-Za-z0-9]+)?)\.csv$"
 SUMMARY_COLUMNS = ("sensor_name", "channel_frequency_mhz")
-IQ_ENDINGS = (".sigmf-meta", ".npy", ".iq")
+IQ_ENDINGS = (".sigmf-meta", ".npy", ".complex1ch.float32")
 STORE_ENDINGS = (".duckdb", ".db")
 
 
@@ -27,7 +27,7 @@ def classify(files: DataFrame) -> DataFrame:
     is_pfp, is_psd = name.rlike(PFP_NAME), name.rlike(PSD_NAME)
     summary = F.endswith(F.lower(name), F.lit(".csv"))
     for c in SUMMARY_COLUMNS:
-        summary = summary & F.contains(header, F.lit(c))
+        summary = summary & F.coalesce(F.contains(header, F.lit(c)), F.lit(False))
     kind = F.when(_ends(name, IQ_ENDINGS), "iq").when(_ends(name, STORE_ENDINGS), "store").when(is_pfp, "pfp").when(is_psd, "psd").when(summary, "summaries").otherwise("none")
     part = lambda i: F.when(is_pfp, F.regexp_extract(name, PFP_NAME, i)).when(is_psd, F.regexp_extract(name, PSD_NAME, i))
     return files.withColumn("kind", kind).withColumn("day", part(1)).withColumn("sensor", part(2)).withColumn("stat", part(3))
@@ -81,11 +81,44 @@ def checksum_audit(contents: DataFrame, sidecars: DataFrame) -> DataFrame:
     return own.join(sidecars, "path", "left").select("path", "actual", state.alias("state"))
 
 
+def safe_path(path: Column) -> Column:
+    """Whether a listed path stays below the folder that it is joined to, on any system."""
+    parts = F.split(path, "/")
+    odd = F.exists(parts, lambda p: p.isin("", ".", "..") | F.contains(p, F.lit("\\")) | F.contains(p, F.lit(":")))
+    return F.coalesce(~odd, F.lit(False))
+
+
 def manifest(rows: DataFrame) -> DataFrame:
-    """Components of JSON manifests ``rows(id, json)``, plain or wrapped in ResultData; unsafe paths are dropped."""
-    component = "array<struct<filepath:string,downloadURL:string,size:bigint>>"
+    """Components of JSON manifests ``rows(id, json)``, plain or wrapped in ResultData: id, path, url, size, checksum.
+
+    Entries without a URL are no files; one without a path goes by the URL's last part; unsafe
+    paths are dropped. Checksum sidecars are not listed but go with the file that they are for,
+    as their URL.
+    """
+    component = "array<struct<filepath:string,downloadURL:string,size:bigint,`@type`:array<string>>>"
     plain = F.from_json("json", f"struct<components:{component}>")["components"]
     wrapped = F.flatten(F.from_json("json", f"struct<ResultData:array<struct<components:{component}>>>")["ResultData"]["components"])
-    rows = rows.select("id", F.explode(F.coalesce(plain, wrapped)).alias("c")).select("id", F.col("c.filepath").alias("path"), F.col("c.downloadURL").alias("url"), "c.size")
-    unsafe = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.contains("path", F.lit("\\"))
-    return rows.filter(F.col("path").isNotNull() & ~unsafe)
+    each = rows.select("id", F.explode(F.coalesce(plain, wrapped)).alias("c"))
+    last = F.url_decode(F.regexp_extract("c.downloadURL", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1))
+    path = F.coalesce(F.nullif(F.col("c.filepath"), F.lit("")), last)
+    listed = each.filter("c.downloadURL <> ''").select("id", path.alias("path"), F.col("c.downloadURL").alias("url"), "c.size", F.col("c.@type").alias("types"))
+    listed = listed.filter(safe_path(F.col("path")))
+    sidecar = F.endswith("path", F.lit(".sha256")) | F.coalesce(F.array_contains("types", "nrdp:ChecksumFile"), F.lit(False))
+    sums = listed.filter(sidecar).groupBy("id", F.regexp_replace("path", r"\.sha256$", "").alias("path")).agg(F.min("url").alias("checksum"))
+    return listed.filter(~sidecar).drop("types").join(sums, ["id", "path"], "left").select("id", "path", "url", "size", "checksum")
+
+
+def heads(spark, path: str, pattern: str = "*.csv") -> DataFrame:
+    """``path, header, n_cols`` of the files below a folder, from the first line of each.
+
+    Spark's text reader scans the files that the pattern names; of each one line is kept.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    rows = lines.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("k"))
+    first = rows.filter("at = 0").groupBy("path").agg(F.min_by("value", "k").alias("header"))
+    return first.withColumn("n_cols", F.size(F.split("header", ",")))
+
+
+def undecided(files: DataFrame) -> DataFrame:
+    """Of classified files those whose names do not decide: only their headers need to be read."""
+    return files.filter((F.col("kind") == "none") & F.endswith(F.lower("name"), F.lit(".csv")))

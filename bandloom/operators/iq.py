@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pyramid import column_levels
 
 
 def frames(samples: DataFrame, nfft: int) -> DataFrame:
@@ -29,48 +33,105 @@ def stft(frame_rows: DataFrame, nfft: int) -> DataFrame:
             offsets = pa.array(np.arange(0, dbm.size + 1, nfft), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(dbm.ravel()))], ["id", "frame", "dbm"])
 
-    return frame_rows.select("id", "frame", "i", "q").mapInArrow(run, "id int, frame long, dbm array<double>")
+    kind = frame_rows.schema["id"].dataType.simpleString()
+    return frame_rows.select("id", "frame", "i", "q").mapInArrow(run, f"id {kind}, frame long, dbm array<double>")
 
 
 def quantization_range(spectra: DataFrame) -> DataFrame:
-    """By capture: percentiles 0.1 and 99.9 of a sparse pass over its frames, 6 dB wider: id, qmin, qmax."""
-    total = spectra.groupBy("id").agg(F.max("frame").alias("last"))  # a row for each capture
-    step = F.greatest(F.lit(1), F.floor((F.col("last") + 1) / 64))
-    some = spectra.join(total, "id").filter(F.col("frame") % step < F.least(F.lit(32), step))
-    p = some.select("id", F.explode("dbm").alias("x")).groupBy("id").agg(F.percentile("x", F.array(F.lit(0.001), F.lit(0.999))).alias("p"))
+    """By capture: percentiles 0.1 and 99.9 of a sparse pass over its frames, 6 dB wider: id, qmin, qmax.
+
+    The pass takes stretches of up to 32 frames that begin a sixty-fourth of the capture apart;
+    where stretches overlap, a frame counts once for each.
+    """
+    total = spectra.groupBy("id").agg((F.max("frame") + 1).alias("n"))  # a row for each capture
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 64))
+    times = F.floor(F.col("frame") / step) - F.ceil(F.greatest(F.lit(0), F.col("frame") - 31) / step) + 1
+    some = spectra.join(total, "id").withColumn("times", times.cast("long")).filter("times > 0")
+    # equal values are counted before they meet
+    counted = some.select("id", "times", F.explode("dbm").alias("x")).groupBy("id", "x").agg(F.sum("times").alias("c"))
+    p = counted.groupBy("id").agg(F.percentile("x", F.array(F.lit(0.001), F.lit(0.999)), F.col("c")).alias("p"))
     return p.select("id", (F.col("p")[0] - 6).alias("qmin"), (F.col("p")[1] + 6).alias("qmax"))
 
 
 def columns(spectra: DataFrame, ranges: DataFrame) -> DataFrame:
     """Quantized columns of the finest level: id, col, bins."""
     joined = spectra.join(ranges, "id")
-    scaled = F.transform("dbm", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint((x - F.col("qmin")) / (F.col("qmax") - F.col("qmin")) * 255))).cast("smallint"))
+    share = lambda x: (x - F.col("qmin")) / (F.col("qmax") - F.col("qmin"))
+    scaled = F.transform("dbm", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(share(x) * 255))).cast("smallint"))
     return joined.select("id", F.col("frame").alias("col"), scaled.alias("bins"))
 
 
-def display_scale(level: DataFrame, ranges: DataFrame, least: float = 6.0) -> DataFrame:
-    """Percentiles 2 and 98 of a level, at least ``least`` dB apart, to a tenth: id, vmin, vmax."""
-    values = level.select("id", F.explode("bins").alias("q")).join(ranges, "id").select("id", (F.col("qmin") + F.col("q") / F.lit(255.0) * (F.col("qmax") - F.col("qmin"))).alias("x"))
-    p = values.groupBy("id").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+#: Columns of the coarsest level, at most.
+COARSEST = 2048
+
+
+def levels(spectra: DataFrame, ranges: DataFrame, coarsest: int = COARSEST) -> DataFrame:
+    """The whole pyramid of every capture: level, id, col, bins."""
+    return column_levels(columns(spectra, ranges), coarsest)
+
+
+def display_scale(pyramid: DataFrame, ranges: DataFrame, least: float = 6.0) -> DataFrame:
+    """Percentiles 2 and 98 of each capture's coarsest level, at least ``least`` dB apart, to a tenth: id, vmin, vmax."""
+    last = pyramid.groupBy("id").agg(F.max("level").alias("level"))
+    codes = pyramid.join(last, ["id", "level"]).select("id", F.explode("bins").alias("q"))
+    counted = codes.groupBy("id", "q").agg(F.count("*").alias("c")).join(ranges, "id")  # at most 256 codes a capture
+    x = F.col("qmin") + F.col("q") / F.lit(255.0) * (F.col("qmax") - F.col("qmin"))
+    p = counted.withColumn("x", x).groupBy("id").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98)), F.col("c")).alias("p"))
     low, high = F.col("p")[0], F.col("p")[1]
-    return p.select("id", F.round(low, 1).alias("vmin"), F.round(F.greatest(high, low + least), 1).alias("vmax"))
+    return p.select("id", F.round(low, 1).alias("vmin"), F.round(F.when(high - low < least, low + least).otherwise(high), 1).alias("vmax"))
+
 
+def metadata(captures: DataFrame, pyramid: DataFrame, ranges: DataFrame, scale: DataFrame, nfft: int) -> DataFrame:
+    """One row a capture ``(id, dataset, name, path, center, sample_rate, samples)``: what it is, its pyramid and its scales."""
+    n = pyramid.groupBy("id").agg((F.max("level") + 1).cast("int").alias("n_levels"))
+    size = lambda name: F.lit(nfft).alias(name)
+    return captures.join(n, "id").join(ranges, "id").join(scale, "id").select(
+        "id", "dataset", "name", "path", F.col("center").alias("fc"), F.col("sample_rate").alias("fs"),
+        (F.col("samples") / F.col("sample_rate")).alias("duration"), F.col("samples").alias("n_samples"),
+        size("nfft"), size("hop"), size("n_bins"), "n_levels", "qmin", "qmax", "vmin", "vmax",
+    )
 
-def window(level: DataFrame, first: int, last: int, low: int, high: int, h: int) -> DataFrame:
-    """Columns ``first`` to ``last`` and bins ``low`` to ``high`` (exclusive), pooled to ``h`` rows: id, col, r, q."""
-    from .pyramid import pool_rows
 
-    part = level.filter((F.col("col") >= first) & (F.col("col") < last)).withColumn("bins", F.slice("bins", low + 1, high - low))
-    return part.select("id", "col", F.posexplode(pool_rows(F.col("bins"), high - low, h)).alias("r", "q"))
+def window(pyramid: DataFrame, meta: DataFrame, requests: DataFrame, nfft: int) -> DataFrame:
+    """Cells of each request ``(window_id, id, t0, t1, f0, f1, w, h)``: window_id, level, col, r, q, dbm.
+
+    Requests are clipped to the capture; an empty rest gives no rows. The finest level with at
+    most ``2 * w`` columns answers, else the coarsest; bins are pooled to at most ``h`` rows.
+    """
+    m = meta.select("id", "fc", "fs", "duration", "n_levels", "qmin", "qmax")
+    low = F.col("fc") - F.col("fs") / 2
+    asked = requests.join(m, "id").withColumn("low", low)
+    asked = asked.withColumn("t0", F.greatest(F.lit(0.0), "t0")).withColumn("t1", F.least("duration", "t1"))
+    asked = asked.withColumn("f0", F.greatest("low", "f0")).withColumn("f1", F.least(F.col("low") + F.col("fs"), F.col("f1"))).filter("t1 > t0 and f1 > f0")
+    span = (F.col("t1") - F.col("t0")) * F.col("fs") / nfft
+    fits = F.array_min(F.filter(F.sequence(F.lit(0), F.col("n_levels") - 1), lambda k: span / F.pow(F.lit(2.0), k) <= 2 * F.col("w")))
+    asked = asked.withColumn("level", F.coalesce(fits, F.col("n_levels") - 1))
+    width = nfft * F.pow(F.lit(2.0), F.col("level")) / F.col("fs")
+    df = F.col("fs") / nfft
+    asked = asked.withColumn("c0", F.floor(F.col("t0") / width)).withColumn("c1", F.greatest(F.col("c0") + 1, F.ceil(F.col("t1") / width)))
+    asked = asked.withColumn("b0", F.floor((F.col("f0") - F.col("low")) / df).cast("int"))
+    asked = asked.withColumn("b1", F.least(F.lit(nfft), F.greatest(F.col("b0") + 1, F.ceil((F.col("f1") - F.col("low")) / df))).cast("int"))
+    inside = pyramid.join(asked, ["id", "level"]).filter("col >= c0 and col < c1")
+    n = F.col("b1") - F.col("b0")
+    group = F.greatest(F.lit(1), F.ceil(n / F.col("h"))).cast("int")
+    band = F.slice("bins", F.col("b0") + 1, n)
+    rows = F.transform(F.sequence(F.lit(0), F.ceil(n / F.col("group")).cast("int") - 1), lambda r: F.array_max(F.slice(F.col("band"), r * F.col("group") + 1, F.col("group"))))
+    cut = inside.withColumn("group", group).withColumn("band", band).select("window_id", "level", "col", "qmin", "qmax", F.posexplode(rows).alias("r", "q"))
+    return cut.select("window_id", "level", "col", "r", "q", (F.col("qmin") + F.col("q") / F.lit(255.0) * (F.col("qmax") - F.col("qmin"))).alias("dbm"))
 
 
 # --- captures on disk -------------------------------------------------------------------------
 
 #: Sample formats, as (numpy type, numbers a sample, scale).
 FORMATS = {
-    "cf64_le": ("<c16", 1, 1.0), "cf32_le": ("<c8", 1, 1.0), "ci32_le": ("<i4", 2, 1 / 2147483648), "ci16_le": ("<i2", 2, 1 / 32768), "ci16_be": (">i2", 2, 1 / 32768),
+    "cf64_le": ("<c16", 1, 1.0), "cf64_be": (">c16", 1, 1.0), "cf32_le": ("<c8", 1, 1.0), "cf32_be": (">c8", 1, 1.0),
+    "ci32_le": ("<i4", 2, 1 / 2147483648), "ci32_be": (">i4", 2, 1 / 2147483648), "ci16_le": ("<i2", 2, 1 / 32768), "ci16_be": (">i2", 2, 1 / 32768),
     "ci8": ("i1", 2, 1 / 128), "cu8": ("u1", 2, 1 / 128),
 }
+#: The endings of data files, of the sidecars that describe them, and of arrays that describe themselves.
+SIGMF_META, SIGMF_DATA, IQTAR_DATA, ARRAY = ".sigmf-meta", ".sigmf-data", ".complex1ch.float32", ".npy"
+#: Frames that a task decodes at once.
+FRAMES = 256
 
 
 def sample_size(datatype: str) -> int:
@@ -84,27 +145,98 @@ def decode_samples(raw: bytes, datatype: str) -> np.ndarray:
     return x.astype(np.complex128) if numbers == 1 else (x[0::2].astype(float) + 1j * x[1::2].astype(float)) * scale
 
 
-def read_frames(captures: DataFrame, nfft: int, frames_a_task: int = 256) -> DataFrame:
-    """Frames of stored captures ``(id, path, datatype, samples)``, each task reading its slices only.
-
-    The plan of slices is a DataFrame; paths must be readable from every executor.
+def _stem(path: Column, ending: str) -> Column:
+    return F.regexp_replace(path, re.escape(ending) + "$", "")
+
+
+def _files(spark, path: str, ending: str) -> DataFrame:
+    """``path, length, content`` of the files with an ending; Spark reads contents only where they are used."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(path)
+    return rows.select("path", "length", "content")
+
+
+def sigmf(spark, path: str) -> DataFrame:
+    """Captures described by JSON sidecars: stem, name, datatype, sample_rate, center, declared, scale."""
+    text = _files(spark, path, SIGMF_META).select(_stem(F.col("path"), SIGMF_META).alias("stem"), F.decode("content", "UTF-8").alias("json"))
+    shape = "struct<global:map<string,string>,captures:array<map<string,string>>,annotations:array<map<string,string>>>"
+    j = text.withColumn("j", F.from_json("json", shape)).select("stem", "j.*")
+    key = lambda name: F.col("global")[f"core:{name}"]
+    other = F.map_values(F.map_filter("global", lambda k, v: k.rlike(":(center_)?frequency$")))
+    center = F.coalesce(F.get("captures", F.lit(0))["core:frequency"], F.get(other, F.lit(0)))
+    ends = F.transform("annotations", lambda a: a["core:sample_start"].try_cast("long") + a["core:sample_count"].try_cast("long"))
+    return j.select(
+        "stem", F.element_at(F.split("stem", "/"), -1).alias("name"), key("datatype").alias("datatype"), key("sample_rate").try_cast("double").alias("sample_rate"),
+        F.coalesce(center.try_cast("double"), F.lit(0.0)).alias("center"), F.coalesce(F.array_max(ends), F.lit(0)).alias("declared"), F.lit(1.0).alias("scale"),
+    )
+
+
+def iq_tar(spark, path: str) -> DataFrame:
+    """The same from the XML beside unpacked iq-tar samples; a folder names the capture."""
+    text = _files(spark, path, f"{IQTAR_DATA}.xml").select(_stem(F.col("path"), f"{IQTAR_DATA}.xml").alias("stem"), F.decode("content", "UTF-8").alias("xml"))
+    tag = lambda name: F.nullif(F.trim(F.regexp_extract("xml", rf"<{name}(?:\s[^>]*)?>([^<]*)</{name}>", 1)), F.lit(""))
+    known = (F.lower(tag("Format")) == "complex") & (F.lower(tag("DataType")) == "float32") & (F.coalesce(tag("NumberOfChannels"), F.lit("1")) == "1")
+    return text.select(
+        "stem", F.element_at(F.split("stem", "/"), -2).alias("name"), F.when(known, "cf32_le").otherwise(F.concat_ws("/", tag("Format"), tag("DataType"))).alias("datatype"),
+        tag("Clock").try_cast("double").alias("sample_rate"), F.coalesce(tag("CenterFrequency").try_cast("double"), F.lit(0.0)).alias("center"),
+        F.coalesce(tag("Samples").try_cast("double"), F.lit(0.0)).cast("long").alias("declared"), F.coalesce(tag("ScalingFactor").try_cast("double"), F.lit(1.0)).alias("scale"),
+    )
+
+
+def audited(described: DataFrame, data: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """``described(stem, datatype, sample_rate, declared, ..)`` joined to its data ``(stem, path, length)``,
+    with ``samples`` and ``fault``: null where the capture may be read. Empty data count as none."""
+    sizes = sizes or {d: sample_size(d) for d in FORMATS}
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("datatype")]
+    rows = described.join(data, "stem", "left").withColumn("samples", F.floor(F.col("length") / size).cast("long"))
+    fault = (
+        F.when(size.isNull(), "datatype").when(F.col("path").isNull(), "no data").when(~F.coalesce(F.col("sample_rate") > 0, F.lit(False)), "sample rate")
+        .when(F.col("length") % size != 0, "ragged").when(F.col("samples") < F.col("declared"), "truncated").when(F.col("samples") == 0, "no data")
+    )
+    return rows.withColumn("fault", fault)
+
+
+def catalogue(spark, path: str) -> DataFrame:
+    """Every capture below a folder, SigMF and iq-tar, with its samples or its fault; contents are not read.
+
+    id, name, path, datatype, sample_rate, center, scale, declared, samples, fault
     """
-    n = F.floor(F.col("samples") / nfft)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / frames_a_task) - 1)).cast("array<bigint>")
-    plan = captures.filter(n > 0).select("id", "path", "datatype", n.cast("long").alias("n"), F.explode(starts).alias("k"))
-    plan = plan.select("id", "path", "datatype", (F.col("k") * frames_a_task).alias("first"), F.least(F.lit(frames_a_task), F.col("n") - F.col("k") * frames_a_task).cast("long").alias("count"))
+    data = lambda ending: _files(spark, path, ending).select(_stem(F.col("path"), ending).alias("stem"), "path", "length")
+    both = audited(sigmf(spark, path), data(SIGMF_DATA)).unionByName(audited(iq_tar(spark, path), data(IQTAR_DATA)))
+    return both.select(F.xxhash64("stem").alias("id"), "name", "path", "datatype", "sample_rate", "center", "scale", "declared", "samples", "fault")
 
-    def run(batches):
-        for batch in batches:
-            for id_, path, datatype, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = sample_size(datatype)
-                with open(path.removeprefix("file:"), "rb") as f:
-                    f.seek(first * nfft * size)
-                    x = decode_samples(f.read(count * nfft * size), datatype).reshape(-1, nfft)
-                offsets = pa.array(np.arange(0, x.size + 1, nfft), pa.int32())
-                parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v).ravel())) for v in (x.real, x.imag)]
-                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(x), pa.int32()), pa.array(range(first, first + len(x)), pa.int64()), *parts], ["id", "frame", "i", "q"])
 
-    return plan.repartition("id", "first").mapInArrow(run, "id int, frame long, i array<double>, q array<double>")
+def read_captures(spark, path: str, nfft: int) -> DataFrame:
+    """Whole frames ``id, frame, i, q`` of all captures below a folder that have no fault; arrays (.npy) as well.
 
+    Spark's own reader fetches the files, so any store that it opens will do. It hands over a
+    file at a time, of 2 GB at most; frames are decoded in slices. An array's id is that of its
+    path, without the ending.
+    """
+    sound = catalogue(spark, path).filter("fault is null").select("id", "path", "datatype", "scale")
+    arrays = _files(spark, path, ARRAY).select(F.xxhash64(_stem(F.col("path"), ARRAY)).alias("id"), F.lit(ARRAY).alias("datatype"), F.lit(1.0).alias("scale"), "content")
+    content = _files(spark, path, SIGMF_DATA).unionByName(_files(spark, path, IQTAR_DATA)).select("path", "content")
+    files = content.join(F.broadcast(sound), "path").select("id", "datatype", "scale", "content").unionByName(arrays)  # a row a capture
 
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                id_, datatype, scale = (batch.column(c)[at].as_py() for c in range(3))
+                raw = batch.column(3)[at].as_buffer()
+                if datatype == ARRAY:
+                    samples = np.load(io.BytesIO(raw), allow_pickle=False).reshape(-1)
+                    if not np.iscomplexobj(samples):
+                        continue
+                    slice_ = lambda a, b: samples[a:b]  # noqa: E731, B023
+                    n = len(samples) // nfft
+                else:
+                    size = sample_size(datatype) * nfft
+                    slice_ = lambda a, b: decode_samples(raw[a // nfft * size : b // nfft * size], datatype) * scale  # noqa: E731, B023
+                    n = len(raw) // size
+                for first in range(0, n, FRAMES):
+                    count = min(FRAMES, n - first)
+                    x = slice_(first * nfft, (first + count) * nfft)
+                    offsets = pa.array(np.arange(0, len(x) + 1, nfft), pa.int32())
+                    parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v, np.float64))) for v in (x.real, x.imag)]
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * count, pa.int64()), pa.array(range(first, first + count), pa.int64()), *parts], ["id", "frame", "i", "q"])
+
+    return files.mapInArrow(run, "id long, frame long, i array<double>, q array<double>")

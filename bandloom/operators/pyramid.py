@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +19,12 @@ def bucket_start(t: Column, bucket: int) -> Column:
 
 
 def summary_level(raw: DataFrame, bucket: int) -> DataFrame:
-    """One level straight from the raw rows: max of maxima, means of medians and of means."""
+    """One level straight from the raw rows: max of maxima, means of medians and of means.
+
+    A bucket of 0 is the raw rows themselves.
+    """
+    if not bucket:
+        return raw.select("sensor", "freq", "t", "mx", "md", "mn", F.lit(1).cast("long").alias("c"))
     return raw.groupBy("sensor", "freq", bucket_start(F.col("t"), bucket).alias("t")).agg(
         F.max("mx").alias("mx"), F.avg("md").alias("md"), F.avg("mn").alias("mn"), F.count("*").alias("c")
     )
@@ -33,14 +41,79 @@ def summary_pyramid(raw: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFra
     )
 
 
+def _runs(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Where rows begin that differ in ``keys`` from the row before, and the end."""
+    new = np.zeros(batch.num_rows + 1, bool)
+    new[[0, -1]] = True
+    for k in keys:
+        code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:-1] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _pooled(batch: pa.RecordBatch, keys: Sequence[str], vector: str) -> pa.RecordBatch:
+    """The batch, whose equal keys lie together, with one row a key: element-wise maxima, nulls apart."""
+    edges = _runs(batch, keys)
+    column = batch.column(vector)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = column.flatten()
+    width = int(sizes.max(initial=0))
+    firsts = batch.select(list(keys)).take(pa.array(edges[:-1]))
+    if flat.null_count or (sizes != width).any():  # ragged: missing places count as null
+        filled = np.zeros((batch.num_rows, width), bool)
+        cells = np.zeros((batch.num_rows, width), pc.fill_null(flat, 0).to_numpy().dtype)
+        there = np.arange(width) < sizes[:, None]
+        filled[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+        cells[there] = pc.fill_null(flat, 0).to_numpy()
+        low = -np.inf if cells.dtype.kind == "f" else np.iinfo(cells.dtype).min
+        best = np.maximum.reduceat(np.where(filled, cells, low), edges[:-1], axis=0)
+        seen = np.logical_or.reduceat(filled, edges[:-1], axis=0)
+        lengths = np.maximum.reduceat(sizes, edges[:-1])
+        kept = np.arange(width) < lengths[:, None]
+        values, mask = best[kept], ~seen[kept]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+    else:
+        values = np.maximum.reduceat(flat.to_numpy().reshape(batch.num_rows, width), edges[:-1], axis=0).ravel()
+        mask, offsets = None, np.arange(len(edges)) * width
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, flat.type, mask=mask))
+    return pa.RecordBatch.from_arrays([*firsts.columns, lists], [*keys, vector])
+
+
+def _sorted_batch(batch: pa.RecordBatch, keys: Sequence[str]) -> pa.RecordBatch:
+    return batch.take(pc.sort_indices(batch.select(list(keys)), [(k, "ascending") for k in keys]))
+
+
 def vector_max(df: DataFrame, by: Sequence[str], vector: str, out: str = "smax") -> DataFrame:
-    """Element-wise maximum of ``vector`` in each group.
+    """Element-wise maximum of ``vector`` in each group, as long as the longest; null where all are.
 
-    Positions become rows, so that maxima are pre-aggregated on the map side and can spill.
+    Whole vectors are pooled in the tasks that read them, batch by batch, and only these partial
+    maxima move; a group of any size reaches its task as one vector for each batch that held it.
     """
-    long = df.select(*by, F.posexplode(vector).alias("pos", "v")).groupBy(*by, "pos").agg(F.max("v").alias("v"))
-    rows = long.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    return rows.select(*by, F.col("s.v").alias(out))
+    rows = df.select(*by, F.col(vector).alias(out))
+    shape = rows.schema
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _pooled(_sorted_batch(batch, by), by, out)
+
+    def final(batches):
+        """Rows come in order of their keys; the last key waits for the next batch."""
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            pooled = _pooled(batch, by, out)
+            waiting = pooled.slice(pooled.num_rows - 1)
+            if pooled.num_rows > 1:
+                yield pooled.slice(0, pooled.num_rows - 1)
+        if waiting is not None:
+            yield waiting
+
+    moved = rows.mapInArrow(partial, shape).repartition(*by).sortWithinPartitions(*by)
+    return moved.mapInArrow(final, shape)
 
 
 def psd_level(captures: DataFrame, bucket: int, by: Sequence[str] = ("stat", "sensor"), vector: str = "spec") -> DataFrame:
@@ -59,16 +132,19 @@ def top_up(level: DataFrame, captures: DataFrame, since: int, bucket: int) -> Da
     return level.filter(F.col("t") < start).unionByName(psd_level(captures.filter(F.col("t") >= start), bucket))
 
 
-def column_levels(columns: DataFrame, coarsest: int) -> list[DataFrame]:
-    """Pairs of neighbouring columns ``(id, col, bins)`` become one, an odd last one goes, until few enough are left."""
-    levels, n = [columns], columns.agg(F.max("col")).first()[0]
-    n = 0 if n is None else n + 1
-    while n > coarsest:
-        sizes = levels[-1].groupBy("id").agg((F.max("col") + 1).alias("n"))
-        even = levels[-1].join(F.broadcast(sizes), "id").filter(F.col("col") < 2 * F.floor(F.col("n") / 2)).drop("n")  # a row for each capture
-        levels.append(vector_max(even.withColumn("col", F.floor(F.col("col") / 2).cast("long")), ["id", "col"], "bins", "bins"))
-        n //= 2
-    return levels
+def column_levels(columns: DataFrame, coarsest: int) -> DataFrame:
+    """``level, id, col, bins`` from the columns ``(id, col, bins)`` of level 0.
+
+    Each level's pairs of neighbouring columns become one column of the next, an odd last one
+    goes, until a capture, by itself, has at most ``coarsest`` columns.
+    """
+    sizes = columns.groupBy("id").agg((F.max("col") + 1).alias("n"))
+    level = F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: (k == 0) | (F.floor(F.col("n") / F.pow(F.lit(2.0), k - 1)) > coarsest)))
+    each = columns.join(sizes, "id").select("id", "n", "bins", "col", level.alias("level"))
+    width = F.pow(F.lit(2.0), F.col("level"))
+    at = F.floor(F.col("col") / width)
+    whole = each.withColumn("n", F.floor(F.col("n") / width)).withColumn("col", at.cast("long")).filter("col < n")
+    return vector_max(whole, ["level", "id", "col"], "bins", "bins")
 
 
 def column_of(t: Column, t0: Column, t1: Column, cols: int) -> Column:
@@ -124,18 +200,23 @@ def hold(grid: DataFrame, windows: DataFrame, cols: int, value: str) -> DataFram
 def as_of(captures: DataFrame, windows: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
     """For each window the last capture before its end, else the first ever: window_id, t, vector.
 
-    The capture is of the end's own day, or the last of an earlier day, of which a row a day is kept.
+    The capture is of the end's own day, or the last of the latest earlier day. Days and times
+    are settled without vectors; each window then fetches one.
     """
-    one = F.struct("t", vector)
+    by = list(by)
     dated = captures.withColumn("_day", F.floor(F.col("t") / BUCKETS[-1]))
-    asked = windows.withColumn("_day", F.floor(F.col("t1") / BUCKETS[-1]))
-    same = dated.join(asked.select("window_id", *by, "t1", "_day"), [*by, "_day"]).filter("t < t1").groupBy("window_id").agg(F.max_by(one, "t").alias("same"))
-    last = dated.groupBy(*by, "_day").agg(F.max_by(one, "t").alias("one"), F.min_by(one, "t").alias("early"))
-    first = last.groupBy(*by).agg(F.min_by("early", "_day").alias("first"))
-    older = asked.select("window_id", *by, F.col("_day").alias("_end")).join(last, list(by)).filter("_day < _end").groupBy("window_id").agg(F.max_by("one", "_day").alias("older"))
-    found = asked.join(first, list(by)).join(same, "window_id", "left").join(older, "window_id", "left")
-    chosen = F.coalesce("same", "older", "first")
-    return found.select("window_id", chosen["t"].alias("t"), chosen[vector].alias(vector))
+    asked = windows.select("window_id", *by, "t1", F.floor(F.col("t1") / BUCKETS[-1]).alias("_end"))
+    days = dated.groupBy(*by, "_day").agg(F.max("t").alias("_last"), F.min("t").alias("_first"))
+    times = dated.select(*by, F.col("_day").alias("_end"), "t")
+    same = times.join(asked, [*by, "_end"]).filter("t < t1").groupBy("window_id").agg(F.max("t").alias("_same"))
+    # pairs of days of one key: as many as the calendar has, however many windows ask
+    ends = asked.select(*by, "_end").distinct()
+    older = ends.join(days, by).filter("_day < _end").groupBy(*by, "_end").agg(F.max("_last").alias("_older"))
+    first = days.groupBy(*by).agg(F.min("_first").alias("_ever"))
+    found = asked.join(first, by).join(older, [*by, "_end"], "left").join(same, "window_id", "left")
+    chosen = found.select("window_id", *by, F.coalesce("_same", "_older", "_ever").alias("t"))
+    fetched = chosen.withColumn("_day", F.floor(F.col("t") / BUCKETS[-1])).join(dated.select(*by, "_day", "t", vector), [*by, "_day", "t"])
+    return fetched.groupBy("window_id").agg(F.first("t").alias("t"), F.first(vector).alias(vector))
 
 
 def numbered(rows: DataFrame, by: Sequence[str], *ties: str) -> DataFrame:

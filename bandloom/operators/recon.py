@@ -10,11 +10,19 @@ from ..functions.quant import Geometry, code, decode
 KEY = ["sensor", "stat", "t"]
 
 
+def _side_by_side(pairs: DataFrame, *by: str) -> DataFrame:
+    """Captures with ``values`` and ``spec`` as one row for each position that both have."""
+    n = F.least(F.size("values"), F.size("spec"))
+    both = F.arrays_zip(F.slice("values", F.lit(1), n).alias("v"), F.slice("spec", F.lit(1), n).alias("q"))
+    return pairs.select(*by, F.posexplode(both).alias("pos", "c")).select(*by, "pos", F.col("c.v").alias("v"), F.col("c.q").alias("q"))
+
+
 def cells(source: DataFrame, stored: DataFrame) -> DataFrame:
-    """Source values and stored codes side by side: sensor, stat, t, pos, v, q."""
-    a = source.select(*KEY, F.posexplode("values").alias("pos", "v"))
-    b = stored.select(*KEY, F.posexplode("spec").alias("pos", "q"))
-    return a.join(b, [*KEY, "pos"])
+    """Source values and stored codes side by side: sensor, stat, t, pos, v, q.
+
+    Captures are joined whole; cells come apart after that and are not shuffled.
+    """
+    return _side_by_side(source.select(*KEY, "values").join(stored.select(*KEY, "spec"), KEY), *KEY)
 
 
 def _inside(g: Geometry) -> Column:
@@ -61,29 +69,58 @@ def exact(both: DataFrame, g: Geometry, one_in: int = 7) -> DataFrame:
 
 def routing(source: DataFrame, stored: DataFrame, g: Geometry) -> DataFrame:
     """Each statistic's store against every statistic's source: its own must match, the others differ."""
-    a = source.select("sensor", "t", F.col("stat").alias("source_stat"), F.posexplode("values").alias("pos", "v"))
-    b = stored.select("sensor", "t", F.col("stat").alias("stored_stat"), F.posexplode("spec").alias("pos", "q"))
+    a = source.select("sensor", "t", F.col("stat").alias("source_stat"), "values")
+    b = stored.select("sensor", "t", F.col("stat").alias("stored_stat"), "spec")
     gap = F.abs(decode(F.col("q"), g.qmin, g.qmax) - F.col("v"))
-    both = a.join(b, ["sensor", "t", "pos"]).filter(_inside(g))
-    return both.groupBy("source_stat", "stored_stat").agg(F.max(gap).alias("gap")).withColumn("ok", F.when(F.col("source_stat") == F.col("stored_stat"), F.col("gap") <= g.step / 2 + 1e-9).otherwise(F.col("gap") > 1))
+    both = _side_by_side(a.join(b, ["sensor", "t"]), "source_stat", "stored_stat").filter(_inside(g))
+    own = F.col("source_stat") == F.col("stored_stat")
+    ok = F.when(own, F.col("gap") <= g.step / 2 + 1e-9).otherwise(F.col("gap") > 1)
+    return both.groupBy("source_stat", "stored_stat").agg(F.max(gap).alias("gap")).withColumn("ok", ok)
 
 
 def presence(source: DataFrame, stored: DataFrame) -> DataFrame:
-    """Captures that are missing (within a microsecond), stored twice, or stored without a source."""
+    """Captures that are missing (within a microsecond), stored twice, or stored without a source.
+
+    One row for every sensor and statistic that either side has.
+    """
     us = F.rint(F.col("t") * 1_000_000).cast("long")
-    a = source.select("sensor", "stat", us.alias("us"))
-    b = stored.select("sensor", "stat", us.alias("us"))
+    key = ["sensor", "stat", "us"]
+    a, b = (df.select("sensor", "stat", us.alias("us")) for df in (source, stored))
     near = lambda df: df.select("sensor", "stat", F.explode(F.array(F.col("us") - 1, F.col("us"), F.col("us") + 1)).alias("us")).distinct()
-    count = lambda df, name: df.groupBy("sensor", "stat").agg(F.count("*").alias(name))
-    twice = b.groupBy("sensor", "stat", "us").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = [
-        count(a, "source_n"), count(b, "stored_n"), count(a.join(near(b), ["sensor", "stat", "us"], "left_anti"), "missing"),
-        count(b.join(near(a), ["sensor", "stat", "us"], "left_anti"), "extra"), count(twice, "twice"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, ["sensor", "stat"], "left")
-    return out.fillna(0)
+    twice = b.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    parts = {
+        "source_n": a, "stored_n": b, "missing": a.join(near(b), key, "left_anti"),
+        "extra": b.join(near(a), key, "left_anti"), "twice": twice,
+    }
+    every = None
+    for name, rows in parts.items():
+        some = rows.select("sensor", "stat", F.lit(name).alias("part"))
+        every = some if every is None else every.unionByName(some)
+    return every.groupBy("sensor", "stat").agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
+
+
+def report(source: DataFrame, stored: DataFrame, g: Geometry) -> DataFrame:
+    """``sensor, stat, check, n_checked, n_bad, ok`` of values, clipping, codes and presence in one table.
+
+    A check that had nothing to look at has failed, but for clipping, which may have nothing to find.
+    """
+    key = ["sensor", "stat"]
+    v, q = F.col("v"), F.col("q")
+    off = F.abs(decode(q, g.qmin, g.qmax) - v) > g.step / 2 + 1e-9
+    low, high = v < g.qmin, v > g.qmax
+    sums = {
+        "values": (_inside(g), off), "codes": (F.lit(True), q != code(v, g.qmin, g.qmax)),
+        "clipped": (low | high, (low & (q != 0)) | (high & (q != 255))),
+    }
+    counts = [c for name, (seen, bad) in sums.items() for c in (F.count_if(seen).alias(f"{name}_n"), F.count_if(seen & bad).alias(f"{name}_bad"))]
+    by_cell = cells(source, stored).groupBy(*key).agg(*counts)
+    there = presence(source, stored)
+    # a combination that only one side has reached no cell: its checks saw nothing
+    every = there.join(by_cell, key, "left").fillna(0)
+    rows = [F.struct(F.lit(n).alias("check"), F.col(f"{n}_n").alias("n_checked"), F.col(f"{n}_bad").alias("n_bad")) for n in sums]
+    rows.append(F.struct(F.lit("presence").alias("check"), F.col("source_n").alias("n_checked"), (F.col("missing") + F.col("extra") + F.col("twice")).alias("n_bad")))
+    flat = every.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.*")
+    return flat.withColumn("ok", (F.col("n_bad") == 0) & ((F.col("n_checked") > 0) | (F.col("check") == "clipped")))
 
 
 def axis(header: DataFrame, g: Geometry, within: float = 1.0) -> DataFrame:

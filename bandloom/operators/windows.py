@@ -67,9 +67,17 @@ def snap_channel(requests: DataFrame, channels: DataFrame, within: float) -> Dat
 
 
 def match_table(psd_values: DataFrame, summary_values: DataFrame) -> DataFrame:
-    """Quantiles of both layers by sensor: sensor, xs (strictly increasing), ys. Sensors with few values have none."""
+    """Quantiles of both layers by sensor: sensor, xs (strictly increasing), ys. Sensors with few values have none.
+
+    Equal values are counted first: a layer of codes has 256 of them at most.
+    """
     share = F.array(*[F.lit(k / KNOTS) for k in range(KNOTS + 1)])
-    side = lambda df, name: df.groupBy("sensor").agg(F.percentile("x", share).alias(name), F.count("x").alias("n")).filter(F.col("n") >= LEAST_VALUES).drop("n")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        counted = df.filter("x is not null").groupBy("sensor", "x").agg(F.count("*").alias("c"))
+        rows = counted.groupBy("sensor").agg(F.percentile("x", share, F.col("c")).alias(name), F.sum("c").alias("n"))
+        return rows.filter(F.col("n") >= LEAST_VALUES).drop("n")
+
     rising = F.transform("xs", lambda x, k: x + k * F.lit(1e-4))
     return side(psd_values, "xs").join(side(summary_values, "ys"), "sensor").withColumn("xs", rising)
 
@@ -94,25 +102,72 @@ def pick_scale(locked_min: Column, locked_max: Column, matched: Column, own: Col
     return F.coalesce(locked, matched, own)
 
 
-def spectrum_window(captures: DataFrame, windows: DataFrame, cols: int, h: int, g: Geometry, by: Sequence[str] = ("sensor",), levels: dict[int, DataFrame] | None = None, offset: float = CHANNEL_OFFSET) -> DataFrame:
-    """Windows ``(window_id, ..by, t0, t1)`` as grids: window_id, col, r, q, dbm, filled, gap.
+def grid_columns(width: Column) -> Column:
+    """Columns of a window drawn ``width`` pixels wide: two a pixel, 1 to 4,096."""
+    return F.greatest(F.lit(1), F.least(F.lit(4096), width * 2)).cast("int")
+
 
-    Per window: the widest stored level that its columns allow if captures are too many, else
-    the captures; pooled to columns; where a window is empty the capture before it; gaps held;
-    bins pooled to at most ``h`` rows; decoded. All windows are one job.
+def summary_window(levels: dict[int, DataFrame], requests: DataFrame) -> DataFrame:
+    """``window_id, level, freq, t, mx, md, mn`` of each request ``(window_id, sensor, t0, t1, width)``.
+
+    ``levels``: the stored levels by bucket, the raw rows under 0; each request reads the one that
+    its span and width call for.
     """
+    asked = requests.withColumn("level", summary_level_of(F.greatest(F.col("t1") - F.col("t0"), F.lit(1.0)), F.col("width")))
+    out = None
+    for bucket, level in levels.items():
+        rows = level.select("sensor", "freq", F.col("t").cast("double").alias("t"), "mx", "md", "mn")
+        part = P.within(rows, asked.filter(F.col("level") == bucket), ["sensor"]).select("window_id", "level", "freq", "t", "mx", "md", "mn")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def choose_level(windows: DataFrame, levels: dict[int, DataFrame], cols: int, by: Sequence[str]) -> DataFrame:
+    """``windows`` (with ``ncap``) with ``level``: the widest stored level that their columns allow if
+    captures are too many and the level spans the window, else none: a level that ends early
+    would show its last row as what came after."""
+    chosen = windows.withColumn("level", psd_level_of(F.col("t1") - F.col("t0"), F.lit(cols), F.col("ncap"), sorted(levels)))
+    if not levels:
+        return chosen
+    covered = None
+    for bucket, level in levels.items():
+        asked = chosen.filter(F.col("level") == bucket).select("window_id", *by, "t0", "t1")
+        part = level_coverage(level, asked, bucket, by).filter("covers").select("window_id", F.lit(bucket).alias("covered"))
+        covered = part if covered is None else covered.unionByName(part)
+    return chosen.join(covered, "window_id", "left").withColumn("level", F.col("covered")).drop("covered")
+
+
+def spectrum_window(
+    captures: DataFrame, windows: DataFrame, cols: int, h: int, g: Geometry, by: Sequence[str] = ("sensor",),
+    levels: dict[int, DataFrame] | None = None, offset: float = CHANNEL_OFFSET, shown: DataFrame | None = None,
+) -> DataFrame:
+    """Windows ``(window_id, ..by, t0, t1)`` as grids: window_id, col, r, q, dbm, filled, gap.
+
+    Per window: the widest stored level that its columns allow and that spans it, if captures are
+    too many, else the captures; pooled to columns; where a window is empty the capture before it;
+    gaps held; bins pooled to at most ``h`` rows; decoded, or shown as ``shown(sensor, q, dbm)``
+    says where that has the sensor. All windows are one job.
+    """
+    levels = levels or {}
     inside = P.within(captures.select(*by, "t"), windows, by).groupBy("window_id").agg(F.count("*").alias("ncap"))
-    chosen = windows.join(inside, "window_id", "left").fillna(0, "ncap").withColumn("level", psd_level_of(F.col("t1") - F.col("t0"), F.lit(cols), F.col("ncap"), sorted(levels or {})))
+    chosen = choose_level(windows.join(inside, "window_id", "left").fillna(0, "ncap"), levels, cols, by)
     plain = chosen.filter("level is null")
     grid = P.to_grid(captures, plain.drop("level", "ncap"), cols, by, "spec").select("window_id", "col", "smax")
-    for bucket, level in (levels or {}).items():
-        grid = grid.unionByName(P.levels_to_grid(level, chosen.filter(F.col("level") == bucket).drop("level", "ncap"), cols, bucket, by).select("window_id", "col", "smax"))
+    for bucket, level in levels.items():
+        asked = chosen.filter(F.col("level") == bucket).drop("level", "ncap")
+        grid = grid.unionByName(P.levels_to_grid(level, asked, cols, bucket, by).select("window_id", "col", "smax"))
     empty = plain.filter("ncap = 0").drop("level", "ncap")
     before = P.as_of(captures, empty, by, "spec").select("window_id", F.lit(0).alias("col"), F.col("spec").alias("smax"))
     gaps = before.select("window_id", F.lit(True).alias("gap"))
     rows = P.hold(grid.unionByName(before), windows, cols, "smax").filter("smax is not null").join(gaps, "window_id", "left")
-    long = rows.select("window_id", "col", "filled", F.coalesce("gap", F.lit(False)).alias("gap"), F.posexplode(P.pool_rows(F.col("smax"), g.n, h)).alias("r", "q"))
-    return long.withColumn("dbm", decode(F.col("q"), g.qmin, g.qmax, offset))
+    pooled = F.posexplode(P.pool_rows(F.col("smax"), g.n, h)).alias("r", "q")
+    long = rows.select("window_id", "col", "filled", F.coalesce("gap", F.lit(False)).alias("gap"), pooled)
+    own = decode(F.col("q"), g.qmin, g.qmax, offset)
+    if shown is None:
+        return long.withColumn("dbm", own)
+    of = windows.select("window_id", "sensor")
+    matched = long.join(of, "window_id").join(shown, ["sensor", "q"], "left").withColumn("dbm", F.coalesce("dbm", own))
+    return matched.select("window_id", "col", "filled", "gap", "r", "q", "dbm")
 
 
 def coloured(grid: DataFrame, scale: DataFrame, value: str = "dbm") -> DataFrame:

@@ -36,46 +36,90 @@ def stft(spark, sf_dir):
     return spectra(spark, sf_dir).select("id", "frame", F.posexplode("dbm").alias("bin", "dbm")).withColumn("dbm", F.round("dbm", 2))
 
 
-@query(sql(f"WITH {DFT}, r AS (SELECT id, frame % greatest(1, (max(frame) OVER (PARTITION BY id) + 1) // 64) < least(32, greatest(1, (max(frame) OVER (PARTITION BY id) + 1) // 64)) AS pick, dbm FROM d) SELECT id, round(quantile_cont(dbm, 0.001) - 6, 4) AS qmin, round(quantile_cont(dbm, 0.999) + 6, 4) AS qmax FROM r WHERE pick GROUP BY id", "v_iq"))
+RANGE = f"""{DFT}, st AS (SELECT id, greatest(1, (max(frame) + 1) // 64) AS step FROM d GROUP BY id),
+tm AS (SELECT id, dbm, CAST(frame // step - CAST(ceil(greatest(0, frame - 31) / step::DOUBLE) AS BIGINT) + 1 AS BIGINT) AS times FROM d JOIN st USING (id)),
+rp AS (SELECT id, dbm FROM (SELECT id, dbm, unnest(range(0, times)) AS k FROM tm WHERE times > 0)),
+qr AS (SELECT id, quantile_cont(dbm, 0.001) - 6 AS qmin, quantile_cont(dbm, 0.999) + 6 AS qmax FROM rp GROUP BY id)"""
+
+
+@query(sql(f"WITH {RANGE} SELECT id, round(qmin, 4) AS qmin, round(qmax, 4) AS qmax FROM qr", "v_iq"))
 def iq_qrange(spark, sf_dir):
     return IQ.quantization_range(spectra(spark, sf_dir)).select("id", F.round("qmin", 4).alias("qmin"), F.round("qmax", 4).alias("qmax"))
 
 
-def iq_level0(spark, sf_dir):
+#: Columns of the coarsest level of the captures in the tables.
+COARSEST = 8
+#: Codes, and by level the maxima of 2 ** level columns, while a capture has more than COARSEST. Both
+#: sides see decibels to a tenth, so that a last bit in a transform cannot move a code.
+LEVELS = f"""{RANGE}, c0 AS (SELECT id, frame AS col, bin, CAST(greatest(0, least(255, round_even((round(dbm, 1) - round(qmin, 1)) / (round(qmax, 1) - round(qmin, 1)) * 255, 0))) AS SMALLINT) AS q FROM d JOIN qr USING (id)),
+nc AS (SELECT id, max(col) + 1 AS n FROM c0 GROUP BY id), lk AS (SELECT id, n, k FROM nc, (SELECT unnest(range(0, 30)) AS k) WHERE k = 0 OR n // CAST(2 ** (k - 1) AS BIGINT) > {COARSEST}),
+lv AS (SELECT CAST(k AS INTEGER) AS level, id, col // CAST(2 ** k AS BIGINT) AS col, bin, max(q) AS q FROM c0 JOIN lk USING (id) WHERE col // CAST(2 ** k AS BIGINT) < n // CAST(2 ** k AS BIGINT) GROUP BY ALL),
+sc AS (SELECT id, round(a, 1) AS vmin, round(CASE WHEN b - a < 6 THEN a + 6 ELSE b END, 1) AS vmax FROM (SELECT id, quantile_cont(x, 0.02) AS a, quantile_cont(x, 0.98) AS b FROM
+ (SELECT lv.id, round(qmin, 1) + q / 255.0::DOUBLE * (round(qmax, 1) - round(qmin, 1)) AS x FROM lv JOIN (SELECT id, max(level) AS level FROM lv GROUP BY id) USING (id, level) JOIN qr USING (id)) GROUP BY id))"""
+
+
+def iq_levels(spark, sf_dir):
+    """Pyramid and ranges, of decibels to a tenth."""
     s = spectra(spark, sf_dir)
-    ranges = IQ.quantization_range(s)
-    return IQ.columns(s, ranges), ranges
+    ranges = IQ.quantization_range(s).select("id", F.round("qmin", 1).alias("qmin"), F.round("qmax", 1).alias("qmax"))
+    s = s.withColumn("dbm", F.transform("dbm", lambda x: F.round(x, 1)))
+    return IQ.levels(s, ranges, COARSEST), ranges
 
 
-@query()
+@query(sql(f"WITH {LEVELS} SELECT id, col, bin, q FROM lv WHERE level = 0", "v_iq"))
 def iq_columns(spark, sf_dir):
-    return iq_level0(spark, sf_dir)[0].select("id", "col", F.posexplode("bins").alias("bin", "q"))
+    return iq_levels(spark, sf_dir)[0].filter("level = 0").select("id", "col", F.posexplode("bins").alias("bin", "q"))
 
 
-@query(sql("WITH s AS (SELECT id, sample // 64 AS col, sample % 64 AS pos, CAST(i AS SMALLINT) AS v FROM v_iq), l1 AS (SELECT id, col // 2 AS col, pos, max(v) AS v FROM s JOIN (SELECT id, (max(col) + 1) // 2 * 2 AS m FROM s GROUP BY id) USING (id) WHERE col < m GROUP BY ALL), l2 AS (SELECT id, col // 2 AS col, pos, max(v) AS v FROM l1 JOIN (SELECT id, (max(col) + 1) // 2 * 2 AS m FROM l1 GROUP BY id) USING (id) WHERE col < m GROUP BY ALL) SELECT CAST(lv AS INTEGER) AS level, id, CAST(col AS BIGINT) AS col, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT 1 AS lv, * FROM l1 UNION ALL SELECT 2, * FROM l2) GROUP BY ALL", "v_iq"))
+@query(sql(f"WITH {LEVELS} SELECT level, id, col, count(*) AS n, CAST(sum(q) AS BIGINT) AS total FROM lv GROUP BY ALL", "v_iq"))
 def iq_pyramid(spark, sf_dir):
-    """Two levels over columns of 64 numbers; an odd last column goes."""
-    s = V.iq(spark, sf_dir).select("id", F.floor(F.col("sample") / 64).cast("long").alias("col"), "sample", F.col("i").cast("smallint").alias("v"))
-    cols = s.groupBy("id", "col").agg(F.array_sort(F.collect_list(F.struct("sample", "v"))).alias("a")).select("id", "col", F.col("a.v").alias("bins"))
-    most = cols.agg(F.max("col")).first()[0] + 1
-    levels = P.column_levels(cols, max(1, most // 4))[1:3]
-    out = None
-    for k, level in enumerate(levels, 1):
-        rows = level.select(F.lit(k).alias("level"), "id", "col", F.size("bins").cast("long").alias("n"), F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query()
+    """Each capture's levels, as many as it needs by itself; an odd last column goes."""
+    total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")
+    return iq_levels(spark, sf_dir)[0].select("level", "id", "col", F.size("bins").cast("long").alias("n"), total)
+
+
+@query(sql(f"WITH {LEVELS} SELECT * FROM sc", "v_iq"))
 def iq_display_scale(spark, sf_dir):
-    level, ranges = iq_level0(spark, sf_dir)
-    return IQ.display_scale(level, ranges)
+    """From each capture's coarsest level."""
+    return IQ.display_scale(*iq_levels(spark, sf_dir))
+
+
+META = "m AS (SELECT id, 1e6 * (1 + id % 3) AS fc, 1600.0::DOUBLE * (1 + id % 2) AS fs, count(*) AS samples FROM v_iq GROUP BY id)"
+
+
+def iq_captures(spark, sf_dir):
+    fc, fs = 1e6 * (1 + F.col("id") % 3), F.lit(1600.0) * (1 + F.col("id") % 2)
+    name = F.concat(F.lit("cap"), F.col("id").cast("string"))
+    rows = V.iq(spark, sf_dir).groupBy("id").agg(F.count("*").alias("samples"))
+    return rows.select("id", F.lit("lineitem").alias("dataset"), name.alias("name"), F.concat(F.lit("/d/"), name).alias("path"), fc.alias("center"), fs.alias("sample_rate"), "samples")
+
+
+def iq_metadata(spark, sf_dir):
+    pyramid, ranges = iq_levels(spark, sf_dir)
+    return pyramid, IQ.metadata(iq_captures(spark, sf_dir), pyramid, ranges, IQ.display_scale(pyramid, ranges), NFFT)
+
+
+VIEWS = f"""{LEVELS}, {META}, mm AS (SELECT m.*, samples / fs AS duration, fc - fs / 2 AS low, fs / {NFFT} AS df, n_levels FROM m JOIN (SELECT id, max(level) + 1 AS n_levels FROM lv GROUP BY id) USING (id)),
+rq AS (SELECT *, (least(duration, t1) - greatest(0, t0)) * fs / {NFFT} AS span FROM (SELECT mm.*, k, CASE WHEN k = 0 THEN -1.0::DOUBLE WHEN k = 1 THEN duration / 3 ELSE duration + 1 END AS t0, CASE WHEN k = 0 THEN duration + 1 WHEN k = 1 THEN duration / 2 ELSE duration + 2 END AS t1,
+ CASE WHEN k = 0 THEN low - 5 ELSE fc - 2.5 * df END AS f0, CASE WHEN k = 0 THEN fc + fs ELSE fc + 4.25 * df END AS f1, CASE WHEN k = 0 THEN 3 ELSE 40 END AS w, CASE WHEN k = 0 THEN 5 ELSE 100 END AS h FROM mm, (SELECT unnest(range(0, 3)) AS k))),
+cl AS (SELECT id, k, greatest(0, t0) AS t0, least(duration, t1) AS t1, greatest(low, f0) AS f0, least(low + fs, f1) AS f1, fs, low, df, h, coalesce((SELECT min(x) FROM unnest(range(0, 30)) AS u(x) WHERE x < n_levels AND span / 2.0 ** x <= 2 * w), n_levels - 1) AS level FROM rq),
+bn AS (SELECT *, floor(t0 / ({NFFT} * 2.0 ** level / fs)) AS c0, ceil(t1 / ({NFFT} * 2.0 ** level / fs)) AS c1, CAST(floor((f0 - low) / df) AS INTEGER) AS b0, CAST(least({NFFT}, ceil((f1 - low) / df)) AS INTEGER) AS b1 FROM cl WHERE t1 > t0 AND f1 > f0),
+gr AS (SELECT *, greatest(c0 + 1, c1) AS ce, greatest(b0 + 1, b1) AS be, greatest(1, CAST(ceil((greatest(b0 + 1, b1) - b0) / h::DOUBLE) AS INTEGER)) AS grp FROM bn)"""
 
 
-@query()
+@query(sql(f"WITH {VIEWS} SELECT lv.id || '/' || k AS window_id, CAST(lv.level AS INTEGER) AS level, col, CAST((bin - b0) // grp AS INTEGER) AS r, max(q) AS q FROM lv JOIN gr ON lv.id = gr.id AND lv.level = gr.level WHERE col >= c0 AND col < ce AND bin >= b0 AND bin < be GROUP BY ALL", "v_iq"))
 def iq_window(spark, sf_dir):
-    level, _ = iq_level0(spark, sf_dir)
-    return IQ.window(level, 4, 20, 2, 14, 6)
+    """Three requests to each capture: all of it at few pixels, a part, and one beyond its end."""
+    pyramid, meta = iq_metadata(spark, sf_dir)
+    k, d, df = F.col("k"), F.col("duration"), F.col("fs") / NFFT
+    asked = meta.select("id", "fc", "fs", "duration", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    asked = asked.select(
+        F.concat_ws("/", F.col("id").cast("string"), k.cast("string")).alias("window_id"), "id",
+        F.when(k == 0, -1.0).when(k == 1, d / 3).otherwise(d + 1).alias("t0"), F.when(k == 0, d + 1).when(k == 1, d / 2).otherwise(d + 2).alias("t1"),
+        F.when(k == 0, F.col("fc") - F.col("fs") / 2 - 5).otherwise(F.col("fc") - 2.5 * df).alias("f0"), F.when(k == 0, F.col("fc") + F.col("fs")).otherwise(F.col("fc") + 4.25 * df).alias("f1"),
+        F.when(k == 0, 3).otherwise(40).alias("w"), F.when(k == 0, 5).otherwise(100).alias("h"),
+    )
+    return IQ.window(pyramid, meta, asked, NFFT).select("window_id", "level", "col", "r", "q")
 
 
 @query(sql(f"SELECT id, CAST(count(*) // {NFFT} AS BIGINT) AS frames, count(*) % {NFFT} AS dropped, count(*) >= {NFFT} AS usable FROM v_iq GROUP BY id", "v_iq"))
@@ -91,12 +135,10 @@ def iq_resume(spark, sf_dir):
     return every.join(every.filter("dataset = 'view' and id % 3 = 0"), ["dataset", "id"], "left_anti")
 
 
-@query()
+@query(sql(f"""WITH {LEVELS}, {META} SELECT m.id, 'lineitem' AS dataset, 'cap' || m.id AS name, '/d/cap' || m.id AS path, fc, fs, samples / fs AS duration, samples AS n_samples, {NFFT} AS nfft, {NFFT} AS hop, {NFFT} AS n_bins,
+CAST(n_levels AS INTEGER) AS n_levels, round(qmin, 1) AS qmin, round(qmax, 1) AS qmax, vmin, vmax FROM m JOIN (SELECT id, max(level) + 1 AS n_levels FROM lv GROUP BY id) USING (id) JOIN qr USING (id) JOIN sc USING (id)""", "v_iq"))
 def iq_meta(spark, sf_dir):
-    s = V.iq(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n_samples"))
-    level, ranges = iq_level0(spark, sf_dir)
-    scale = IQ.display_scale(level, ranges)
-    return s.join(ranges, "id").join(scale, "id").select("id", "n_samples", F.lit(NFFT).alias("nfft"), F.lit(NFFT).alias("hop"), F.floor(F.col("n_samples") / NFFT).alias("n_columns"), "qmin", "qmax", "vmin", "vmax")
+    return iq_metadata(spark, sf_dir)[1]
 
 
 # --- reconciliation: a store with damage that the checks must find ------------------------------
@@ -163,9 +205,22 @@ def recon_routing(spark, sf_dir):
     return R.routing(source(spark, sf_dir), damaged(spark, sf_dir), NARROW).withColumn("gap", F.round("gap", 6))
 
 
-@query(sql(f"WITH {SRC} SELECT sensor, stat, count(*) AS source_n, count(*) FILTER (WHERE vec % 59 <> 1) AS stored_n, count(*) FILTER (WHERE vec % 59 = 1) AS missing, 0::BIGINT AS extra, 0::BIGINT AS twice FROM src GROUP BY ALL", "v_psd_stat"))
+@query(sql(f"""WITH {SRC} SELECT sensor, stat, count(*) AS source_n, count(*) FILTER (WHERE vec % 59 <> 1) AS stored_n, count(*) FILTER (WHERE vec % 59 = 1) AS missing, 0::BIGINT AS extra, 0::BIGINT AS twice FROM src GROUP BY ALL
+UNION ALL SELECT sensor, 'std', 0, count(*), 0, count(*), 0 FROM src WHERE stat = 'max' AND sensor = 'view' AND vec % 59 <> 1 GROUP BY sensor""", "v_psd_stat"))
 def recon_presence(spark, sf_dir):
-    return R.presence(source(spark, sf_dir), damaged(spark, sf_dir))
+    """A store that lacks captures, and holds a statistic of one sensor that no source has."""
+    store = damaged(spark, sf_dir)
+    foreign = store.filter("stat = 'max' and sensor = 'view'").withColumn("stat", F.lit("std"))
+    return R.presence(source(spark, sf_dir), store.unionByName(foreign))
+
+
+@query(sql(f"""{CELL}, k AS (SELECT sensor, stat, count(*) FILTER (WHERE v BETWEEN -180 AND -90) AS a, count(*) FILTER (WHERE v BETWEEN -180 AND -90 AND abs(-180 + q / 255.0::DOUBLE * 90 - v) > {STEP} / 2 + 1e-9) AS a_bad, count(*) AS b, count(*) FILTER (WHERE q <> q0) AS b_bad,
+ count(*) FILTER (WHERE v < -180 OR v > -90) AS c, count(*) FILTER (WHERE (v < -180 AND q <> 0) OR (v > -90 AND q <> 255)) AS c_bad FROM b GROUP BY ALL), p AS (SELECT sensor, stat, count(*) AS d, count(*) FILTER (WHERE vec % 59 = 1) AS d_bad FROM src GROUP BY ALL),
+r AS (SELECT sensor, stat, 'values' AS "check", a AS n_checked, a_bad AS n_bad FROM k UNION ALL SELECT sensor, stat, 'codes', b, b_bad FROM k UNION ALL SELECT sensor, stat, 'clipped', c, c_bad FROM k UNION ALL SELECT sensor, stat, 'presence', d, d_bad FROM p)
+SELECT *, n_bad = 0 AND (n_checked > 0 OR "check" = 'clipped') AS ok FROM r""", "v_psd_stat"))
+def recon_report(spark, sf_dir):
+    """Values, codes, clipping and presence in one table, over one join of the captures."""
+    return R.report(source(spark, sf_dir), damaged(spark, sf_dir), NARROW)
 
 
 @query(sql("SELECT sensor AS file, 64 AS n_checked, CASE WHEN sensor = 'view' THEN 1 ELSE 0 END AS n_bad FROM v_psd GROUP BY sensor", "v_psd"))

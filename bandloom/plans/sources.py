@@ -66,7 +66,7 @@ def pfp_scan(spark, sf_dir):
 
 
 PSD_RE, PFP_RE = (f"'{p}'" for p in (FO.PSD_NAME, FO.PFP_NAME))
-KIND = f"""k AS (SELECT *, CASE WHEN ends_with(name, '.sigmf-meta') OR ends_with(name, '.npy') THEN 'iq' WHEN ends_with(name, '.duckdb') THEN 'store' WHEN regexp_matches(name, {PFP_RE}) THEN 'pfp' WHEN regexp_matches(name, {PSD_RE}) THEN 'psd'
+KIND = f"""k AS (SELECT *, CASE WHEN ends_with(name, '.sigmf-meta') OR ends_with(name, '.npy') OR ends_with(name, '.complex1ch.float32') THEN 'iq' WHEN ends_with(name, '.duckdb') THEN 'store' WHEN regexp_matches(name, {PFP_RE}) THEN 'pfp' WHEN regexp_matches(name, {PSD_RE}) THEN 'psd'
   WHEN ends_with(name, '.csv') AND contains(header, 'sensor_name') AND contains(header, 'channel_frequency_mhz') THEN 'summaries' ELSE 'none' END AS kind FROM v_files),
 p AS (SELECT *, CASE WHEN kind = 'pfp' THEN regexp_extract(name, {PFP_RE}, 1) WHEN kind = 'psd' THEN regexp_extract(name, {PSD_RE}, 1) END AS day,
   CASE WHEN kind = 'pfp' THEN regexp_extract(name, {PFP_RE}, 2) WHEN kind = 'psd' THEN regexp_extract(name, {PSD_RE}, 2) END AS sensor,
@@ -167,15 +167,22 @@ def smallest_units(spark, sf_dir):
     return FO.smallest_units(f, 25)
 
 
-@query("SELECT event_id AS id, 'data/' || event_type || '/' || event_id || '.bin' AS path, 'http://host/' || event_id AS url, user_id AS size FROM events WHERE event_id % 5 <> 0")
+@query("""SELECT event_id AS id, 'data/' || event_type || '/' || event_id || '.bin' AS path, 'http://host/' || event_id AS url, user_id AS size,
+CASE WHEN event_id % 3 = 0 THEN 'http://host/' || event_id || '.sha256' END AS checksum FROM events WHERE event_id % 5 <> 0""")
 def manifest_explode(spark, sf_dir):
-    """Components of manifests in either wrapping; paths that leave the folder are dropped."""
+    """Components of manifests in either wrapping, with their checksum sidecars; unsafe paths and entries without a URL go."""
     e = V.table(spark, sf_dir, "events")
-    path = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("../up/"), F.col("event_id"))).otherwise(F.concat(F.lit("data/"), "event_type", F.lit("/"), F.col("event_id"), F.lit(".bin")))
-    parts = F.array(F.struct(path.alias("filepath"), F.concat(F.lit("http://host/"), F.col("event_id")).alias("downloadURL"), F.col("user_id").alias("size")))
+    k = F.col("event_id")
+    up = F.when(k % 10 == 0, F.concat(F.lit("../up/"), k)).otherwise(F.concat(F.lit("data//"), k, F.lit(":x")))
+    path = F.when(k % 5 == 0, up).otherwise(F.concat(F.lit("data/"), "event_type", F.lit("/"), k, F.lit(".bin")))
+    url = F.concat(F.lit("http://host/"), k)
+    part = lambda path, url: F.struct(path.alias("filepath"), url.alias("downloadURL"), F.col("user_id").alias("size"))
+    none = F.lit(None).cast("string")
+    sidecar = F.when(k % 3 == 0, F.array(part(F.concat(path, F.lit(".sha256")), F.concat(url, F.lit(".sha256"))))).otherwise(F.array(part(F.lit("data"), none)))
+    parts = F.concat(F.array(part(path, url)), sidecar)
     plain = F.to_json(F.struct(parts.alias("components")))
     wrapped = F.to_json(F.struct(F.lit(1).alias("ResultCount"), F.array(F.struct(parts.alias("components"))).alias("ResultData")))
-    return FO.manifest(e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, plain).otherwise(wrapped).alias("json")))
+    return FO.manifest(e.select(k.alias("id"), F.when(k % 2 == 0, plain).otherwise(wrapped).alias("json")))
 
 
 @query(sql("WITH f AS (SELECT size, string_split(path, '/') AS p FROM v_files), e AS (SELECT size, p, unnest(range(1, len(p))) AS k FROM f) SELECT array_to_string(p[1:k], '/') AS folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE k = len(p) - 1) AS direct FROM e GROUP BY 1", "v_files"))

@@ -10,7 +10,7 @@ from ..operators import windows as WN
 from ..sources import views as V
 from ..sources.views import sql
 from .pyramids import CODES, GRID, WIN, codes, windows
-from .registry import query
+from .registry import ORACLES, query
 
 REQ = "r AS (SELECT event_id AS id, event_type AS sensor, user_id * value * 500 AS span, 200 + event_id % 2000 AS width, (event_id % 60) * 1e6 AS hz FROM events)"
 
@@ -116,6 +116,68 @@ def psd_window(spark, sf_dir):
     return grid.join(scale, "window_id").select("window_id", "col", "r", "q", "filled", "dbm", idx.cast("smallint").alias("idx"))
 
 
+HALF = V.T0 + 24_000
+
+
+def covered(spark, sf_dir):
+    """Two windows of each sensor: one that the level below spans, one that it does not."""
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("k"), F.lit(V.T0 + 22_000).alias("t1")), F.struct(F.lit("b").alias("k"), F.lit(V.T0 + 41_000).alias("t1")))).alias("e")
+    w = windows(spark, sf_dir).select("sensor", "t0", ends)
+    return w.select(F.concat_ws("/", "sensor", "e.k").alias("window_id"), "sensor", "t0", F.col("e.t1").cast("double").alias("t1"))
+
+
+@query(sql(f"""WITH c AS ({CODES}), w AS (SELECT sensor || '/' || k AS window_id, sensor, {V.T0 + 1000}::DOUBLE AS t0, t1::DOUBLE AS t1 FROM (SELECT unnest(['click','error','purchase','signup','view']) AS sensor), (VALUES ('a', {V.T0 + 22_000}), ('b', {V.T0 + 41_000})) AS e(k, t1)),
+x AS (SELECT sensor, t, unnest(range(0, 64)) AS pos, unnest(spec) AS v FROM c), lv AS (SELECT sensor, floor(t / 3600) * 3600 AS t, pos, max(v) AS v FROM x WHERE t < {HALF} GROUP BY ALL), cov AS (SELECT sensor, min(t) AS a, max(t) + 3600 AS b FROM lv GROUP BY sensor),
+n AS (SELECT window_id, count(*) AS n FROM c JOIN w USING (sensor) WHERE t >= t0 AND t < t1 GROUP BY window_id),
+ch AS (SELECT w.*, coalesce(n, 0) > 40 AND coalesce(a <= t0 AND b >= t1, false) AS level FROM w LEFT JOIN n USING (window_id) LEFT JOIN cov USING (sensor)),
+l AS (SELECT *, greatest(0, floor((t - t0) / ((t1 - t0) / 4))) AS lo, least(3, floor((t + 3600 - 1e-9 - t0) / ((t1 - t0) / 4))) AS hi FROM ch JOIN lv USING (sensor) WHERE level AND t + 3600 > t0 AND t < t1),
+g AS (SELECT window_id, least(3, greatest(0, CAST(trunc((t - t0) / (t1 - t0) * 4) AS INTEGER))) AS col, pos, v FROM ch JOIN x USING (sensor) WHERE NOT level AND t >= t0 AND t < t1
+ UNION ALL SELECT window_id, unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1)) AS col, pos, v FROM l),
+m AS (SELECT window_id, col, CAST(pos // 7 AS INTEGER) AS r, max(v) AS q FROM g GROUP BY ALL), f AS (SELECT DISTINCT window_id, col FROM g), e AS (SELECT window_id, unnest(range(0, 4)) AS col FROM w),
+z AS (SELECT e.window_id, e.col, f.col IS NOT NULL AS filled, coalesce(last_value(f.col IGNORE NULLS) OVER (PARTITION BY e.window_id ORDER BY e.col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(f.col IGNORE NULLS) OVER (PARTITION BY e.window_id ORDER BY e.col ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS src FROM e LEFT JOIN f ON f.window_id = e.window_id AND f.col = e.col)
+SELECT z.window_id, CAST(z.col AS INTEGER) AS col, m.r, m.q, filled FROM z JOIN m ON m.window_id = z.window_id AND m.col = z.src""", "v_psd"))
+def psd_window_levels(spark, sf_dir):
+    """A stored level that stops half way answers the windows that it spans, the captures the others."""
+    c = codes(spark, sf_dir)
+    level = P.psd_level(c.filter(F.col("t") < HALF), 3600, by=("sensor",))
+    return WN.spectrum_window(c, covered(spark, sf_dir), 4, 10, NARROW, levels={3600: level}).select("window_id", "col", "r", "q", "filled")
+
+
+@query(f"SELECT p.window_id, p.col, p.r, p.q, p.filled, coalesce(m.dbm, round(-110 + p.q / 255.0::DOUBLE * 90, 5)) AS dbm FROM ({ORACLES['psd_window']}) p LEFT JOIN ({ORACLES['match_remap']}) m ON m.sensor = p.window_id AND m.q = p.q")
+def psd_window_matched(spark, sf_dir):
+    """The window in the colours of the summaries: codes shown at the quantiles that match."""
+    shown = WN.code_table(match(spark, sf_dir), NARROW)
+    grid = WN.spectrum_window(codes(spark, sf_dir), windows(spark, sf_dir), 40, 10, NARROW, shown=shown)
+    return grid.select("window_id", "col", "r", "q", "filled", F.round("dbm", 5).alias("dbm"))
+
+
+@query("SELECT event_id AS id, CAST(greatest(1, least(4096, 2 * (event_id * 7 % 4000))) AS INTEGER) AS cols FROM events")
+def grid_size(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), WN.grid_columns(F.col("event_id") * 7 % 4000).alias("cols"))
+
+
+def _asked(level: int, k: int) -> str:
+    first, span = ((86_400, 7_200), (86_400, 3 * 86_400), (0, 30 * 86_400))[k]
+    head = f"SELECT sensor || '/{k}' AS window_id, {level} AS level, freq"
+    tail = f"FROM v_summary GROUP BY sensor, freq, floor(t / {level}) HAVING floor(t / {level}) * {level} >= {V.T0 + first} AND floor(t / {level}) * {level} < {V.T0 + first + span}"
+    if not level:
+        return f"{head}, round(t, 6) AS t, round(mx, 6) AS mx, round(md, 6) AS md, round(mn, 6) AS mn FROM v_summary WHERE t >= {V.T0 + first} AND t < {V.T0 + first + span}"
+    return f"{head}, floor(t / {level}) * {level} AS t, round(max(mx), 6) AS mx, round(avg(md), 6) AS md, round(avg(mn), 6) AS mn {tail}"
+
+
+@query(sql(f"WITH {', '.join(f'q{k} AS ({_asked(b, k)})' for k, b in enumerate((0, 600, 21_600)))} SELECT * FROM q0 UNION ALL SELECT * FROM q1 UNION ALL SELECT * FROM q2", "v_summary"))
+def summary_window_raw(spark, sf_dir):
+    """Three windows of each sensor in one job: raw rows, ten minutes and six hours answer, as span and width call for."""
+    raw = V.summary(spark, sf_dir)
+    levels = {b: P.summary_level(raw, b) for b in (0, *P.BUCKETS)}
+    rows = [(0, V.T0 + 86_400, V.T0 + 86_400 + 7_200, 1000), (1, V.T0 + 86_400, V.T0 + 4 * 86_400, 1000), (2, V.T0, V.T0 + 30 * 86_400, 150)]
+    asked = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("k", "t0", "t1", "width"), r, strict=True)]) for r in rows])).alias("a")
+    w = windows(spark, sf_dir).select("sensor", asked).select(F.concat_ws("/", "sensor", F.col("a.k").cast("string")).alias("window_id"), "sensor", "a.t0", "a.t1", "a.width")
+    found = WN.summary_window(levels, w)
+    return found.select("window_id", "level", "freq", *[F.round(c, 6).alias(c) for c in ("t", "mx", "md", "mn")])
+
+
 BATCH = f"w AS (SELECT sensor || '/' || k AS window_id, sensor, {V.T0}::DOUBLE + k * 1800 AS t0, {V.T0}::DOUBLE + k * 1800 + 4500 AS t1 FROM (SELECT unnest(['click','error','purchase','signup','view']) AS sensor), (SELECT unnest(range(0, 24)) AS k))"
 
 
@@ -126,19 +188,24 @@ def batch(spark, sf_dir):
 
 
 @query(sql(f"""WITH c AS ({CODES}), {BATCH}, g AS (SELECT window_id, least(19, greatest(0, CAST(trunc((t - t0) / (t1 - t0) * 20) AS INTEGER))) AS col, spec FROM c JOIN w USING (sensor) WHERE t >= t0 AND t < t1),
-m AS (SELECT window_id, col, pos // 16 AS r, max(v) AS v FROM (SELECT window_id, col, unnest(range(0, 64)) AS pos, unnest(spec) AS v FROM g) GROUP BY ALL), f AS (SELECT DISTINCT window_id, col FROM g), e AS (SELECT window_id, unnest(range(0, 20)) AS col FROM (SELECT DISTINCT window_id FROM g)),
+e0 AS (SELECT * FROM w WHERE window_id NOT IN (SELECT window_id FROM g)), a AS (SELECT window_id, sensor, coalesce(max(t) FILTER (WHERE t < t1), min(t)) AS t FROM e0 JOIN c USING (sensor) GROUP BY ALL),
+g2 AS (SELECT * FROM g UNION ALL SELECT window_id, 0, spec FROM a JOIN c USING (sensor, t)),
+m AS (SELECT window_id, col, pos // 16 AS r, max(v) AS v FROM (SELECT window_id, col, unnest(range(0, 64)) AS pos, unnest(spec) AS v FROM g2) GROUP BY ALL), f AS (SELECT DISTINCT window_id, col FROM g2), e AS (SELECT window_id, unnest(range(0, 20)) AS col FROM (SELECT DISTINCT window_id FROM g2)),
 z AS (SELECT e.window_id, e.col, coalesce(last_value(f.col IGNORE NULLS) OVER (PARTITION BY e.window_id ORDER BY e.col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(f.col IGNORE NULLS) OVER (PARTITION BY e.window_id ORDER BY e.col ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS src FROM e LEFT JOIN f ON f.window_id = e.window_id AND f.col = e.col)
 SELECT z.window_id, CAST(z.col AS INTEGER) AS col, CAST(m.r AS INTEGER) AS r, m.v AS q FROM z JOIN m ON m.window_id = z.window_id AND m.col = z.src""", "v_psd"))
 def tile_batch(spark, sf_dir):
-    """Many windows in one job."""
+    """Many windows in one job; an empty one shows the capture before it."""
     c = codes(spark, sf_dir)
-    return WN.spectrum_window(c, batch(spark, sf_dir), 20, 4, NARROW).filter("not gap").select("window_id", "col", "r", "q")
+    return WN.spectrum_window(c, batch(spark, sf_dir), 20, 4, NARROW).select("window_id", "col", "r", "q")
 
 
+#: The grid's captures; a window without any takes the last one before its end, else the first.
+AS_OF = f"""{GRID.replace("g AS (", "g0 AS (", 1)}, a AS (SELECT sensor, coalesce(max(t) FILTER (WHERE t < t1), min(t)) AS t FROM c JOIN w USING (sensor) WHERE sensor NOT IN (SELECT sensor FROM g0) GROUP BY sensor),
+g AS (SELECT * FROM g0 UNION ALL SELECT sensor, 0, t, spec FROM a JOIN c USING (sensor, t))"""
 FRAME = "[CAST(greatest(0, least(255, round_even((x + 130) / 120.0 * 255.0, 0))) AS SMALLINT) FOR x IN frame_db]"
 
 
-@query(sql(f"""WITH c AS (SELECT sensor, freq, t, {FRAME} AS spec FROM v_pfp WHERE freq = 3565e6), {WIN}, {GRID}, {ROWS}, {HELD},
+@query(sql(f"""WITH c AS (SELECT sensor, freq, t, {FRAME} AS spec FROM v_pfp WHERE freq = 3565e6), {WIN}, {AS_OF}, {ROWS}, {HELD},
 d AS (SELECT z.sensor, z.col, p.r, -130 + q / 255.0::DOUBLE * 120 AS dbm FROM z JOIN p ON p.sensor = z.sensor AND p.col = z.src)
 SELECT sensor AS window_id, count(*) AS cells, round(quantile_cont(dbm, 0.02) FILTER (WHERE (col * 10 + r) % 8 = 0), 6) AS vmin, round(quantile_cont(dbm, 0.98) FILTER (WHERE (col * 10 + r) % 8 = 0), 6) AS vmax, round(sum(dbm), 3) AS total FROM d GROUP BY sensor""", "v_pfp"))
 def pfp_window(spark, sf_dir):
@@ -147,7 +214,7 @@ def pfp_window(spark, sf_dir):
     want = windows(spark, sf_dir).withColumn("want", F.lit(3563e6))
     w = WN.snap_channel(want, frames.select("sensor", "freq"), 1e7).filter("freq is not null").drop("want")
     c = frames.select("sensor", "freq", "t", quantize(F.col("frame_db"), FRAMES.qmin, FRAMES.qmax).alias("spec"))
-    g = WN.spectrum_window(c, w, 40, 10, FRAMES, ("sensor", "freq"), offset=0.0).filter("not gap")
+    g = WN.spectrum_window(c, w, 40, 10, FRAMES, ("sensor", "freq"), offset=0.0)
     eighth = F.when((F.col("col") * 10 + F.col("r")) % 8 == 0, F.col("dbm"))
     p = g.groupBy("window_id").agg(F.count("*").alias("cells"), F.percentile(eighth, F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.round(F.sum("dbm"), 3).alias("total"))
     return p.select("window_id", "cells", F.round(F.col("p")[0], 6).alias("vmin"), F.round(F.col("p")[1], 6).alias("vmax"), "total")

@@ -79,8 +79,15 @@ def iq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complex samples: id, sample, i, q; a capture for each supplier."""
     from pyspark.sql import Window as W
 
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("id"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("i"), (F.col("l_discount") * 100).alias("q"))
-    return rows.withColumn("sample", F.row_number().over(W.partitionBy("id").orderBy("l_orderkey", "l_linenumber", "i", "q")) - 1).select("id", "sample", "i", "q")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("int").alias("id"), F.floor(F.col("l_orderkey") / 10_000).alias("part"), "l_orderkey", "l_linenumber",
+        F.col("l_quantity").alias("i"), (F.col("l_discount") * 100).alias("q"),
+    )
+    # a sample's number is the count of the orders' ranges before and its place in its own: no capture is sorted in one task
+    before = F.sum("n").over(W.partitionBy("id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    counts = rows.groupBy("id", "part").agg(F.count("*").alias("n")).select("id", "part", F.coalesce(before, F.lit(0)).alias("offset"))
+    own = F.row_number().over(W.partitionBy("id", "part").orderBy("l_orderkey", "l_linenumber", "i", "q")) - 1
+    return rows.withColumn("own", own).join(counts, ["id", "part"]).select("id", (F.col("offset") + F.col("own")).alias("sample"), "i", "q")
 
 
 #: The views as common table expressions.

@@ -1,5 +1,8 @@
 """Golden cases of the measurement operators, and files written by the tests."""
 
+import json
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,21 +12,128 @@ from bandloom.operators import files, iq, pyramid, recon, store, windows
 from bandloom.sources import exports
 
 
-def test_level_picks():
-    pick = windows.pick_psd_level
-    assert pick(200 * 86_400, 2644, 10**6, []) is None
-    assert pick(200 * 86_400, 2644, 10, [600]) is None
-    assert pick(3 * 86_400, 2644, 10**6, [3600]) is None
-    assert pick(200 * 86_400, 2644, 10**6, [600, 3600, 21_600]) == 3600
-    assert pick(60 * 86_400, 2644, 10**6, [600, 3600]) == 600
-    assert windows.pick_summary_level(6 * 3600, 1000) == 0 and windows.pick_summary_level(7 * 86_400, 1300) == 600 and windows.pick_summary_level(700 * 86_400, 10) == 86_400
+def test_stored_level_is_the_widest_within_a_column():
+    """Against the rule itself, on both sides of each of its bounds and at random."""
+    def rule(span, cols, captures, levels):
+        fit = [b for b in levels if b * cols <= span]
+        return max(fit) if fit and captures > 10 * cols else None
+
+    rng = np.random.default_rng(12)
+    for cols in (1, 7, 500):
+        for bucket in pyramid.BUCKETS:
+            for off in (-1, 0, 1):
+                for captures in (10 * cols, 10 * cols + 1):
+                    case = bucket * cols + off, cols, captures, list(pyramid.BUCKETS)
+                    assert windows.pick_psd_level(*case) == rule(*case)
+    for _ in range(200):
+        some = [b for b in pyramid.BUCKETS if rng.random() < 0.6]
+        case = float(rng.integers(1, 10**7)), int(rng.integers(1, 3000)), int(rng.integers(0, 40_000)), some
+        assert windows.pick_psd_level(*case) == rule(*case)
+
+
+def test_summary_level_leaves_raw_after_six_hours():
+    for width in (1, 36, 37, 1000):
+        for hours in (1, 6):
+            assert windows.pick_summary_level(hours * 3600, width) == 0
+        for span in (6 * 3600 + 1, 600 * width, 600 * width + 1, 86_400 * width, 86_400 * width + 1):
+            if span > 6 * 3600:
+                fit = [b for b in pyramid.BUCKETS if -(-span // b) <= width]
+                assert windows.pick_summary_level(span, width) == min(fit, default=86_400)
+
+
+def test_levels_to_grid_equals_a_plain_loop(spark):
+    """Each bucket is seen in every column that it touches, and in no other."""
+    rng = np.random.default_rng(8)
+    level = [(int(600 * k), rng.integers(0, 99, 3).tolist()) for k in rng.choice(60, 30, replace=False)]
+    asked = [(f"w{k}", float(rng.integers(0, 20_000)), float(rng.integers(20_001, 40_000)), int(c)) for k, c in enumerate((1, 3, 10, 77))]
+    df = spark.createDataFrame([("s", t, v) for t, v in level], "sensor string, t long, smax array<smallint>")
+    for name, t0, t1, cols in asked:
+        w = spark.createDataFrame([(name, "s", t0, t1)], "window_id string, sensor string, t0 double, t1 double")
+        want = {}
+        for t, v in level:
+            for c in range(cols):
+                if t < t0 + (c + 1) * (t1 - t0) / cols - 1e-6 and t + 600 > t0 + c * (t1 - t0) / cols + 1e-6:
+                    want[c] = [max(a, b) for a, b in zip(v, want.get(c, v), strict=True)]
+        found = {r["col"]: r["smax"] for r in pyramid.levels_to_grid(df, w, cols, 600, ["sensor"]).collect()}
+        assert found == want
+
+
+def test_vector_max_of_ragged_vectors_and_nulls(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), [rng.choice([None, rng.uniform(-9, 9)]) for _ in range(rng.randint(0, 5))]) for _ in range(400)]
+    want = {}
+    for k, n, v in rows:
+        best = want.setdefault((k, n), [])
+        best += [None] * (len(v) - len(best))
+        for i, x in enumerate(v):
+            if x is not None and (best[i] is None or x > best[i]):
+                best[i] = x
+    df = spark.createDataFrame(rows, "k string, n int, v array<double>").repartition(5)
+    assert {(r["k"], r["n"]): r["smax"] for r in pyramid.vector_max(df, ["k", "n"], "v").collect()} == want
+    assert pyramid.vector_max(df.limit(0), ["k", "n"], "v").collect() == []
+
+
+def test_column_levels_by_capture(spark):
+    """A small capture beside a large one keeps its single level."""
+    sizes, columns = {1: 5, 2: 64, 3: 33, 4: 8, 5: 17}, []
+    for i, n in sizes.items():
+        columns += [(i, c, [(c * 37 + i * 5) % 101, c % 7]) for c in range(n)]
+    want = set()
+    for i in sizes:
+        level, k = {c: v for j, c, v in columns if j == i}, 0
+        want |= {(0, i, c, tuple(v)) for c, v in level.items()}
+        while len(level) > 8:
+            k += 1
+            level = {c: [max(a, b) for a, b in zip(level[2 * c], level[2 * c + 1], strict=True)] for c in range(len(level) // 2)}
+            want |= {(k, i, c, tuple(v)) for c, v in level.items()}
+    df = spark.createDataFrame(columns, "id int, col long, bins array<smallint>")
+    assert {(r["level"], r["id"], r["col"], tuple(r["bins"])) for r in pyramid.column_levels(df, 8).collect()} == want
+    assert pyramid.column_levels(df.limit(0), 8).collect() == []
+
+
+def test_as_of_equals_a_plain_search(spark):
+    rng = random.Random(7)
+    times = {s: sorted(rng.sample(range(0, 6 * 86_400), 25)) for s in ("x", "y")}
+    rows = [(s, float(t), [t % 997]) for s, ts in times.items() for t in ts]
+    asked = [(f"{s}{k}", s, float(rng.randrange(-5, 7 * 86_400))) for k in range(60) for s in ("x", "y", "z")]
+    c = spark.createDataFrame(rows, "sensor string, t double, spec array<smallint>")
+    w = spark.createDataFrame([(i, s, t - 5, t) for i, s, t in asked], "window_id string, sensor string, t0 double, t1 double")
+    want = {i: max([t for t in times[s] if t < t1], default=times[s][0]) for i, s, t1 in asked if s in times}
+    found = {r["window_id"]: (r["t"], r["spec"]) for r in pyramid.as_of(c, w, ["sensor"], "spec").collect()}
+    assert found == {i: (float(t), [t % 997]) for i, t in want.items()}
+
+
+def test_a_level_answers_only_what_it_spans(spark):
+    rng = np.random.default_rng(1)
+    rows = [("s", "max", float(60 * i), rng.integers(0, 255, 8).tolist()) for i in range(2000)]
+    c = spark.createDataFrame(rows, "sensor string, stat string, t double, spec array<smallint>")
+    w = spark.createDataFrame([("w", "s", 0.0, 120_000.0)], "window_id string, sensor string, t0 double, t1 double")
+    half = {600: pyramid.psd_level(c.filter("t < 60000"), 600, by=("sensor",))}
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    g = quant.Geometry(n=8)
+    assert key(windows.spectrum_window(c, w, 50, 4, g, levels=half)) == key(windows.spectrum_window(c, w, 50, 4, g))
+
+
+def test_unsafe_paths_and_names(spark):
+    paths = ["a/b.bin", "/a", "a//b", "./a", "a/..", "a/../b", "c:/x", "a\\b", "", "a.b..c/d", None]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k int, p string").withColumn("ok", files.safe_path(F.col("p"))).collect()
+    assert [r["p"] for r in rows if r["ok"]] == ["a/b.bin", "a.b..c/d"]
+    names = ["2024-01-02_A_B_max.csv", "2024-01-02_A_max.bak.csv", "PFP_2024-01-02_A_max_peak.csv", "x.complex1ch.float32", "2024-01-02_A_.csv", "plain.csv"]
+    found = files.classify(spark.createDataFrame([(n, n, None) for n in names], "path string, name string, header string")).collect()
+    assert [(r["kind"], r["sensor"], r["stat"]) for r in found] == [("psd", "A_B", "max"), ("none", None, None), ("pfp", "A", "max_peak"), ("iq", None, None), ("none", None, None), ("none", None, None)]
 
 
-def test_overlap_pool(spark):
-    level = spark.createDataFrame([("s", 1200, [7]), ("s", 1800, [9])], "sensor string, t long, smax array<smallint>")
-    w = spark.createDataFrame([("w", "s", 0.0, 6000.0)], "window_id string, sensor string, t0 double, t1 double")
-    found = sorted((r["col"], r["smax"][0]) for r in pyramid.levels_to_grid(level, w, 10, 600, ["sensor"]).collect())
-    assert found == [(2, 7), (3, 9)]
+def test_heads_of_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "a.csv").write_text("sensor_name,channel_frequency_mhz,x\n1,2,3\n4,5,6\n")
+    (tmp_path / "d" / "b.csv").write_text("p,q\n")
+    (tmp_path / "c.txt").write_text("z\n")
+    found = {r["path"].rsplit("/", 1)[-1]: (r["header"], r["n_cols"]) for r in files.heads(spark, str(tmp_path)).collect()}
+    assert found == {"a.csv": ("sensor_name,channel_frequency_mhz,x", 3), "b.csv": ("p,q", 2)}
+    listed = files.classify(files.list_files(spark, str(tmp_path)).withColumn("header", F.lit(None).cast("string")))
+    assert {r["name"] for r in files.undecided(listed).collect()} == {"a.csv", "b.csv"}
+    decided = files.classify(files.undecided(listed).select("path", "name").join(files.heads(spark, str(tmp_path)), "path"))
+    assert {r["name"]: r["kind"] for r in decided.collect()} == {"a.csv": "summaries", "b.csv": "none"}
 
 
 def test_level_path_is_never_below_the_capture_path(spark):
@@ -106,18 +216,72 @@ def test_summary_and_export_files(spark, tmp_path):
     assert {(r["kind"], r["sensor"], r["stat"]) for r in kinds.collect()} == {("psd", "A_B", "max")}
 
 
+def sigmf_capture(folder, name, datatype, raw, rate=2e6, declared=None, key="core:frequency"):
+    meta = {"global": {"core:datatype": datatype, "core:sample_rate": rate}, "captures": [{"core:sample_start": 0}], "annotations": []}
+    (meta["captures"][0] if key == "core:frequency" else meta["global"])[key] = 2.4e9
+    if declared is not None:
+        meta["annotations"] = [{"core:sample_start": 5, "core:sample_count": declared - 5, "core:label": "x"}]
+    (folder / f"{name}.sigmf-meta").write_text(json.dumps(meta))
+    if raw is not None:
+        (folder / f"{name}.sigmf-data").write_bytes(raw)
+
+
 @pytest.mark.parametrize("datatype", list(iq.FORMATS))
 def test_captures_on_disk(spark, tmp_path, datatype):
-    kind, numbers, scale = iq.FORMATS[datatype]
-    n = 16 * 40 + 5
-    raw = (np.arange(n * numbers) % 100).astype(kind)
-    path = tmp_path / f"{datatype}.sigmf-data"
-    path.write_bytes(raw.tobytes())
-    captures = spark.createDataFrame([(1, str(path), datatype, path.stat().st_size // iq.sample_size(datatype))], "id int, path string, datatype string, samples long")
-    rows = {r["frame"]: (r["i"], r["q"]) for r in iq.read_frames(captures, 16, frames_a_task=7).collect()}
-    want = iq.decode_samples(raw.tobytes(), datatype)
-    assert sorted(rows) == list(range(40))
-    assert np.allclose(np.concatenate([rows[k][0] for k in range(40)]), want.real[: 16 * 40]) and np.allclose(np.concatenate([rows[k][1] for k in range(40)]), want.imag[: 16 * 40])
+    kind, numbers, _ = iq.FORMATS[datatype]
+    raw = (np.arange((16 * 300 + 5) * numbers) % 100).astype(kind).tobytes()
+    sigmf_capture(tmp_path, "one", datatype, raw, declared=16 * 300)
+    found = iq.catalogue(spark, str(tmp_path)).collect()
+    assert [(r["name"], r["samples"], r["fault"], r["center"], r["sample_rate"]) for r in found] == [("one", 16 * 300 + 5, None, 2.4e9, 2e6)]
+    rows = {r["frame"]: (r["i"], r["q"]) for r in iq.read_captures(spark, str(tmp_path), 16).collect()}
+    want = iq.decode_samples(raw, datatype)[: 16 * 300]
+    assert sorted(rows) == list(range(300))
+    assert np.allclose(np.concatenate([rows[k][0] for k in range(300)]), want.real) and np.allclose(np.concatenate([rows[k][1] for k in range(300)]), want.imag)
+
+
+def test_captures_with_faults_are_refused(spark, tmp_path):
+    raw = np.arange(64, dtype="<c8").tobytes()
+    sigmf_capture(tmp_path, "short", "cf32_le", raw, declared=65)
+    sigmf_capture(tmp_path, "ragged", "cf32_le", raw + b"abc")
+    sigmf_capture(tmp_path, "kind", "rf32_le", raw)
+    sigmf_capture(tmp_path, "rate", "cf32_le", raw, rate=0)
+    sigmf_capture(tmp_path, "lost", "cf32_le", None)
+    sigmf_capture(tmp_path, "none", "cf32_le", b"")
+    sigmf_capture(tmp_path, "good", "cf32_le", raw, declared=64, key="x:center_frequency")
+    xml = "<RS><Name>d</Name><Samples>{n}</Samples><Clock unit='Hz'>6e8</Clock><Format>complex</Format><DataType>float32</DataType><ScalingFactor unit='V'>2</ScalingFactor><NumberOfChannels>{c}</NumberOfChannels><CenterFrequency unit='Hz'>9e8</CenterFrequency></RS>"
+    for name, n, c in (("tar", 64, 1), ("tar_short", 65, 1), ("tar_two", 64, 2)):
+        (tmp_path / f"{name}.iq").mkdir()
+        (tmp_path / f"{name}.iq" / "File_1.complex1ch.float32").write_bytes(raw)
+        (tmp_path / f"{name}.iq" / "File_1.complex1ch.float32.xml").write_text(xml.format(n=n, c=c))
+    np.save(tmp_path / "array.npy", np.arange(40) * 1j)
+    np.save(tmp_path / "real.npy", np.arange(40))
+    rows = {r["name"]: r for r in iq.catalogue(spark, str(tmp_path)).collect()}
+    assert {n: r["fault"] for n, r in rows.items()} == {"short": "truncated", "ragged": "ragged", "kind": "datatype", "rate": "sample rate", "lost": "no data", "none": "no data", "good": None, "tar.iq": None, "tar_short.iq": "truncated", "tar_two.iq": "datatype"}
+    assert rows["good"]["center"] == 2.4e9 and (rows["tar.iq"]["center"], rows["tar.iq"]["sample_rate"]) == (9e8, 6e8)
+    frames = {}
+    for r in iq.read_captures(spark, str(tmp_path), 16).collect():
+        frames.setdefault(r["id"], []).append((r["frame"], sum(r["i"]), sum(r["q"])))
+    assert sorted(frames[rows["good"]["id"]])[:2] == [(0, 120.0, 0.0), (1, 376.0, 0.0)] and sorted(frames[rows["tar.iq"]["id"]])[0] == (0, 240.0, 0.0)
+    assert len(frames) == 3 and sorted(len(v) for v in frames.values()) == [2, 4, 4]
+    # the whole way: pyramid, scale, metadata
+    spectra = iq.stft(iq.read_captures(spark, str(tmp_path), 16), 16)
+    ranges = iq.quantization_range(spectra)
+    levels = iq.levels(spectra, ranges, 2)
+    captures = iq.catalogue(spark, str(tmp_path)).withColumn("dataset", F.lit("d"))
+    meta = {r["name"]: r for r in iq.metadata(captures, levels, ranges, iq.display_scale(levels, ranges), 16).collect()}
+    assert len(meta["good"]) == 16 and meta["good"]["n_levels"] == 2 and meta["tar.iq"]["duration"] == 64 / 6e8
+
+
+def test_sparse_pass_counts_overlapping_stretches(spark):
+    rng = np.random.default_rng(2)
+    for n in (3, 70, 200, 64 * 40):
+        db = rng.normal(size=n)
+        step, taken = max(1, n // 64), []
+        for at in range(0, n, step):
+            taken.extend(db[at : min(n, at + 32)])
+        rows = spark.createDataFrame([(1, k, [float(v)]) for k, v in enumerate(db)], "id int, frame long, dbm array<double>")
+        r = iq.quantization_range(rows).first()
+        assert np.allclose([r["qmin"], r["qmax"]], np.percentile(taken, [0.1, 99.9]) + [-6, 6])
 
 
 def test_a_tone_lands_in_its_bin(spark):
@@ -140,5 +304,11 @@ def test_reconciliation_finds_each_damage(spark):
     lost = good.filter("t <> 3").unionByName(good.filter("t = 4")).unionByName(good.filter("t = 5").withColumn("t", F.lit(99.0)))
     r = recon.presence(source, lost).first()
     assert (r["missing"], r["extra"], r["twice"]) == (1, 1, 1)
+    foreign = good.withColumn("stat", F.lit("other"))
+    seen = {r["stat"]: r for r in recon.presence(source, good.unionByName(foreign)).collect()}
+    assert (seen["other"]["source_n"], seen["other"]["extra"], seen["max"]["extra"]) == (0, 20, 0)
+    checks = {(r["stat"], r["check"]): r["ok"] for r in recon.report(source, good.unionByName(foreign), g).collect()}
+    assert all(checks["max", c] for c in ("values", "codes", "clipped", "presence"))
+    assert not any(checks["other", c] for c in ("values", "codes", "presence"))  # nothing was compared
     level = pyramid.psd_level(good, 600)
     assert {r["state"] for r in recon.pyramid(level.limit(0), level, ["stat", "sensor", "t"]).collect()} == {"missing"}
