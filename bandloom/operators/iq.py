@@ -156,8 +156,15 @@ def _files(spark, path: str, ending: str) -> DataFrame:
 
 
 def sigmf(spark, path: str) -> DataFrame:
-    """Captures described by JSON sidecars: stem, name, datatype, sample_rate, center, declared, scale."""
-    text = _files(spark, path, SIGMF_META).select(_stem(F.col("path"), SIGMF_META).alias("stem"), F.decode("content", "UTF-8").alias("json"))
+    """Captures below a folder as their JSON sidecars describe them."""
+    return described(_files(spark, path, SIGMF_META).select(_stem(F.col("path"), SIGMF_META).alias("stem"), F.decode("content", "UTF-8").alias("json")))
+
+
+def described(text: DataFrame) -> DataFrame:
+    """Sidecars ``(stem, json)`` as stem, name, datatype, sample_rate, center, declared, scale.
+
+    The centre frequency is the first capture's, else that of any global key of that name, else 0.
+    """
     shape = "struct<global:map<string,string>,captures:array<map<string,string>>,annotations:array<map<string,string>>>"
     j = text.withColumn("j", F.from_json("json", shape)).select("stem", "j.*")
     key = lambda name: F.col("global")[f"core:{name}"]

@@ -163,11 +163,19 @@ def within(rows: DataFrame, windows: DataFrame, by: Sequence[str], before: int =
     return dated.join(asked, [*by, "_day"]).filter((F.col("t") >= F.col("t0") - before) & (F.col("t") < F.col("t1"))).drop("_day")
 
 
+def _placed(captures: DataFrame, windows: DataFrame, cols: int, by: Sequence[str]) -> DataFrame:
+    return within(captures, windows, by).withColumn("col", column_of(F.col("t"), F.col("t0"), F.col("t1"), cols))
+
+
+def pool_to_grid(captures: DataFrame, windows: DataFrame, cols: int, by: Sequence[str], vector: str) -> DataFrame:
+    """Captures of each window ``(window_id, ..by, t0, t1)`` max-pooled to its columns: window_id, col, smax."""
+    return vector_max(_placed(captures, windows, cols, by), ["window_id", "col"], vector)
+
+
 def to_grid(captures: DataFrame, windows: DataFrame, cols: int, by: Sequence[str], vector: str) -> DataFrame:
-    """Captures of each window ``(window_id, ..by, t0, t1)`` max-pooled to its columns: window_id, col, smax, n."""
-    inside = within(captures, windows, by).withColumn("col", column_of(F.col("t"), F.col("t0"), F.col("t1"), cols))
-    pooled = vector_max(inside, ["window_id", "col"], vector)
-    return pooled.join(inside.groupBy("window_id", "col").agg(F.count("*").alias("n")), ["window_id", "col"])
+    """The same with ``n``, the captures of each column; counting reads no vectors."""
+    counts = _placed(captures.select(*by, "t"), windows, cols, by).groupBy("window_id", "col").agg(F.count("*").alias("n"))
+    return pool_to_grid(captures, windows, cols, by, vector).join(counts, ["window_id", "col"])
 
 
 def levels_to_grid(level: DataFrame, windows: DataFrame, cols: int, bucket: int, by: Sequence[str]) -> DataFrame:

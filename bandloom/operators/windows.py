@@ -152,14 +152,23 @@ def spectrum_window(
     inside = P.within(captures.select(*by, "t"), windows, by).groupBy("window_id").agg(F.count("*").alias("ncap"))
     chosen = choose_level(windows.join(inside, "window_id", "left").fillna(0, "ncap"), levels, cols, by)
     plain = chosen.filter("level is null")
-    grid = P.to_grid(captures, plain.drop("level", "ncap"), cols, by, "spec").select("window_id", "col", "smax")
+    # which ways any window takes, a row for each level at most: the others are not planned at all
+    ways = {(r["level"], r["empty"]) for r in chosen.select("level", (F.col("ncap") == 0).alias("empty")).distinct().collect()} if levels else {(None, True), (None, False)}
+    parts = []
+    if (None, False) in ways:
+        parts.append(P.pool_to_grid(captures, plain.filter("ncap > 0").drop("level", "ncap"), cols, by, "spec"))
     for bucket, level in levels.items():
-        asked = chosen.filter(F.col("level") == bucket).drop("level", "ncap")
-        grid = grid.unionByName(P.levels_to_grid(level, asked, cols, bucket, by).select("window_id", "col", "smax"))
+        if (bucket, False) in ways:
+            parts.append(P.levels_to_grid(level, chosen.filter(F.col("level") == bucket).drop("level", "ncap"), cols, bucket, by))
     empty = plain.filter("ncap = 0").drop("level", "ncap")
+    if (None, True) not in ways:
+        empty = empty.limit(0)
     before = P.as_of(captures, empty, by, "spec").select("window_id", F.lit(0).alias("col"), F.col("spec").alias("smax"))
+    grid = before
+    for part in parts:
+        grid = grid.unionByName(part.select("window_id", "col", "smax"))
     gaps = before.select("window_id", F.lit(True).alias("gap"))
-    rows = P.hold(grid.unionByName(before), windows, cols, "smax").filter("smax is not null").join(gaps, "window_id", "left")
+    rows = P.hold(grid, windows, cols, "smax").filter("smax is not null").join(gaps, "window_id", "left")
     pooled = F.posexplode(P.pool_rows(F.col("smax"), g.n, h)).alias("r", "q")
     long = rows.select("window_id", "col", "filled", F.coalesce("gap", F.lit(False)).alias("gap"), pooled)
     own = decode(F.col("q"), g.qmin, g.qmax, offset)

@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 
 
 from ..operators import files as FO
+from ..operators import iq as IQ
+from ..operators.store import write_sorted
 from ..sources import exports as X
 from ..sources import views as V
+from ..sources.places import shared_place
 from ..sources.views import sql
 from .registry import query
 
@@ -125,10 +128,9 @@ def iq_truncation_check(spark, sf_dir):
     """Captures whose size is no whole number of samples, or less than declared."""
     e = V.table(spark, sf_dir, "events")
     size = F.col("user_id") * 800 + F.when(F.col("event_id") % 13 == 0, -16).when(F.col("event_id") % 17 == 0, 3).otherwise(0)
-    c = e.select(F.col("event_id").alias("capture"), (F.col("user_id") * 100).alias("declared"), size.alias("bytes"))
-    actual = F.floor(F.col("bytes") / 8).cast("long")
-    ragged = F.col("bytes") % 8 != 0
-    return c.filter(ragged | (F.col("declared") > actual)).select("capture", "declared", actual.alias("actual"), F.when(ragged, "ragged").otherwise("truncated").alias("fault"))
+    described = e.select(F.col("event_id").alias("stem"), F.lit("cf32_le").alias("datatype"), F.lit(1.0).alias("sample_rate"), (F.col("user_id") * 100).alias("declared"))
+    data = e.select(F.col("event_id").alias("stem"), F.lit("").alias("path"), size.alias("length"))
+    return IQ.audited(described, data).filter("fault in ('ragged', 'truncated')").select(F.col("stem").alias("capture"), "declared", F.col("samples").alias("actual"), "fault")
 
 
 @query("SELECT event_id AS capture, CAST(user_id * 1000 AS DOUBLE) AS sample_rate, CASE WHEN event_id % 3 = 0 THEN value * 1e6 WHEN event_id % 3 = 1 THEN value * 2e6 END AS center FROM events")
@@ -139,19 +141,15 @@ def iq_sidecar(spark, sf_dir):
     capture = F.when(k == 0, F.array(F.create_map(F.lit("core:frequency"), F.col("value") * 1e6))).otherwise(F.array().cast("array<map<string,double>>"))
     keys = F.when(k == 1, F.create_map(F.lit("core:sample_rate"), (F.col("user_id") * 1000).cast("double"), F.lit("x:center_frequency"), F.col("value") * 2e6)).otherwise(F.create_map(F.lit("core:sample_rate"), (F.col("user_id") * 1000).cast("double")))
     text = e.select("event_id", F.to_json(F.struct(keys.alias("global"), capture.alias("captures"))).alias("json"))
-    parsed = text.select("event_id", F.from_json("json", "struct<global:map<string,double>,captures:array<map<string,double>>>").alias("j"))
-    named = F.map_values(F.map_filter("j.global", lambda k, v: k.rlike(r":(center_)?frequency$")))
-    return parsed.select(F.col("event_id").alias("capture"), F.col("j.global")["core:sample_rate"].alias("sample_rate"), F.coalesce(F.get("j.captures", 0)["core:frequency"], F.get(named, 0)).alias("center"))
+    found = IQ.described(text.select(F.col("event_id").cast("string").alias("stem"), "json"))
+    return found.select(F.col("stem").cast("long").alias("capture"), "sample_rate", F.nullif("center", F.lit(0.0)).alias("center"))
 
 
 @query(sql("SELECT sensor, count(*) AS n, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max, 0 AS out_of_order FROM v_summary GROUP BY sensor", "v_summary"))
 def sorted_sink(spark, sf_dir):
     """A table written in ranges of sensor and time, sorted inside files, and read again."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/sorted-{uuid.uuid4().hex}"
-    V.summary(spark, sf_dir).repartitionByRange("sensor", "t").sortWithinPartitions("sensor", "t").write.parquet(path)
+    path = shared_place(spark, "sorted")
+    write_sorted(V.summary(spark, sf_dir), path, ["sensor", "t"])
     back = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name")).withColumn("k", F.monotonically_increasing_id())
     before = F.lag("t").over(W.partitionBy("file", "sensor").orderBy("k"))
     return back.withColumn("p", before).groupBy("sensor").agg(

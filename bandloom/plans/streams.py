@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import views as V
 from ..sources.views import sql
+from ..sources.places import shared_place
 from ..streaming import streams as S
 from .registry import query
 
 
 def _place(spark) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return shared_place(spark, "stream")
 
 
 def _events(spark, sf_dir):
@@ -42,9 +36,9 @@ def _last(spark, stream, place, mode):
 
 @query("SELECT event_type AS sensor, count(*) AS n, round(sum(-100 + value / 10), 4) AS total FROM events GROUP BY 1")
 def stream_dedup(spark, sf_dir):
-    """Each capture once: the totals are those of the table."""
+    """Each capture once, however late: the totals are those of the table."""
     stream, place = _events(spark, sf_dir)
-    S.run_available(S.deduplicated(stream, ["event_id"], "40 days"), f"{place}/check", lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out/batch={n}"))
+    S.once(stream, f"{place}/out", f"{place}/check", ["event_id"])
     return spark.read.parquet(f"{place}/out").groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.sum("mx"), 4).alias("total"))
 
 
@@ -72,35 +66,36 @@ def stream_ingest(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_id % 9 = 0 AS straddles, count(*) AS n FROM (SELECT event_id, ts FROM events UNION ALL SELECT event_id, ts FROM events WHERE event_id % 4 = 0) GROUP BY ALL")
 def stream_late(spark, sf_dir):
-    """Captures under the day of their instant; some come in the file of the day before."""
+    """Captures under the day of their instant; some come in the file of the day before, some days late, in a table of their own."""
     stream, place = _events(spark, sf_dir)
     filed = S.days(stream.withColumn("file_day", F.date_sub(F.to_date("ts"), F.when(F.col("event_id") % 9 == 0, 1).otherwise(0))))
-    S.run_available(filed, f"{place}/check", lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out/batch={n}"))
-    return spark.read.parquet(f"{place}/out").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "straddles").agg(F.count("*").alias("n"))
+    S.split_late(filed, f"{place}/out", f"{place}/late", f"{place}/check", 86_400)
+    kept = spark.read.parquet(f"{place}/out")
+    both = kept.unionByName(spark.read.schema(kept.schema).parquet(f"{place}/late"))  # there may be none
+    return both.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "straddles").agg(F.count("*").alias("n"))
 
 
 @query(sql("SELECT CAST(CAST(floor((t - 1704067200) / 7200) AS BIGINT) AS VARCHAR) || '_' || sensor AS file, count(*) AS n, min(t) AS t_min, max(t) AS t_max FROM v_psd GROUP BY 1 HAVING count(*) FILTER (WHERE CAST(round((t - 1704067200) / 90) AS BIGINT) % 97 = 3 OR CAST(round((t - 1704067200) / 90) AS BIGINT) % 89 = 5 OR CAST(round((t - 1704067200) / 90) AS BIGINT) % 83 = 6 OR CAST(round((t - 1704067200) / 90) AS BIGINT) % 79 = 4) = 0", "v_psd"))
 def append_day(spark, sf_dir):
     """Day-atomic append: valid files only, each in its partition, written twice without effect."""
     from ..functions.quant import NARROW
-    from ..operators.store import accepted, rejects
+    from ..operators.store import append_files
     from .stores import exports
 
     place = _place(spark)
-    rows = exports(spark, sf_dir)
-    good = accepted(rows, rejects(rows, NARROW.n)).select("file", "t", "values")
     for _ in range(2):
-        good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{place}/layer")
-    return spark.read.parquet(f"{place}/layer").groupBy("file").agg(F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+        append_files(exports(spark, sf_dir), NARROW.n, f"{place}/layer", f"{place}/manifest")
+    done = spark.read.parquet(f"{place}/manifest").filter("reason is null")
+    return done.join(spark.read.parquet(f"{place}/layer").select("file").distinct(), "file").select("file", "n", "t_min", "t_max")
 
 
 @query(sql("SELECT sensor, kind, n FROM (SELECT sensor, 'psd' AS kind, count(*) AS n FROM v_psd GROUP BY sensor UNION ALL SELECT sensor, 'pfp', count(*) FROM v_pfp GROUP BY sensor)", "v_psd", "v_pfp"))
 def identify_store(spark, sf_dir):
     """Layers told by the columns that they must have."""
-    needed = {"pfp": {"sensor", "freq", "t", "frame_db"}, "psd": {"sensor", "t", "spec_db"}}
+    from ..operators.store import identify
+
     out = None
-    for layer in (V.psd(spark, sf_dir), V.pfp(spark, sf_dir)):
-        kind = next(k for k, c in needed.items() if c <= set(layer.columns))
-        rows = layer.groupBy("sensor").agg(F.count("*").alias("n")).select("sensor", F.lit(kind).alias("kind"), "n")
+    for layer in (V.psd(spark, sf_dir).withColumnRenamed("spec_db", "spec"), V.pfp(spark, sf_dir).withColumnRenamed("frame_db", "spec")):
+        rows = layer.groupBy("sensor").agg(F.count("*").alias("n")).select("sensor", F.lit(identify(layer.columns)).alias("kind"), "n")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import rejects
+from ..functions.quant import quantize
+from ..operators.files import PSD_NAME
+from ..operators.store import accepted, rejects
+from ..sources.exports import parse_exports
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
@@ -27,13 +31,78 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, width: int) -> None:
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good = batch.join(rejects(batch, width).select("file").distinct(), "file", "left_anti")
+        good = accepted(batch, rejects(batch, width))
         good.write.mode("overwrite").parquet(f"{target}/batch={number}")
         batch.unpersist()
 
     run_available(stream, checkpoint, each)
 
 
+def ingest_exports(spark: SparkSession, path: str, target: str, checkpoint: str, width: int, qmin: float, qmax: float) -> None:
+    """Arriving export files ``<day>_<sensor>_<stat>.csv`` become quantized captures, a partition a batch.
+
+    sensor, stat, t, spec. A file is read whole by Spark's own reader, as it is accepted or
+    refused whole; files of other names are left alone.
+    """
+    schema = spark.read.format("binaryFile").load(path).schema
+    listed = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", 1000).load(path)
+    files = listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("content")).filter(F.col("file").rlike(PSD_NAME))
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = parse_exports(batch).persist()
+        part = lambda i: F.regexp_extract("file", PSD_NAME, i)
+        good = accepted(rows, rejects(rows, width))
+        good.select(part(2).alias("sensor"), part(3).alias("stat"), "t", quantize(F.col("values"), qmin, qmax).alias("spec")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows.unpersist()
+
+    run_available(files, checkpoint, each)
+
+
+def _seen(spark: SparkSession, target: str, number: int) -> DataFrame | None:
+    """What earlier batches have written to a table by day and batch; none if there is no such batch."""
+    try:
+        return spark.read.parquet(target).filter(F.col("batch") < number)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def once(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
+    """Each capture once, however late it comes again; the key's captures have one event time ``ts``.
+
+    A batch is held against what was written for its own days, in partitions of day and batch,
+    so neither a watermark drops rows nor does state grow with the stream.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys).withColumn("day", F.to_date("ts"))
+        seen = _seen(batch.sparkSession, target, number)
+        if seen is not None:
+            new = new.join(seen.select("day", *keys), ["day", *keys], "left_anti")
+        new = new.withColumn("batch", F.lit(number).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
+
+    run_available(stream, checkpoint, each)
+
+
+def split_late(stream: DataFrame, target: str, late: str, checkpoint: str, lateness: int) -> None:
+    """Rows under the day of their instant in ``target``; those more than ``lateness`` seconds behind
+    the newest instant seen before their batch go to the side table ``late``: none is lost."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        seen = _seen(batch.sparkSession, target, number)
+        newest = seen.agg(F.max("ts")).first()[0] if seen is not None else None
+        behind = F.lit(False) if newest is None else F.unix_timestamp("ts") < F.unix_timestamp(F.lit(newest)) - lateness
+        dated = batch.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(number).cast("long"))
+        for rows, place in ((dated.filter(~behind), target), (dated.filter(behind), late)):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(place)
+        batch.unpersist()
+
+    run_available(stream, checkpoint, each)
+
+
 def pyramid(stream: DataFrame, bucket: int, lateness: str) -> DataFrame:
     """Tumbling maxima and counts of a stream of summaries with an event time ``ts``."""
     w = stream.withWatermark("ts", lateness).groupBy(F.window("ts", f"{bucket} seconds").alias("w"), "sensor", "freq")
