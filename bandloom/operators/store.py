@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.quant import Geometry
+from ..functions.quant import Geometry, pack_db
 from .pyramid import numbered
 
 DAY = 86_400
@@ -171,3 +171,15 @@ def in_both_shapes(rows: DataFrame, chunks: DataFrame, by: Sequence[str]) -> Dat
 def write_sorted(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     """``rows`` in files that are ranges of ``by``, each in order."""
     rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+
+
+def pack_summaries(level: DataFrame) -> DataFrame:
+    """Decibels of a summary layer in tenths, whole seconds, and the scale that says so.
+
+    A layer that has a scale is packed already, and refused.
+    """
+    if "scale" in level.columns:
+        raise ValueError("the layer has a scale: it is packed already")
+    packed = [pack_db(F.col(c)).alias(c) for c in level.columns if c in ("mx", "md", "mn")]
+    others = [c for c in level.columns if c not in ("t", "mx", "md", "mn")]
+    return level.select(*others, F.rint("t").cast("long").alias("t"), *packed, F.lit(10).alias("scale"))

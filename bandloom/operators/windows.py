@@ -66,20 +66,29 @@ def snap_channel(requests: DataFrame, channels: DataFrame, within: float) -> Dat
     return requests.join(lists, "sensor", "left").withColumn("_n", near).withColumn("freq", F.when(F.col("_n.d") <= within, F.col("_n.c"))).drop("_n", "channels")
 
 
+#: The summaries' column that each statistic of the spectra is shown as.
+SHOWN_AS = {"max": "mx", "median": "md", "mean": "mn"}
+
+
 def match_table(psd_values: DataFrame, summary_values: DataFrame) -> DataFrame:
-    """Quantiles of both layers by sensor: sensor, xs (strictly increasing), ys. Sensors with few values have none.
+    """Quantiles of both layers by sensor: sensor, xs (strictly increasing), ys, and lo and hi, the
+    summaries' percentiles 2 and 98. Sensors with few values have none.
 
     Equal values are counted first: a layer of codes has 256 of them at most.
     """
     share = F.array(*[F.lit(k / KNOTS) for k in range(KNOTS + 1)])
 
+    ends = F.array(F.lit(0.02), F.lit(0.98))
+
     def side(df: DataFrame, name: str) -> DataFrame:
         counted = df.filter("x is not null").groupBy("sensor", "x").agg(F.count("*").alias("c"))
-        rows = counted.groupBy("sensor").agg(F.percentile("x", share, F.col("c")).alias(name), F.sum("c").alias("n"))
+        both = [F.percentile("x", p, F.col("c")).alias(n) for p, n in ((share, name), (ends, f"{name}_ends"))]
+        rows = counted.groupBy("sensor").agg(*both, F.sum("c").alias("n"))
         return rows.filter(F.col("n") >= LEAST_VALUES).drop("n")
 
     rising = F.transform("xs", lambda x, k: x + k * F.lit(1e-4))
-    return side(psd_values, "xs").join(side(summary_values, "ys"), "sensor").withColumn("xs", rising)
+    joined = side(psd_values, "xs").join(side(summary_values, "ys"), "sensor").withColumn("xs", rising)
+    return joined.select("sensor", "xs", "ys", F.col("ys_ends")[0].alias("lo"), F.col("ys_ends")[1].alias("hi"))
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:

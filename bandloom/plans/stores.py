@@ -98,7 +98,7 @@ def clip_report(spark, sf_dir):
 def db_pack(spark, sf_dir):
     """Tenths of a decibel with an explicit scale, so that nothing is packed twice."""
     s = V.summary(spark, sf_dir)
-    return s.select("sensor", "freq", F.rint("t").cast("long").alias("t"), QF.pack_db(F.col("mx")).alias("mx"), QF.pack_db(F.col("md")).alias("md"), F.lit(10).alias("scale"))
+    return S.pack_summaries(s.select("sensor", "freq", "t", "mx", "md"))
 
 
 @query(sql("SELECT sensor, freq, count(*) AS n, count(mx) AS known, round(max(mx), 6) AS mx FROM (SELECT sensor, freq, CASE WHEN CAST(floor(t) AS BIGINT) % 5 = 0 THEN NULL ELSE round(mx * 10) / 10 END AS mx FROM v_summary) GROUP BY ALL", "v_summary"))

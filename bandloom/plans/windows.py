@@ -54,9 +54,10 @@ def meta_lookup(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("sensor")).join(meta, "sensor", "left").select("id", "sensor", "captures")
 
 
-def match(spark, sf_dir):
-    psd = codes(spark, sf_dir).select("sensor", F.explode("spec").alias("q")).select("sensor", decode(F.col("q"), NARROW.qmin, NARROW.qmax, 70.0).alias("x"))
-    level = P.summary_level(V.summary(spark, sf_dir), 3600).select("sensor", F.col("mx").alias("x"))
+def match(spark, sf_dir, stat="max"):
+    """The match of one statistic's spectra with the summaries' column of the same statistic."""
+    psd = codes(spark, sf_dir, stat=True).filter(F.col("stat") == stat).select("sensor", F.explode("spec").alias("q")).select("sensor", decode(F.col("q"), NARROW.qmin, NARROW.qmax, 70.0).alias("x"))
+    level = P.summary_level(V.summary(spark, sf_dir), 3600).select("sensor", F.col(WN.SHOWN_AS[stat]).alias("x"))
     return WN.match_table(psd, level)
 
 
@@ -71,6 +72,13 @@ def quantile_match(spark, sf_dir):
     return match(spark, sf_dir).select("sensor", F.posexplode(both).alias("k", "z")).select("sensor", "k", F.round(F.col("z.xs") + F.lit(1e-7), 4).alias("x"), F.round(F.col("z.ys") + F.lit(1e-7), 4).alias("y"))
 
 
+@query(sql("""WITH a AS (SELECT sensor, unnest(spec_db) AS x FROM v_psd_stat WHERE stat = 'median'), b AS (SELECT sensor, avg(md) AS x FROM v_summary GROUP BY sensor, freq, floor(t / 3600)),
+k AS (SELECT sensor FROM a GROUP BY sensor HAVING count(*) >= 100) SELECT sensor, round(quantile_cont(x, 0.02), 4) AS lo, round(quantile_cont(x, 0.98), 4) AS hi FROM b JOIN k USING (sensor) GROUP BY sensor HAVING count(*) >= 100""", "v_psd_stat", "v_summary"))
+def match_range(spark, sf_dir):
+    """The display range that goes with the match of the median layer."""
+    return match(spark, sf_dir, "median").select("sensor", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
 @query(sql(f"""WITH {KNOT_SQL}, c AS (SELECT unnest(range(0, 256)) AS q), l AS (SELECT *, lead(x) OVER (PARTITION BY sensor ORDER BY k) AS x2, lead(y) OVER (PARTITION BY sensor ORDER BY k) AS y2 FROM knots),
 v AS (SELECT s.sensor, q, -180 + q / 255.0::DOUBLE * 90 + 70 AS v, lo, hi, ylo, yhi FROM c, (SELECT sensor, min(x) AS lo, max(x) AS hi, arg_min(y, k) AS ylo, arg_max(y, k) AS yhi FROM knots GROUP BY sensor) s)
 SELECT v.sensor, CAST(q AS SMALLINT) AS q, round(CASE WHEN v < lo THEN ylo WHEN v >= hi THEN yhi ELSE y + (v - x) / (x2 - x) * (y2 - y) END, 5) AS dbm FROM v LEFT JOIN l ON l.sensor = v.sensor AND v.v >= x AND v.v < x2""", "v_psd", "v_summary"))

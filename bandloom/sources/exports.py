@@ -32,6 +32,14 @@ def read_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return parse_summaries(rows.withColumn("file", F.col("_metadata.file_path")))
 
 
+def usable(measurements: DataFrame, refused: DataFrame) -> DataFrame:
+    """``measurements``, unless every file was refused or there is none: that is an error, not an empty layer."""
+    if measurements.isEmpty():
+        names = [r["file"] for r in refused.orderBy("file").limit(5).collect()]
+        raise ValueError(f"no usable summaries; refused: {', '.join(names) or 'no file'}")
+    return measurements
+
+
 def parse_exports(contents: DataFrame, lead: tuple[str, ...] = ()) -> DataFrame:
     """``contents(file, content)`` to captures ``file, line, t, ..lead, values``.
 

@@ -312,3 +312,20 @@ def test_reconciliation_finds_each_damage(spark):
     assert not any(checks["other", c] for c in ("values", "codes", "presence"))  # nothing was compared
     level = pyramid.psd_level(good, 600)
     assert {r["state"] for r in recon.pyramid(level.limit(0), level, ["stat", "sensor", "t"]).collect()} == {"missing"}
+
+
+def test_a_packed_layer_is_not_packed_again(spark):
+    layer = spark.createDataFrame([("s", 1.0, 10.4, -70.25, -75.0, -80.04)], "sensor string, freq double, t double, mx double, md double, mn double")
+    packed = store.pack_summaries(layer)
+    assert tuple(packed.select("sensor", "freq", "t", "mx", "md", "mn", "scale").first()) == ("s", 1.0, 10, -703, -750, -800, 10)
+    with pytest.raises(ValueError, match="already"):
+        store.pack_summaries(packed)
+
+
+def test_nothing_usable_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("sensor_name,channel_frequency_mhz,timestamp,max,median,mean\nS1,x,2025-03-04 00:05:00+00,1,2,3\n")
+    ok, bad = exports.read_summaries(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="bad.csv"):
+        exports.usable(ok, bad)
+    (tmp_path / "good.csv").write_text("sensor_name,channel_frequency_mhz,timestamp,max,median,mean\nS1,3555,2025-03-04 00:05:00+00,1,2,3\n")
+    assert exports.usable(*exports.read_summaries(spark, str(tmp_path))).count() == 1
