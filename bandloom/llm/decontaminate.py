@@ -1,15 +1,18 @@
 """Benchmark decontamination by edit distance.
 
 Texts and items are reduced to lower-case words with one blank between. An item of m
-characters counts as found where a stretch of the text is within k = RATIO * m edits of it.
-It is cut into p pieces of q characters, with p > k. An edit touches one piece at most, so
-in any such stretch p - k pieces stand unchanged, each moved by the insertions and deletions
-before it, which are k together at most. So an item is looked at where p - k pieces agree,
-within k characters, on its start, and nowhere else; nothing is lost by that. There, the
-exact edit distance to the best stretch is taken, by bit-parallel columns.
+characters counts as found where a stretch of the text is within RATIO * m edits of it.
 
-Pieces replace CGK walks and sampled keys, which lose some items by chance. Characters, not
-words, are cut, so scripts without blanks and items of a few letters are found alike.
+Candidates come from CGK walks. A walk reads one character a step and moves on or stays by a
+random bit of that character and step, so that two strings few edits apart give outputs few
+characters apart. Keys are sampled steps of a walk's output (bit sampling); windows with a key
+in common are candidates, whose exact edit distance to the best stretch is then taken, by
+bit-parallel columns.
+
+Items of like size form a class. Its windows are walked at every character of the items, but
+only at every ``stride``-th of the texts: a copy holds several of those at whatever place it
+stands. Walks are added until edited copies at the largest distance allowed are found with
+TARGET recall, by the same search; a class that does not get there raises.
 
 Items go in blocks of a bounded size, each of which is sent to all tasks and passes over the
 documents once. Nothing is shuffled.
@@ -28,30 +31,32 @@ from .common import sliced, written
 
 #: Largest share of an item's characters that may be edited.
 RATIO = 0.1
-#: Characters of a piece at most: they fit a word of 64 bits.
-PIECE = 8
-#: Pieces that should agree on a start, if pieces of LEAST_PIECE characters allow it.
-AGREE, LEAST_PIECE = 2, 6
-#: Items sent to the tasks at once (about 20 MB).
-ITEMS = 10_000
-#: Characters that are searched at once, and places of pieces.
+#: Recall asked of rehearsed copies at the largest distance allowed, copies tried, walks at most.
+TARGET, TRIALS, MAX_WALKS = 0.99, 1_000, 96
+#: Walks taken for each one that the rehearsal needs: what it misses by chance is left for these.
+MARGIN = 2
+#: Sampled keys of a walk at most; a key holds 16 of its steps, or two thirds of a shorter walk's.
+KEYS = 8
+#: Least characters of the items of a class; below the first each size is a class, without edits.
+CLASSES = (10, 20, 40, 80)
+#: Steps of a walk at most.
+STEPS = 60
+#: Items sent to the tasks at once, and their characters for each (about 100 MB with their keys).
+ITEMS, ITEM_CHARS = 1_000, 250
+#: Characters that are searched at once, and meetings of keys.
 CHARS, PLACES = 1 << 18, 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_EVEN = np.uint64(0xC2B2AE3D27D4EB4F)
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_MAP_BITS = 22
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _low(q: int) -> np.uint64:
-    return np.uint64((1 << 8 * q) - 1)
-
-
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return (gram * _ODD >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key * _ODD >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def codes(raw: bytes) -> tuple[str, np.ndarray]:
@@ -63,24 +68,6 @@ def codes(raw: bytes) -> tuple[str, np.ndarray]:
     return text, np.where(points < 128, points, 128 | (points ^ points >> np.uint32(7) ^ points >> np.uint32(14)) & 127).astype(np.uint8)
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
-    """The PIECE characters from each on as one number, the first in its lowest byte; zeros follow the end."""
-    padded, out = np.zeros(-(-len(chars) // PIECE) * PIECE + PIECE, np.uint8), np.empty(len(chars), np.uint64)
-    padded[: len(chars)] = chars
-    for k in range(min(PIECE, len(chars))):
-        n = -(-(len(chars) - k) // PIECE)
-        out[k::PIECE] = padded[k : k + n * PIECE].view("<u8")
-    return out
-
-
-def piece_size(m: int, most: int) -> int:
-    """Characters of a piece for an item of ``m`` characters, of which ``most`` may be edited."""
-    for q in range(min(m, PIECE), LEAST_PIECE - 1, -1):
-        if m // q - most >= AGREE:
-            return q
-    return next(q for q in range(min(m, PIECE), 0, -1) if m // q > most)
-
-
 def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int]:
     """Least edit distance of ``item`` to any stretch of ``text``, and that stretch's end; (most + 1, 0) if larger.
 
@@ -117,8 +104,116 @@ def edited(text: str, n: int, rng) -> str:
     return "".join(out)
 
 
+class Walks:
+    """CGK walks with sampled keys for items of ``least`` characters or more."""
+
+    def __init__(self, least: int):
+        self.least, self.steps = least, min(least, STEPS)
+        self.stride = max(1, least // 5) if least >= CLASSES[0] else 1
+        rng = np.random.default_rng(least)
+        self.moves = rng.integers(0, 1 << 62, (MAX_WALKS, 256), dtype=np.int64)
+        # a key is two words of a walk, each of up to 8 of its steps; words share no step
+        size = max(1, min(8, self.steps // 3))
+        self.words = [rng.permutation(self.steps)[: self.steps // size * size].reshape(-1, size) for _ in range(MAX_WALKS)]
+        pairs = [(a, b) for a in range(len(self.words[0])) for b in range(a)] or [(0, 0)]
+        self.pairs = [[pairs[k] for k in rng.permutation(len(pairs))[:KEYS]] for _ in range(MAX_WALKS)]
+        self.walks = 1
+        self.index: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]] = []
+
+    def keys(self, chars: np.ndarray, at: np.ndarray, walk: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Keys of one walk from each place ``at``, and where the walks end; zeros follow the characters."""
+        move, out = self.moves[walk][chars], np.empty((self.steps, len(at)), np.uint8)
+        place, bit = at.copy(), np.empty(len(at), np.int64)
+        for step in range(self.steps):
+            if step:
+                np.take(move, place, out=bit, mode="clip")
+                bit >>= step
+                bit &= 1
+                place += bit
+            np.take(chars, place, out=out[step], mode="clip")
+        words = []
+        for steps in self.words[walk]:
+            word = np.zeros((len(at), 8), np.uint8)
+            for k, step in enumerate(steps):
+                word[:, k] = out[step]
+            words.append(word.view("<u8").ravel())
+        keys = [(words[a] * _ODD ^ words[a] >> np.uint64(29)) + words[b] * _EVEN for a, b in self.pairs[walk]]
+        return keys, place
+
+    def add(self, coded: list[tuple[int, np.ndarray]]) -> None:
+        """Index the windows of ``coded`` items, adding walks until the rehearsal is content."""
+        padding = np.zeros(self.steps, np.uint8)
+        chars = np.concatenate([c for _, c in coded] + [padding])
+        sizes = np.array([len(c) for _, c in coded])
+        begins = np.cumsum(sizes) - sizes
+        which = np.repeat(np.arange(len(coded)), sizes)
+        at = np.arange(len(which))
+        if self.least < CLASSES[0]:
+            at, which = begins, np.arange(len(coded))
+        owners = np.array([i for i, _ in coded])
+        waiting, needed = self._copies(coded), None
+        tried = len(waiting)
+        for walk in range(MAX_WALKS):
+            keys, ends = self.keys(chars, at, walk)
+            inside = ends < (begins + sizes)[which]
+            self.index.append([_indexed(key[inside], owners[which[inside]], (at - begins[which])[inside]) for key in keys])
+            self.walks = walk + 1
+            waiting = waiting if needed else [x for x in waiting if not self._found(*x, walk)]
+            if needed is None and len(waiting) <= (1 - TARGET) * tried:
+                needed = self.walks
+            if needed is not None and self.walks >= needed * MARGIN:
+                return
+        raise ValueError(f"walks find {1 - len(waiting) / tried:.3f} of edited items of {self.least} characters, {TARGET} are asked")
+
+    def _found(self, item: int, copy: np.ndarray, start: int, most: int, walk: int) -> bool:
+        """Whether a key meets the item near its place in the copy."""
+        return any((np.abs(place - offset - start)[owner == item] <= most).any() for owner, offset, place in self._met(copy, walk))
+
+    def _copies(self, coded) -> list[tuple[int, np.ndarray, int, int]]:
+        """Edited copies of items in turn, each after a few other characters, with its start and edits."""
+        rng = np.random.default_rng(7)
+        out = []
+        for k in range(TRIALS):
+            i, chars = coded[k % len(coded)]
+            start, most = int(rng.integers(self.stride)), int(RATIO * len(chars))
+            copy = "x" * start + edited(chars.tobytes().decode("latin-1"), most, rng)
+            out.append((i, np.frombuffer(copy.encode("latin-1"), np.uint8), start, most))
+        return out
+
+    def _met(self, chars: np.ndarray, walk: int):
+        """Meetings ``(item, place in it, place in chars)`` of one walk's keys, in bounded parts."""
+        at = np.arange(0, len(chars), self.stride)
+        keys, _ = self.keys(np.append(chars, np.zeros(self.steps, np.uint8)), at, walk)
+        for key, (known, owner, offset, marks, bits) in zip(keys, self.index[walk], strict=True):
+            slot = _slot(key, bits)
+            some = np.flatnonzero(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            low, high = np.searchsorted(known, key[some], "left"), np.searchsorted(known, key[some], "right")
+            met = high > low
+            place, low, n = at[some[met]], low[met], (high - low)[met]
+            total, first = np.cumsum(n), 0
+            while first < len(place):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PLACES, "right")))
+                m = n[first:last]
+                k = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                yield owner[k], offset[k], np.repeat(place[first:last], m)
+                first = last
+
+    def meetings(self, chars: np.ndarray):
+        for walk in range(self.walks):
+            yield from self._met(chars, walk)
+
+
+def _indexed(key: np.ndarray, owner: np.ndarray, offset: np.ndarray):
+    """Keys in order with their items and places in them, and marks of the keys' hashes."""
+    order = np.argsort(key, kind="stable")
+    bits = max(10, int(16 * len(key)).bit_length())
+    marks, slot = np.zeros(1 << bits - 3, np.uint8), _slot(key, bits)
+    np.bitwise_or.at(marks, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+    return key[order], owner[order].astype(np.int32), offset[order].astype(np.int32), marks, bits
+
+
 class Items:
-    """A block of items with their pieces."""
+    """A block of items with the keys of their walks."""
 
     def __init__(self, rows: list[tuple[int, str]], ratio: float = RATIO):
         found = [(i, b" ".join(words_of(t))) for i, t in rows]
@@ -128,73 +223,42 @@ class Items:
         self.texts = [t for t, _ in coded]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.array([int(ratio * len(t)) for t in self.texts], np.int64)
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        self.agree = np.zeros(len(found), np.int64)
+        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, (_, chars) in enumerate(coded):
-            q = piece_size(len(chars), int(self.most[i]))
-            place = np.arange(len(chars) // q) * q
-            self.agree[i] = len(place) - self.most[i]
-            parts.setdefault(q, []).append((grams(chars)[place] & _low(q), np.full(len(place), i), place))
-        self.pieces = {}
-        for q, some in sorted(parts.items()):
-            gram, owner, place = map(np.concatenate, zip(*some, strict=True))
-            order = np.argsort(gram, kind="stable")
-            self.pieces[q] = gram[order], owner[order], place[order]
-        self.maps: dict[int, np.ndarray] = {}
-
-    def _map(self, q: int) -> np.ndarray:
-        """Marks of the pieces' hashes, made where it is used."""
-        if q not in self.maps:
-            self.maps[q] = np.zeros(1 << _MAP_BITS, bool)
-            self.maps[q][_slot(self.pieces[q][0])] = True
-        return self.maps[q]
+            least = max((c for c in CLASSES if c <= len(chars)), default=len(chars))
+            classes.setdefault(least, []).append((i, chars))
+        self.walks = []
+        for least, some in sorted(classes.items()):
+            self.walks.append(Walks(least))
+            self.walks[-1].add(some)
 
     def _windows(self, chars: np.ndarray, starts: np.ndarray):
         """Stretches ``(text, item, from, to)`` of joined texts that may hold an item; ``starts``: where texts begin."""
-        most = self.sizes.max()
-        bins = int(len(chars) + most) + 2  # more than there are bins of a start
-        all_grams = grams(chars)
-        keys, counts = [], []
-        for q, (known, owner, place) in self.pieces.items():
-            seen = all_grams & _low(q) if q < PIECE else all_grams
-            at = np.flatnonzero(self._map(q)[_slot(seen)])
-            low, high = np.searchsorted(known, seen[at], "left"), np.searchsorted(known, seen[at], "right")
-            met = high > low
-            at, low, n = at[met], low[met], (high - low)[met]
-            total = np.cumsum(n)
-            first = 0
-            while first < len(at):
-                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PLACES, "right")))
-                m = n[first:last]
-                k = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                where, item = np.repeat(at[first:last], m), owner[k]
+        most = int(self.sizes.max())
+        bins = len(chars) + most + 2  # more than there are bins of a start
+        keys = []
+        for walks in self.walks:
+            for item, offset, where in walks.meetings(chars):
                 text = np.searchsorted(starts, where, "right") - 1
-                start = where - starts[text] - place[k] + most
+                start = where - starts[text] - offset + most
                 # of an item without edits one place in a text stands for all
                 bin_ = np.where(self.most[item] == 0, 0, start // (self.most[item] + 1))
-                key, count = np.unique((text * len(self.ids) + item) * bins + bin_, return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                first = last
+                keys.append(np.unique((text * len(self.ids) + item) * bins + bin_))
         if not keys:
             return
-        if len(keys) > 1:
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        else:
-            key, count = keys[0], counts[0]
-        # the pieces that stand in a copy lie in one bin or in two neighbours
-        after = np.zeros(len(key), np.int64)
-        after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        some = np.flatnonzero(count + after >= self.agree[key // bins % len(self.ids)])
         ends = np.append(starts[1:] - 1, len(chars))
-        for x in key[some].tolist():
+        key = np.unique(np.concatenate(keys))
+        heads = np.flatnonzero(np.append(True, np.diff(key) > 1))  # bins side by side are one stretch
+        tails = np.append(heads[1:], len(key)) - 1
+        for x, y in zip(key[heads].tolist(), key[tails].tolist(), strict=True):
+            width = y - x + 1
             x, bin_ = divmod(x, bins)
             text, item = divmod(x, len(self.ids))
             begin, end, k = int(starts[text]), int(ends[text]), int(self.most[item])
             if k:
-                start = begin + bin_ * (k + 1) - int(most)
-                end = min(end, start + 2 * (k + 1) + int(self.sizes[item]) + 2 * k)
+                # insertions and deletions before the window moved it by k at most
+                start = begin + bin_ * (k + 1) - most
+                end = min(end, start + width * (k + 1) + int(self.sizes[item]) + 2 * k)
                 begin = max(begin, start - k)
             yield text, item, begin, end
 
@@ -235,7 +299,8 @@ def blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[tuple[Items, boo
     every text counts. The driver holds one block at a time.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    parts = -(-rows.count() // size)
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(-(-n // size), -(-chars // (size * ITEM_CHARS)))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
     if parts > 1:
         dealt = written(dealt)

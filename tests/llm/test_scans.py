@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bandloom.llm import decontaminate, licenses, personal_data
@@ -238,6 +239,26 @@ def test_each_share_of_edits_reaches_the_recall():
             assert block.ids[k] in dict(block.leaks([f"{foreign} {copy} {foreign}"])[0])
 
 
+def test_recall_for_each_length_and_share_of_edits():
+    rng = np.random.default_rng(12)
+    texts = duckdb.connect().execute(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 600 AND 2000 ORDER BY doc_id LIMIT 60").fetchall()
+    texts = [b" ".join(decontaminate.words_of(t)).decode() for (t,) in texts]
+    for n in (5, 8, 15, 50):
+        items = [(k, " ".join(t.split(" ")[20 : 20 + n])) for k, t in enumerate(texts)]
+        block = decontaminate.Items(items)
+        for share in (0, 0.03, 0.06, 0.1):
+            copies = [f"{texts[k - 1][:200]} {decontaminate.edited(t, int(share * len(t)), rng)} {texts[k - 1][:90]}" for k, t in items]
+            found = block.leaks(copies)
+            assert sum(k in dict(f) for (k, _), f in zip(items, found, strict=True)) >= 0.97 * len(items), (n, share)
+
+
+def test_a_rehearsal_that_fails_raises(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_WALKS", 1)
+    monkeypatch.setattr(decontaminate, "KEYS", 1)
+    with pytest.raises(ValueError, match="asked"):
+        decontaminate.Items([(k, " ".join(f"{k}w{j}x{k * j}" for j in range(4))) for k in range(20)])
+
+
 def test_very_long_and_repeated_texts(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog while seven wizards hum"
     long = "lorem ipsum dolor " * 60_000
