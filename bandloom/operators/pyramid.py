@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 BUCKETS = (600, 3600, 21_600, 86_400)
@@ -79,6 +80,12 @@ def _pooled(batch: pa.RecordBatch, keys: Sequence[str], vector: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([*firsts.columns, lists], [*keys, vector])
 
 
+def _plain(batch: pa.RecordBatch, vector: str) -> pa.RecordBatch:
+    """The batch in the one schema of all steps: every field may be null, lists name their cells alike."""
+    columns = [c.cast(pa.list_(c.type.value_type)) if name == vector else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def _sorted_batch(batch: pa.RecordBatch, keys: Sequence[str]) -> pa.RecordBatch:
     return batch.take(pc.sort_indices(batch.select(list(keys)), [(k, "ascending") for k in keys]))
 
@@ -90,12 +97,12 @@ def vector_max(df: DataFrame, by: Sequence[str], vector: str, out: str = "smax")
     maxima move; a group of any size reaches its task as one vector for each batch that held it.
     """
     rows = df.select(*by, F.col(vector).alias(out))
-    shape = rows.schema
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])  # any key may be null here, as in Arrow
 
     def partial(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _pooled(_sorted_batch(batch, by), by, out)
+                yield _pooled(_sorted_batch(_plain(batch, out), by), by, out)
 
     def final(batches):
         """Rows come in order of their keys; the last key waits for the next batch."""
@@ -103,6 +110,7 @@ def vector_max(df: DataFrame, by: Sequence[str], vector: str, out: str = "smax")
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = _plain(batch, out)
             if waiting is not None:
                 batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
             pooled = _pooled(batch, by, out)

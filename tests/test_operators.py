@@ -73,6 +73,27 @@ def test_vector_max_of_ragged_vectors_and_nulls(spark):
     assert pyramid.vector_max(df.limit(0), ["k", "n"], "v").collect() == []
 
 
+def test_vector_max_over_several_batches_of_keys_that_are_not_null(spark):
+    """A partition of 25,000 rows reaches Python in three batches; generated keys cannot be null."""
+    rows = spark.range(0, 25_000, 1, 1).select(
+        F.lit("s").alias("sensor"), F.lit(1).alias("k"), F.floor(F.col("id") / 9_000).alias("t"), F.array(F.col("id"), -F.col("id")).cast("array<int>").alias("v"))
+    assert not rows.schema["sensor"].nullable and rows.rdd.getNumPartitions() == 1
+    found = {r.t: list(r.smax) for r in pyramid.vector_max(rows, ["sensor", "k", "t"], "v").collect()}
+    assert found == {0: [8_999, 0], 1: [17_999, -9_000], 2: [24_999, -18_000]}
+    one = {tuple(r.smax) for r in pyramid.psd_level(rows.withColumn("stat", F.lit("max")).withColumn("spec", F.col("v")).withColumn("t", F.lit(5.0)), 600).collect()}
+    assert one == {(24_999, 0)}
+
+
+def test_column_levels_over_several_batches(spark):
+    n = 30_001
+    columns = spark.range(0, n, 1, 1).select(F.lit(7).alias("id"), F.col("id").alias("col"), F.array(F.col("id") % 1000).cast("array<smallint>").alias("bins"))
+    found = pyramid.column_levels(columns, 10_000)
+    sizes = {r.level: r.n for r in found.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: n, 1: n // 2, 2: n // 4}
+    pairs = {r.col: r.bins[0] for r in found.filter("level = 1").collect()}
+    assert all(pairs[c] == max(2 * c % 1000, (2 * c + 1) % 1000) for c in pairs)
+
+
 def test_column_levels_by_capture(spark):
     """A small capture beside a large one keeps its single level."""
     sizes, columns = {1: 5, 2: 64, 3: 33, 4: 8, 5: 17}, []
