@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, minhash, nearest, packing, personal_data, quality, suffix_dedup, token_counts, toxicity, whitening
+from . import curve, decontaminate, licenses, minhash, nearest, packing, personal_data, quality, suffix_dedup, token_counts, toxicity, whitening
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op4_decontamination, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op9_personal_data, op10_toxicity, op11_whitening)
+    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op4_decontamination, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op9_personal_data, op10_toxicity, op11_whitening, op12_curve_packing)
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_oracle()}
