@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve, decontaminate, licenses, minhash, nearest, packing, personal_data, quality, suffix_dedup, token_counts, toxicity, whitening
+from . import curve, decontaminate, licenses, minhash, nearest, packing, personal_data, quality, suffix_dedup, token_counts, toxicity, trie, whitening
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op4_decontamination, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op9_personal_data, op10_toxicity, op11_whitening, op12_curve_packing)
+    f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_quality, op4_decontamination, op5_nearest, op6_token_counts, op7_packing, op8_licenses, op9_personal_data, op10_toxicity, op11_whitening, op12_curve_packing, op13_prefix_trie)
 }
-ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_oracle()}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_oracle(), "op13_prefix_trie": trie.ORACLE}
