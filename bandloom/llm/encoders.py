@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -124,19 +125,39 @@ class ByteLevelCounter:
 _MARKS = MARKS.encode()
 
 
+#: Lower-case Latin letters: a stretch of them alone is normal already, and one pre-token.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+
 class _Ids(dict):
-    """Little-endian unsigned 32-bit ids of a stretch without ASCII white space."""
+    """Little-endian unsigned 32-bit ids of a stretch without ASCII white space.
+
+    A stretch of plain letters goes to the library's model at once, as its normalizer and
+    pre-tokenizer would leave it whole; where a vocabulary's do not, that way is not taken.
+    """
 
     def __init__(self, library):
         super().__init__()
         self._library = library
+        self._tokenize = library.model.tokenize
+        written = {c: "".join(x for x, _ in library.pre_tokenizer.pre_tokenize_str(c)) if library.pre_tokenizer else c for c in _LETTERS}
+        self._letters = str.maketrans({c: x for c, x in written.items() if c != x})
+        self._direct = all(self._model(x) == self._whole(x) for x in (*_LETTERS, _LETTERS, _LETTERS[::-1], "theßofé"))
+
+    def _model(self, text: str) -> bytes:
+        return array("I", [t.id for t in self._tokenize(text.translate(self._letters))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
         stem = key.rstrip(_MARKS)
         if stem and len(stem) < len(key) and stem[-1:].isalnum() and b"<|" not in key:  # no special token is cut
             found = self[stem] + self[key[len(stem) :]]
         else:
-            found = np.array(self._library.encode(key.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            text = key.decode("utf-8")
+            found = self._model(text) if self._direct and _PLAIN.fullmatch(text) else self._whole(text)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[key] = found

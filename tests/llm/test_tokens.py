@@ -27,6 +27,16 @@ def test_cached_encoders_equal_the_libraries():
         assert np.frombuffer(words.ids(t), "<u4").tolist() == w.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_go_to_the_model_at_once():
+    words, library = encoders.WordLevelIds(WORD), Tokenizer.from_file(WORD)
+    assert words.cache._direct
+    rng = random.Random(11)
+    for _ in range(20_000):
+        w = "".join(rng.choice("aeiostnrthéèüößçøÿ" + encoders._LETTERS) for _ in range(rng.randint(1, 18)))
+        assert np.frombuffer(words.ids(w), "<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
+    assert not encoders._Ids(Tokenizer.from_file(BYTE))._direct or encoders._Ids(Tokenizer.from_file(BYTE))[b"word"] == np.array(Tokenizer.from_file(BYTE).encode("word").ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("chunk,overlap", [(40, 8), (200, 30)])
 def test_spliced_counts_equal_whole_ones(spark, chunk, overlap):
     rng = random.Random(4)
