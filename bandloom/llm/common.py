@@ -83,14 +83,14 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
+def keyed(docs: DataFrame, name: str, cut=written) -> DataFrame:
     """``docs`` with a unique long column ``name``: the id, or a number given to each row of a
-    stored copy where ids repeat or are missing."""
+    stored copy (made by ``cut``) where ids repeat or are missing."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     odd = ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null")
     if odd.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long"))
-    return written(docs.withColumn(name, F.monotonically_increasing_id()))
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def in_training_fold(doc_id: Column) -> Column:

@@ -112,7 +112,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def _signed(batches):
     for batch in sliced(batches):
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        sets = [shingles(t) for t in batch.column(2).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         m = minima([sets[i] for i in full]) if full else np.empty((HASHES, 0), np.uint64)
         keys = _mixed((m.reshape(BANDS, ROWS, -1) * _BAND).sum(1)).view(np.int64).T
@@ -124,12 +124,12 @@ def _signed(batches):
             signature[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.ascontiguousarray(keys).ravel(), pa.int64())),
                 pa.array(signature, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "digest", "bands", "signature"],
+            ["row", "doc_id", "n_shingles", "digest", "bands", "signature"],
         )
 
 
@@ -138,15 +138,11 @@ def digest_of(items: np.ndarray) -> bytes:
 
 
 def _sets(batches):
-    """Sets of the texts whose digest is the wanted one; an id may stand for other texts as well."""
     for batch in sliced(batches):
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
-        right = [digest_of(s) == d for s, d in zip(found, batch.column("digest").to_pylist(), strict=True)]
-        found = [s.view(np.int64) for s, r in zip(found, right, strict=True) if r]
-        nodes = batch.column("node").filter(pa.array(right, pa.bool_()))
+        found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
         offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
         items = pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())
-        yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, items)], ["node", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, items)], ["node", "items"])
 
 
 def lanes_of(signatures: list[bytes]) -> np.ndarray:
@@ -192,12 +188,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _near_duplicates(docs: DataFrame, cut: Cuts) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shape = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = keyed(texts, "row", cut).select("row", "doc_id", "text")
+    shape = "row long, doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
     signed = cut(rows.mapInArrow(_signed, shape))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")]
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("least"), *firsts)
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *firsts)
     reps = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     members = reps.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -210,8 +207,8 @@ def _near_duplicates(docs: DataFrame, cut: Cuts) -> DataFrame:
     order = W.partitionBy("node").orderBy(F.desc("times"), "centre")
     first = tries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIRST_CENTRES)
     pairs = cut(first.select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    wanted = reps.join(weights, "node", "left_semi").select(F.col("least").alias("doc_id"), "node", "digest")
-    sets = cut(rows.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, items array<long>"))
+    wanted = reps.join(weights, "node", "left_semi").select("row", "node")
+    sets = cut(rows.join(wanted, "row").select("node", "text").mapInArrow(_sets, "node long, items array<long>"))
     links = confirmed(pairs, reps, sets, cut)
     of = components(links)
     more = _across(shared, of, reps, sets, cut)
@@ -227,18 +224,31 @@ def _near_duplicates(docs: DataFrame, cut: Cuts) -> DataFrame:
 
 
 def _across(shared: DataFrame, of: DataFrame, reps: DataFrame, sets: DataFrame, cut: Cuts) -> DataFrame:
-    """Links ``(a, b)`` between nodes that share a bucket and not a component."""
+    """Links ``(a, b)`` between nodes that share a bucket and not a component.
+
+    The widest component of a bucket is never held against itself: its members meet the others,
+    and only those meet each other, in blocks of bounded size. A member of the widest goes to as
+    many blocks as the others fill, so what moves is in proportion to the others.
+    """
     size = reps.select("node", "n_shingles", "bands", "signature")
     placed = shared.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
-    low, high = F.min("component").alias("low"), F.max("component").alias("high")
-    counted = placed.join(size.select("node", "n_shingles"), "node").groupBy("bucket").agg(parts, low, high)
-    left = cut(placed.join(counted.filter("low <> high").select("bucket", "parts"), "bucket"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = left.select("bucket", "node", "component", part, "parts").select("*", other)
-    one, two = F.least("part", "other"), F.greatest("part", "other")
-    dealt = dealt.select("bucket", F.xxhash64("bucket", one, two).alias("block"), "node", "component", (F.col("part") == two).alias("second"), (one == two).alias("alone"))
+    by = placed.join(size.select("node", "n_shingles"), "node").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    total = by.groupBy("bucket").agg(F.max(F.struct("n", "component", "s")).alias("widest"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("components"))
+    parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    mixed = total.filter("components > 1").select(
+        "bucket", F.col("widest.component").alias("widest"), parts(F.col("widest.n"), F.col("widest.s")).alias("wide"),
+        parts(F.col("n") - F.col("widest.n"), F.col("s") - F.col("widest.s")).alias("others"),
+    )
+    left = cut(placed.join(mixed, "bucket").withColumn("inner", F.col("component") == F.col("widest")))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("wide")).otherwise(F.col("others"))).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda one, two, second, alone: F.struct(F.xxhash64("bucket", one, two).alias("block"), second.alias("second"), alone.alias("alone"))
+    # parts of the widest are numbered after those of the others
+    from_wide = F.transform(numbers(F.col("others")), lambda k: block(k, F.col("others") + F.col("own"), F.lit(True), F.lit(False)))
+    to_wide = F.transform(numbers(F.col("wide")), lambda k: block(F.col("own"), F.col("others") + k, F.lit(False), F.lit(False)))
+    among = F.transform(numbers(F.col("others")), lambda k: block(F.least(F.col("own"), k), F.greatest(F.col("own"), k), F.col("own") >= k, F.col("own") == k))
+    blocks = F.when(F.col("inner"), from_wide).otherwise(F.concat(to_wide, among))
+    dealt = left.withColumn("own", own).select("bucket", "node", "component", F.inline(blocks))
     likely = _by_block(dealt.join(size.drop("n_shingles"), "node")).mapInArrow(_likely, "block long, node long, component long, second boolean, alone boolean")
     return cut(_by_block(cut(likely).join(sets, "node")).mapInArrow(_linked, "a long, b long"))
 
