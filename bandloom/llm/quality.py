@@ -96,24 +96,33 @@ def fit_discriminant(rows: np.ndarray, labels: np.ndarray, pooled: float = POOLE
 
 def fit(docs: DataFrame, labels: DataFrame):
     """Learn from the training fold of ``labels(doc_id, quality)``; at most MAX_LABELLED rows, those
-    of smallest hash. A document with several labels takes the largest; nulls are left out."""
+    of smallest hash. A document with several labels takes the largest; nulls are left out. An id
+    on several rows gives the row of the least statistics. Without labels or documents every text
+    scores 0.5, with labels of one class alone that class' share."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter("doc_id is not null and quality is not null").filter(in_training_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    found = sorted((r["quality"], tuple(r["x"])) for r in rows.select("quality", "text").mapInArrow(_statistics, "quality int, x array<double>").toLocalIterator())
+    each = rows.select("doc_id", "quality", "text").mapInArrow(_statistics, "doc_id long, quality int, x array<double>")
+    one = each.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # an id may stand on any number of rows
+    found = sorted((r["quality"], tuple(r["x"])) for r in one.toLocalIterator())
     return fit_discriminant(np.array([x for _, x in found]).reshape(-1, N_FEATURES), np.array([q for q, _ in found], int))
 
 
 def _statistics(batches):
     for batch in sliced(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics_of(t).tolist() for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["quality", "x"])
+        found = pa.array([statistics_of(t).tolist() for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "quality", "x"])
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; a null text scores as an empty one."""
+    """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
+
+    A null text scores as an empty one. Rows that repeat an id are scored each; a null id stays
+    null and counts as held out. An empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
