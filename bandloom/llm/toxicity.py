@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from the training fold of ``labels(doc_id, toxic)`` and ``docs(doc_id, text)``.
 
     Several labels of one document count as toxic if any of them is; null ids and null
-    labels are left out, as are labels without a document. Positives, and rows whose labels
+    labels are left out, as are labels without a document; of an id on several rows one text counts. Positives, and rows whose labels
     are then hidden, are those of smallest hash, up to MAX_POSITIVE and MAX_HIDDEN. Features
     are counted by Spark; the driver gets MAX_WORDS of them at most and, for each document of
     the sample, their numbers. With an empty table on either side every text scores the prior.
@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shape = "positive boolean, unlabelled boolean, features array<binary>"
     with Cuts(docs.sparkSession) as cut:
-        rows = cut(texts.join(F.broadcast(chosen), "doc_id").select("positive", "unlabelled", "text").mapInArrow(_features, shape))
+        # an id may stand on any number of rows: one of its texts counts
+        one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive", "unlabelled").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        rows = cut(one.select("positive", "unlabelled", "text").mapInArrow(_features, shape))
         n = rows.agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")).first()
         words = [bytes(r["feature"]) for r in telling(rows, n["p"], n["u"]).collect()] if n["p"] and n["u"] else []
         index = {w: i for i, w in enumerate(words)}
