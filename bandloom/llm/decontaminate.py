@@ -12,7 +12,8 @@ bit-parallel columns.
 Items of like size form a class. Its windows are walked at every character of the items, but
 only at every ``stride``-th of the texts: a copy holds several of those at whatever place it
 stands. Walks are added until edited copies at the largest distance allowed are found with
-TARGET recall, by the same search; a class that does not get there raises.
+TARGET recall, by the same search; the items of a class that does not get there are held
+against every text, without keys.
 
 Items go in blocks of a bounded size, each of which is sent to all tasks and passes over the
 documents once. Nothing is shuffled.
@@ -117,7 +118,7 @@ class Walks:
         self.words = [rng.permutation(self.steps)[: self.steps // size * size].reshape(-1, size) for _ in range(MAX_WALKS)]
         pairs = [(a, b) for a in range(len(self.words[0])) for b in range(a)] or [(0, 0)]
         self.pairs = [[pairs[k] for k in rng.permutation(len(pairs))[:KEYS]] for _ in range(MAX_WALKS)]
-        self.walks = 1
+        self.walks, self.exact = 1, []
         self.index: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]] = []
 
     def keys(self, chars: np.ndarray, at: np.ndarray, walk: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -141,7 +142,8 @@ class Walks:
         return keys, place
 
     def add(self, coded: list[tuple[int, np.ndarray]]) -> None:
-        """Index the windows of ``coded`` items, adding walks until the rehearsal is content."""
+        """Index the windows of ``coded`` items, adding walks until the rehearsal is content; if it
+        never is, the items are ``exact`` ones, which have no keys."""
         padding = np.zeros(self.steps, np.uint8)
         chars = np.concatenate([c for _, c in coded] + [padding])
         sizes = np.array([len(c) for _, c in coded])
@@ -163,7 +165,7 @@ class Walks:
                 needed = self.walks
             if needed is not None and self.walks >= needed * MARGIN:
                 return
-        raise ValueError(f"walks find {1 - len(waiting) / tried:.3f} of edited items of {self.least} characters, {TARGET} are asked")
+        self.walks, self.index, self.exact = 0, [], sorted({i for i, _ in coded})
 
     def _found(self, item: int, copy: np.ndarray, start: int, most: int, walk: int) -> bool:
         """Whether a key meets the item near its place in the copy."""
@@ -244,9 +246,11 @@ class Items:
                 # of an item without edits one place in a text stands for all
                 bin_ = np.where(self.most[item] == 0, 0, start // (self.most[item] + 1))
                 keys.append(np.unique((text * len(self.ids) + item) * bins + bin_))
+        ends = np.append(starts[1:] - 1, len(chars))
+        for item in (i for walks in self.walks for i in walks.exact):
+            yield from ((text, item, int(begin), int(end)) for text, (begin, end) in enumerate(zip(starts, ends, strict=True)) if end > begin)
         if not keys:
             return
-        ends = np.append(starts[1:] - 1, len(chars))
         key = np.unique(np.concatenate(keys))
         heads = np.flatnonzero(np.append(True, np.diff(key) > 1))  # bins side by side are one stretch
         tails = np.append(heads[1:], len(key)) - 1
