@@ -1,21 +1,22 @@
-"""Exact removal of repeated byte strings by depth-limited radix sorting of suffixes.
-
-Suffixes (string starts) are ordered only through their first ``DEPTH`` bytes, by passes
-from the most significant digit on; after the last pass the groups of equal keys are
-exactly the strings that start in more than one place.
-
-* First digit: the hash of the start's *anchor*, the least of the 50-byte grams inside its
-  string. Equal strings have equal anchors at equal distances, and neighbouring starts share
-  theirs, so one record (anchor, digest of the stretch its starts cover) stands for some 75
-  starts. Anchors that occur once are settled: no string over them repeats.
-* Second digit: the digest of the whole stretch. Starts whose stretches are equal are
-  repeated, however many there are; the rest keeps one record a distinct stretch.
-* Last digit, only where an anchor has different stretches: hashes of every full string over
-  it, compared group by group inside tasks; a group of very many stretches is instead
-  grouped by the strings' hashes across all tasks.
-
-The removed bytes are the union of the repeated strings. What is joined with texts is a list
-of spans for each document.
+"""Exact removal of repeated byte strings, by content-defined anchors.
+
+In place of radix passes over all suffixes, which would move a record for every byte, strings of
+``DEPTH`` bytes are told apart in three steps that keep equal strings together, each settling
+most of what it gets:
+
+* By the hash of the string's *anchor*, the least of the 50-byte grams inside it. Equal strings
+  have equal anchors at equal distances, and neighbouring strings share theirs, so one record
+  (anchor, digest of the stretch its strings cover) stands for some 75 strings. Anchors that
+  occur once are settled: no string over them repeats.
+* By the digest of the whole stretch. Strings whose stretches are equal are repeated, however
+  many there are; the rest keeps one record a distinct stretch.
+* Only where an anchor has different stretches: by hashes of every full string over it, compared
+  anchor by anchor inside tasks; those of an anchor of very many stretches are grouped across
+  all tasks instead. Either way every string is compared.
+
+Strings count as equal if 64-bit hashes of all their bytes and of their anchor are. The removed
+bytes are the union of the repeated strings. What is joined with texts is a list of spans for
+each document. The tables in between are deleted when the result is written.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, shuffle_parts, sliced, written
+from .common import Cuts, keyed, shuffle_parts, sliced, written
 
 DEPTH = 200
 GRAM = 50
@@ -215,16 +216,16 @@ def _exploded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["string", "anchor", "times", "key", "first"])
 
 
-def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(rows: DataFrame, hot: int = HOT, cut=written) -> DataFrame:
     """``key, first, last``: spans (they may overlap) that cover just the bytes of ``rows(key, text)``
-    that lie in a DEPTH-byte string which also starts elsewhere."""
+    that lie in a DEPTH-byte string which also starts elsewhere. ``cut`` writes the tables behind them."""
     spark = rows.sparkSession
     # found twice rather than stored: a second pass over the texts costs less than the table of all anchors
     occurrences = rows.select("key", "text").mapInArrow(_occurrences, "anchor long, stretch long, key long, place long")
-    again = written(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    open_ = written(occurrences.join(again, "anchor"))
+    again = cut(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    open_ = cut(occurrences.join(again, "anchor"))
     one = F.struct("key", "place")
-    distinct = written(open_.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), F.min(one).alias("one")))
+    distinct = cut(open_.groupBy("anchor", "stretch").agg(F.count("*").alias("times"), F.min(one).alias("one")))
     repeated = distinct.filter("times > 1").select("anchor", "stretch")
     span = [F.col("key"), F.shiftright("place", 8).alias("first"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + DEPTH - 1).alias("last")]
     spans = open_.join(repeated, ["anchor", "stretch"], "left_semi").select(*span)
@@ -236,8 +237,8 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     found = rows.join(by_text, "key").select("text", "wanted").mapInArrow(_stretches, bytes_)
     if not mixed.filter(F.col("stretches") > hot).isEmpty():
         very = mixed.filter(F.col("stretches") > hot).select("anchor")
-        found = written(found)
-        strings = written(found.join(very, "anchor", "left_semi").mapInArrow(_exploded, "string long, anchor long, times long, key long, first long"))
+        found = cut(found)
+        strings = cut(found.join(very, "anchor", "left_semi").mapInArrow(_exploded, "string long, anchor long, times long, key long, first long"))
         more = strings.groupBy("string", "anchor").agg(F.count("*").alias("n")).filter("n > 1")
         spans = spans.unionByName(strings.filter("times = 1").join(more, ["string", "anchor"], "left_semi").select("key", "first", (F.col("first") + DEPTH).alias("last")))
         found = found.join(very, "anchor", "left_anti")
@@ -271,10 +272,10 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, cut) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = keyed(plain, "key")
-    spans = repeated_spans(rows).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("s"))
+    rows = keyed(plain, "key", cut)
+    spans = repeated_spans(rows, cut=cut).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("s"))
     return rows.join(spans, "key", "left").select("doc_id", "text", F.col("s.first").alias("first"), F.col("s.last").alias("last"))
 
 
@@ -282,10 +283,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs(doc_id, text)``.
 
     A null text is empty; texts under DEPTH bytes lose nothing. A row that repeats another one
-    loses all its bytes, as any copy of at least DEPTH bytes does. Null ids stay null. Other
-    columns of ``docs`` are not read.
+    loses all its bytes, as any copy of at least DEPTH bytes does. Null ids stay null. An empty
+    table gives an empty result. Other columns of ``docs`` are not read.
     """
-    return _with_spans(docs).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with Cuts(docs.sparkSession) as cut:
+        return written(_with_spans(docs, cut).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def _kept(batches):
@@ -302,4 +304,5 @@ def _kept(batches):
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
     """``doc_id, kept``: what is left of every text, as bytes (a cut may split a character)."""
-    return _with_spans(docs).mapInArrow(_kept, "doc_id long, kept binary")
+    with Cuts(docs.sparkSession) as cut:
+        return written(_with_spans(docs, cut).mapInArrow(_kept, "doc_id long, kept binary"))
