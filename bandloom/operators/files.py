@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.ranges import first_lines
+
 # The exports' name patterns. A sensor may hold underscores, a frame statistic one.
 PSD_NAME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([A-Za-z0-9]+)\.csv$"
 PFP_NAME = r"^PFP_([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([A-Za-z0-9]+(?:_[A-Za-z0-9]+)?)\.csv$"
@@ -52,17 +54,53 @@ def resolve_collisions(files: DataFrame, key: list[str]) -> tuple[DataFrame, Dat
     return ranked.filter("k = 1").drop("k"), ranked.filter("k > 1").drop("k")
 
 
+def width_of(header: Column) -> Column:
+    return F.size(F.split(header, ","))
+
+
 def preflight(files: DataFrame, width: int, sample: int = 2) -> DataFrame:
-    """Column counts of the first files of each sensor and statistic."""
+    """Column counts of the first files ``(kind, sensor, stat, path)`` of each sensor and statistic.
+
+    Files without an ``n_cols`` of their own have their first lines read, those of the sample
+    alone; one whose line cannot be read is not ok.
+    """
     first = F.row_number().over(W.partitionBy("kind", "sensor", "stat").orderBy("path"))
-    paths = files.groupBy("kind", "sensor", "stat", "path").agg(F.min("n_cols").alias("n_cols"))
-    return paths.withColumn("k", first).filter(F.col("k") <= sample).withColumn("ok", F.col("n_cols") == width).drop("k")
+    given = F.min("n_cols") if "n_cols" in files.columns else F.lit(None)
+    paths = files.groupBy("kind", "sensor", "stat", "path").agg(given.cast("int").alias("n_cols"))
+    some = paths.withColumn("k", first).filter(F.col("k") <= sample).drop("k")
+    if "n_cols" not in files.columns:
+        some = some.drop("n_cols").join(first_lines(some).select("path", width_of(F.col("header")).alias("n_cols")), "path", "left").select(*paths.columns)
+    return some.withColumn("ok", F.coalesce(F.col("n_cols") == width, F.lit(False)))
+
+
+#: What endings say of a file, the best first; all others are papers and sidecars.
+BULK = (".sigmf-data", ".sigmf-meta", ".tdms", ".npy", ".duckdb", ".h5", ".hdf5", ".mat", ".float32", ".zip", ".sdat", ".dat", ".bin")
+TABULAR = (".csv", ".parquet")
+
+
+def unit_of(path: Column) -> Column:
+    """What a file is taken or left with: the two halves of a SigMF capture, the folder of an iq-tar one, else itself."""
+    parent = F.regexp_replace(path, r"/?[^/]*$", "")
+    half = F.lower(path).rlike(r"\.sigmf-(meta|data)$")
+    return F.when(half, F.regexp_replace(path, r"(?i)\.sigmf-(meta|data)$", "")).when(F.endswith(F.lower(parent), F.lit(".iq")), parent).otherwise(path)
+
+
+def tier_of(path: Column) -> Column:
+    """0 for signals, 1 for tables, 2 for the rest."""
+    return F.when(_ends(path, BULK), 0).when(_ends(path, TABULAR), 1).otherwise(2)
 
 
 def smallest_units(files: DataFrame, n: int) -> DataFrame:
-    """The ``n`` smallest whole units of ``files(unit, path, size)``; units of unknown size come last."""
-    units = files.groupBy("unit").agg(F.sum("size").alias("total"), F.max(F.col("size").isNull()).alias("unknown"), F.count("*").alias("files"))
-    return units.orderBy("unknown", "total", "unit").limit(n).select("unit", "total", "files")
+    """The files ``(path, size)`` of the ``n`` smallest whole units: path, size, unit, tier, total, and the unit's ``place``.
+
+    Units of signals go before tables, and those before the rest; within a tier those of unknown
+    size come last. Files that come with a ``unit`` keep it.
+    """
+    known = files if "unit" in files.columns else files.withColumn("unit", unit_of(F.col("path")))
+    units = known.groupBy("unit").agg(F.min(tier_of(F.col("path"))).alias("tier"), F.max(F.col("size").isNull()).alias("unknown"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("files"))
+    best = units.orderBy("tier", "unknown", "total", "unit").limit(n)
+    place = F.row_number().over(W.orderBy("tier", "unknown", "total", "unit"))  # n rows
+    return known.join(F.broadcast(best.withColumn("place", place)), "unit")
 
 
 def folder_tree(files: DataFrame) -> DataFrame:
@@ -88,37 +126,67 @@ def safe_path(path: Column) -> Column:
     return F.coalesce(~odd, F.lit(False))
 
 
+def _text(v: Column, key: str) -> Column:
+    """A field that is text; null if it is anything else."""
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+
+
+def size_of(component: Column) -> Column:
+    """The size of a component as a whole number, whether it was written as one, as a fraction or in quotes; else null."""
+    quoted = F.trim(_text(component, "size"))
+    kind = F.schema_of_variant(F.try_variant_get(component, "$.size", "variant"))
+    number = F.try_variant_get(component, "$.size", "double")
+    whole = F.coalesce(F.try_variant_get(component, "$.size", "bigint"), number.try_cast("bigint"))
+    return F.when(kind == "STRING", F.when(quoted.rlike("^[0-9]+$"), quoted.try_cast("bigint"))).when(kind == "BOOLEAN", F.lit(None)).otherwise(whole)
+
+
 def manifest(rows: DataFrame) -> DataFrame:
     """Components of JSON manifests ``rows(id, json)``, plain or wrapped in ResultData: id, path, url, size, checksum.
 
-    Entries without a URL are no files; one without a path goes by the URL's last part; unsafe
-    paths are dropped. Checksum sidecars are not listed but go with the file that they are for,
-    as their URL.
+    Components are read one by one as variants: what one of them has in place of a size or a
+    type is no matter of the others. Text that is no JSON has no components. Entries without a
+    URL are no files; one without a path goes by the URL's last part; unsafe paths are dropped.
+    Checksum sidecars are not listed but go with the file that they are for, as their URL.
     """
-    component = "array<struct<filepath:string,downloadURL:string,size:bigint,`@type`:array<string>>>"
-    plain = F.from_json("json", f"struct<components:{component}>")["components"]
-    wrapped = F.flatten(F.from_json("json", f"struct<ResultData:array<struct<components:{component}>>>")["ResultData"]["components"])
+    record = F.try_parse_json("json")
+    listed = lambda v, key: F.try_variant_get(v, f"$.{key}", "array<variant>")
+    plain = listed(record, "components")
+    wrapped = F.flatten(F.filter(F.transform(listed(record, "ResultData"), lambda r: listed(r, "components")), lambda c: c.isNotNull()))
     each = rows.select("id", F.explode(F.coalesce(plain, wrapped)).alias("c"))
-    last = F.url_decode(F.regexp_extract("c.downloadURL", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1))
-    path = F.coalesce(F.nullif(F.col("c.filepath"), F.lit("")), last)
-    listed = each.filter("c.downloadURL <> ''").select("id", path.alias("path"), F.col("c.downloadURL").alias("url"), "c.size", F.col("c.@type").alias("types"))
-    listed = listed.filter(safe_path(F.col("path")))
+    url = _text(F.col("c"), "downloadURL")
+    last = F.try_url_decode(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1))
+    path = F.coalesce(F.nullif(_text(F.col("c"), "filepath"), F.lit("")), last)
+    kinds = F.try_variant_get("c", "$.@type", "array<string>")
+    found = each.select("id", path.alias("path"), url.alias("url"), size_of(F.col("c")).alias("size"), kinds.alias("types")).filter("url <> ''")
+    found = found.filter(safe_path(F.col("path")))
     sidecar = F.endswith("path", F.lit(".sha256")) | F.coalesce(F.array_contains("types", "nrdp:ChecksumFile"), F.lit(False))
-    sums = listed.filter(sidecar).groupBy("id", F.regexp_replace("path", r"\.sha256$", "").alias("path")).agg(F.min("url").alias("checksum"))
-    return listed.filter(~sidecar).drop("types").join(sums, ["id", "path"], "left").select("id", "path", "url", "size", "checksum")
+    sums = found.filter(sidecar).groupBy("id", F.regexp_replace("path", r"\.sha256$", "").alias("path")).agg(F.min("url").alias("checksum"))
+    return found.filter(~sidecar).drop("types").join(sums, ["id", "path"], "left").select("id", "path", "url", "size", "checksum")
 
 
 def heads(spark, path: str, pattern: str = "*.csv") -> DataFrame:
     """``path, header, n_cols`` of the files below a folder, from the first line of each.
 
-    Spark's text reader scans the files that the pattern names; of each one line is kept.
+    For stores that Spark alone opens: its text reader scans the files that the pattern names,
+    whole, and of each one line is kept. Elsewhere ``first_lines`` reads lines only.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     rows = lines.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("k"))
     first = rows.filter("at = 0").groupBy("path").agg(F.min_by("value", "k").alias("header"))
-    return first.withColumn("n_cols", F.size(F.split("header", ",")))
+    return first.withColumn("n_cols", width_of(F.col("header")))
 
 
 def undecided(files: DataFrame) -> DataFrame:
     """Of classified files those whose names do not decide: only their headers need to be read."""
     return files.filter((F.col("kind") == "none") & F.endswith(F.lower("name"), F.lit(".csv")))
+
+
+def survey(files: DataFrame) -> DataFrame:
+    """``files(path, name)`` classified; headers are fetched of the undecided ones only: path, name, kind,
+    day, sensor, stat, and n_read, the bytes that were read for it (null where the name decides)."""
+    named = classify(files.select("path", "name").withColumn("header", F.lit(None).cast("string")))
+    open_ = undecided(named).select("path", "name")
+    read = open_.join(first_lines(open_), "path")
+    both = named.join(open_.select("path"), "path", "left_anti").withColumn("n_read", F.lit(None).cast("long")).unionByName(classify(read), allowMissingColumns=True)
+    return both.select("path", "name", "kind", "day", "sensor", "stat", "n_read")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..sources.places import exists, remove_tree
+from ..sources.ranges import in_tasks, opened, reachable, read_fully
 from .pyramid import column_levels
 
 
@@ -130,17 +134,17 @@ FORMATS = {
 }
 #: The endings of data files, of the sidecars that describe them, and of arrays that describe themselves.
 SIGMF_META, SIGMF_DATA, IQTAR_DATA, ARRAY = ".sigmf-meta", ".sigmf-data", ".complex1ch.float32", ".npy"
-#: Frames that a task decodes at once.
-FRAMES = 256
+#: Frames that a task decodes at once, and bytes of a capture that are a task's share.
+FRAMES, SLICE = 256, 64 << 20
 
 
 def sample_size(datatype: str) -> int:
-    kind, numbers, _ = FORMATS[datatype]
+    kind, numbers, _ = FORMATS.get(datatype, (datatype, 1, 1.0))  # or the name of a complex numpy type
     return np.dtype(kind).itemsize * numbers
 
 
 def decode_samples(raw: bytes, datatype: str) -> np.ndarray:
-    kind, numbers, scale = FORMATS[datatype]
+    kind, numbers, scale = FORMATS.get(datatype, (datatype, 1, 1.0))
     x = np.frombuffer(raw, kind)
     return x.astype(np.complex128) if numbers == 1 else (x[0::2].astype(float) + 1j * x[1::2].astype(float)) * scale
 
@@ -212,38 +216,188 @@ def catalogue(spark, path: str) -> DataFrame:
     return both.select(F.xxhash64("stem").alias("id"), "name", "path", "datatype", "sample_rate", "center", "scale", "declared", "samples", "fault")
 
 
-def read_captures(spark, path: str, nfft: int) -> DataFrame:
-    """Whole frames ``id, frame, i, q`` of all captures below a folder that have no fault; arrays (.npy) as well.
+def arrays(spark, path: str) -> DataFrame:
+    """Arrays (.npy) below a folder from their headers alone: id, name, path, datatype, start (of the
+    samples in the file), samples, fault. What is not complex is none; arrays of several
+    dimensions in column order have no samples in a row and are ``folded``."""
+    files = _files(spark, path, ARRAY).select("path", "length")
+
+    def header(name: str, length: int):
+        try:
+            with opened(name) as file:
+                version = np.lib.format.read_magic(file)
+                read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}[version]
+                shape, columns_first, kind = read(file)
+                start = file.tell()
+        except (OSError, ValueError, KeyError) as e:
+            return None, 0, 0, f"header: {type(e).__name__}"
+        n = int(np.prod(shape, dtype=np.int64))
+        if kind.kind != "c":
+            return kind.str, start, n, "datatype"
+        if columns_first and sum(k > 1 for k in shape) > 1:
+            return kind.str, start, n, "folded"
+        return kind.str, start, n, "truncated" if length < start + n * kind.itemsize else None if n else "no data"
 
-    Spark's own reader fetches the files, so any store that it opens will do. It hands over a
-    file at a time, of 2 GB at most; frames are decoded in slices. An array's id is that of its
-    path, without the ending.
-    """
-    sound = catalogue(spark, path).filter("fault is null").select("id", "path", "datatype", "scale")
-    arrays = _files(spark, path, ARRAY).select(F.xxhash64(_stem(F.col("path"), ARRAY)).alias("id"), F.lit(ARRAY).alias("datatype"), F.lit(1.0).alias("scale"), "content")
-    content = _files(spark, path, SIGMF_DATA).unionByName(_files(spark, path, IQTAR_DATA)).select("path", "content")
-    files = content.join(F.broadcast(sound), "path").select("id", "datatype", "scale", "content").unionByName(arrays)  # a row a capture
+    def run(batches):
+        for batch in batches:
+            paths, lengths = (c.to_pylist() for c in batch.columns)
+            found = list(zip(*map(header, paths, lengths), strict=True)) or [[]] * 4
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(found, types, strict=True))], ["path", "datatype", "start", "samples", "fault"])
+
+    known = in_tasks(files.filter(reachable(F.col("path"))), 64).mapInArrow(run, "path string, datatype string, start long, samples long, fault string")
+    stem = _stem(F.col("path"), ARRAY)
+    return known.select(F.xxhash64(stem).alias("id"), F.element_at(F.split(stem, "/"), -1).alias("name"), "path", "datatype", "start", "samples", "fault")
+
+
+def slices(captures: DataFrame, nfft: int, size: int) -> DataFrame:
+    """Ranges of whole frames of ``captures(id, path, datatype, scale, start, samples)``, of about ``size``
+    bytes each: id, path, datatype, scale, frame (the first), frames, at (its byte)."""
+    sizes = {d: sample_size(d) for d in (*FORMATS, *(f"{end}c{n}" for end in "<>" for n in (8, 16)))}
+    each = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("datatype")] * nfft
+    frames = F.floor(F.col("samples") / nfft).cast("long")
+    per = F.greatest(F.lit(1), F.floor(size / each)).cast("long")
+    cut = captures.withColumn("each", each).withColumn("n", frames).withColumn("per", per).filter("n > 0")
+    cut = cut.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("per"))))
+    return cut.select("id", "path", "datatype", "scale", "frame", F.least("per", F.col("n") - F.col("frame")).alias("frames"), (F.col("start") + F.col("frame") * F.col("each")).alias("at"))
+
+
+def _frame_batch(id_: int, first: int, x: np.ndarray, nfft: int) -> pa.RecordBatch:
+    count = len(x) // nfft
+    offsets = pa.array(np.arange(0, len(x) + 1, nfft), pa.int32())
+    parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v, np.float64))) for v in (x.real, x.imag)]
+    return pa.RecordBatch.from_arrays([pa.array([id_] * count, pa.int64()), pa.array(range(first, first + count), pa.int64()), *parts], ["id", "frame", "i", "q"])
+
+
+def _read_slices(nfft: int):
+    def run(batches):
+        for batch in batches:
+            for id_, path, datatype, scale, frame, frames, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size = sample_size(datatype) * nfft
+                with opened(path) as file:
+                    file.seek(at)
+                    for first in range(frame, frame + frames, FRAMES):
+                        count = min(FRAMES, frame + frames - first)
+                        raw = read_fully(file, count * size)
+                        if len(raw) < count * size:
+                            raise OSError(f"{path} ends within frame {first + len(raw) // size}")
+                        yield _frame_batch(id_, first, decode_samples(raw, datatype) * scale, nfft)
 
+    return run
+
+
+def _read_whole(nfft: int):
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 id_, datatype, scale = (batch.column(c)[at].as_py() for c in range(3))
                 raw = batch.column(3)[at].as_buffer()
-                if datatype == ARRAY:
-                    samples = np.load(io.BytesIO(raw), allow_pickle=False).reshape(-1)
-                    if not np.iscomplexobj(samples):
-                        continue
-                    slice_ = lambda a, b: samples[a:b]  # noqa: E731, B023
-                    n = len(samples) // nfft
-                else:
-                    size = sample_size(datatype) * nfft
-                    slice_ = lambda a, b: decode_samples(raw[a // nfft * size : b // nfft * size], datatype) * scale  # noqa: E731, B023
-                    n = len(raw) // size
-                for first in range(0, n, FRAMES):
-                    count = min(FRAMES, n - first)
-                    x = slice_(first * nfft, (first + count) * nfft)
-                    offsets = pa.array(np.arange(0, len(x) + 1, nfft), pa.int32())
-                    parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v, np.float64))) for v in (x.real, x.imag)]
-                    yield pa.RecordBatch.from_arrays([pa.array([id_] * count, pa.int64()), pa.array(range(first, first + count), pa.int64()), *parts], ["id", "frame", "i", "q"])
-
-    return files.mapInArrow(run, "id long, frame long, i array<double>, q array<double>")
+                samples = np.load(io.BytesIO(raw), allow_pickle=False).reshape(-1) if datatype == ARRAY else None
+                if samples is not None and not np.iscomplexobj(samples):
+                    continue
+                size = sample_size(datatype) * nfft if samples is None else 0
+                for first in range(0, len(raw) // size if samples is None else len(samples) // nfft, FRAMES):
+                    x = decode_samples(raw[first * size : (first + FRAMES) * size], datatype) * scale if samples is None else samples[first * nfft : (first + FRAMES) * nfft]
+                    yield _frame_batch(id_, first, x[: len(x) // nfft * nfft], nfft)
+
+    return run
+
+
+FRAME_ROWS = "id long, frame long, i array<double>, q array<double>"
+
+
+def sound_captures(spark, path: str) -> DataFrame:
+    """All captures below a folder that may be read: id, path, datatype, scale, start, samples."""
+    described_ = catalogue(spark, path).filter("fault is null").select("id", "path", "datatype", "scale", F.lit(0).cast("long").alias("start"), "samples")
+    found = arrays(spark, path).filter("fault is null").select("id", "path", "datatype", F.lit(1.0).alias("scale"), "start", "samples")
+    return described_.unionByName(found)
+
+
+def read_captures(spark, path: str, nfft: int, size: int = SLICE) -> DataFrame:
+    """Whole frames ``id, frame, i, q`` of all captures below a folder that have no fault; arrays (.npy) as well.
+
+    A capture is read in ranges of about ``size`` bytes, each by a task of its own that holds
+    FRAMES frames at a time; its length is no limit. Only captures in stores that Spark alone
+    opens, and folded arrays, are fetched by Spark's reader, which hands over a file at a time,
+    of 2 GB at most. An array's id is that of its path, without the ending.
+    """
+    sound = sound_captures(spark, path).withColumn("reachable", reachable(F.col("path")))
+    return read_slices(sound.filter("reachable"), nfft, size).unionByName(_others(spark, path, sound.filter("not reachable"), nfft))
+
+
+def read_slices(sound: DataFrame, nfft: int, size: int = SLICE) -> DataFrame:
+    """Frames of ``sound(id, path, datatype, scale, start, samples)``, a task for each ``size`` bytes."""
+    parts = slices(sound, nfft, size)
+    n = parts.count()  # a row a range; small captures share tasks
+    most = sound.sparkSession.sparkContext.defaultParallelism
+    volume = parts.agg(F.sum(F.col("frames"))).first()[0] or 0
+    tasks = max(1, min(n, max(most, -(-volume * nfft * 8 // size))))
+    return parts.repartition(tasks).mapInArrow(_read_slices(nfft), FRAME_ROWS)
+
+
+def _others(spark, path: str, unreachable: DataFrame, nfft: int) -> DataFrame:
+    """Frames of captures that have to be fetched whole."""
+    far = unreachable.select("id", "path", "datatype", "scale").collect()  # a row a capture, as Spark's own listing
+    names = {r["path"]: (r["id"], r["datatype"], r["scale"]) for r in far}
+    stem = lambda p: p.removesuffix(ARRAY)
+    folded = [r["path"] for r in arrays(spark, path).filter("fault = 'folded'").select("path").collect()]
+    remote = [r["path"] for r in _files(spark, path, ARRAY).filter(~reachable(F.col("path"))).select("path").collect()]
+    ids = {r["path"]: r["id"] for r in spark.createDataFrame([(p, stem(p)) for p in {*folded, *remote}], "path string, stem string").select("path", F.xxhash64("stem").alias("id")).collect()} if folded or remote else {}
+    names |= {p: (i, ARRAY, 1.0) for p, i in ids.items()}
+    if not names:
+        return spark.createDataFrame([], FRAME_ROWS)
+    table = spark.createDataFrame([(p, *v) for p, v in names.items()], "path string, id long, datatype string, scale double")
+    content = spark.read.format("binaryFile").load(sorted(names)).select("path", "content")
+    return content.join(F.broadcast(table), "path").select("id", "datatype", "scale", "content").mapInArrow(_read_whole(nfft), FRAME_ROWS)
+
+
+def ingest(spark, path: str, target: str, dataset: str, nfft: int, array_rate: float | None = None, coarsest: int = COARSEST, size: int = SLICE) -> DataFrame:
+    """From the captures below ``path`` to stored pyramids and metadata below ``target``: dataset, name, state.
+
+    A capture is known by dataset and name and taken once: ``already`` says that it was stored
+    before. ``short`` ones hold no frame, ``no rate`` are arrays while ``array_rate`` is unknown;
+    other states are the faults of the files. A run writes its levels to a folder of its own and
+    then its metadata, which is what counts: a run that dies leaves nothing that is read.
+    """
+    run = uuid.uuid4().hex
+    described_ = catalogue(spark, path).withColumn("start", F.lit(0).cast("long")).drop("declared")
+    rate = F.lit(array_rate).cast("double")
+    found = arrays(spark, path).select("id", "name", "path", "datatype", rate.alias("sample_rate"), F.lit(0.0).alias("center"), F.lit(1.0).alias("scale"), "samples", "start",
+                                       F.coalesce("fault", F.when(rate.isNull(), "no rate")).alias("fault"))
+    every = described_.unionByName(found).withColumn("dataset", F.lit(dataset))
+    every = every.withColumn("fault", F.coalesce("fault", F.when(F.col("samples") < nfft, "short")))
+    # of equal names in one dataset the first path is the capture
+    every = every.withColumn("again", F.row_number().over(W.partitionBy("name").orderBy(F.col("fault").isNotNull(), "path")) > 1)
+    known = stored_metadata(spark, target)
+    done = known.select("dataset", "name").distinct().withColumn("known", F.lit(True)) if known is not None else spark.createDataFrame([], "dataset string, name string, known boolean")
+    every = every.join(done, ["dataset", "name"], "left")
+    state = F.coalesce("fault", F.when(F.col("known"), "already"), F.when(F.col("again"), "name taken"), F.lit("ingested"))
+    every.withColumn("state", state).write.parquet(f"{target}/runs/{run}")
+    every = spark.read.parquet(f"{target}/runs/{run}")
+    todo = every.filter("state = 'ingested'")
+    if not todo.isEmpty():
+        place = f"{target}/levels/run={run}"
+        stft(read_slices(todo, nfft, size), nfft).write.parquet(f"{target}/spectra/{run}")
+        spectra = spark.read.parquet(f"{target}/spectra/{run}")
+        quantization_range(spectra).write.parquet(f"{target}/ranges/{run}")
+        ranges = spark.read.parquet(f"{target}/ranges/{run}")
+        levels(spectra, ranges, coarsest).repartitionByRange("level", "id", "col").sortWithinPartitions("level", "id", "col").write.parquet(place)
+        stored = spark.read.parquet(place)
+        rows = metadata(todo, stored, ranges, display_scale(stored, ranges), nfft)
+        rows.write.parquet(f"{target}/meta/run={run}")
+        remove_tree(spark, f"{target}/spectra/{run}")
+        remove_tree(spark, f"{target}/ranges/{run}")
+    return every.select("dataset", "name", "state")
+
+
+def stored_metadata(spark, target: str) -> DataFrame | None:
+    """Metadata of what ``ingest`` has stored, with its ``run``; none if there is none yet."""
+    if not exists(spark, f"{target}/meta"):
+        return None
+    return spark.read.parquet(f"{target}/meta")
+
+
+def stored_levels(spark, target: str) -> DataFrame:
+    """The stored pyramids: level, id, col, bins, run. Runs without metadata did not end, and do not count."""
+    ended = stored_metadata(spark, target).select("run").distinct()
+    return spark.read.parquet(f"{target}/levels").join(F.broadcast(ended), "run", "left_semi")  # a row a run

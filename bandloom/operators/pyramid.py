@@ -42,7 +42,7 @@ def summary_pyramid(raw: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFra
     )
 
 
-def _runs(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+def runs(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """Where rows begin that differ in ``keys`` from the row before, and the end."""
     new = np.zeros(batch.num_rows + 1, bool)
     new[[0, -1]] = True
@@ -52,9 +52,9 @@ def _runs(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pooled(batch: pa.RecordBatch, keys: Sequence[str], vector: str) -> pa.RecordBatch:
+def pooled(batch: pa.RecordBatch, keys: Sequence[str], vector: str) -> pa.RecordBatch:
     """The batch, whose equal keys lie together, with one row a key: element-wise maxima, nulls apart."""
-    edges = _runs(batch, keys)
+    edges = runs(batch, keys)
     column = batch.column(vector)
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     flat = column.flatten()
@@ -80,13 +80,13 @@ def _pooled(batch: pa.RecordBatch, keys: Sequence[str], vector: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([*firsts.columns, lists], [*keys, vector])
 
 
-def _plain(batch: pa.RecordBatch, vector: str) -> pa.RecordBatch:
+def plain(batch: pa.RecordBatch, vector: str) -> pa.RecordBatch:
     """The batch in the one schema of all steps: every field may be null, lists name their cells alike."""
     columns = [c.cast(pa.list_(c.type.value_type)) if name == vector else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
     return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def _sorted_batch(batch: pa.RecordBatch, keys: Sequence[str]) -> pa.RecordBatch:
+def sorted_batch(batch: pa.RecordBatch, keys: Sequence[str]) -> pa.RecordBatch:
     return batch.take(pc.sort_indices(batch.select(list(keys)), [(k, "ascending") for k in keys]))
 
 
@@ -102,7 +102,7 @@ def vector_max(df: DataFrame, by: Sequence[str], vector: str, out: str = "smax")
     def partial(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _pooled(_sorted_batch(_plain(batch, out), by), by, out)
+                yield pooled(sorted_batch(plain(batch, out), by), by, out)
 
     def final(batches):
         """Rows come in order of their keys; the last key waits for the next batch."""
@@ -110,13 +110,13 @@ def vector_max(df: DataFrame, by: Sequence[str], vector: str, out: str = "smax")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = _plain(batch, out)
+            batch = plain(batch, out)
             if waiting is not None:
                 batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            pooled = _pooled(batch, by, out)
-            waiting = pooled.slice(pooled.num_rows - 1)
-            if pooled.num_rows > 1:
-                yield pooled.slice(0, pooled.num_rows - 1)
+            best = pooled(batch, by, out)
+            waiting = best.slice(best.num_rows - 1)
+            if best.num_rows > 1:
+                yield best.slice(0, best.num_rows - 1)
         if waiting is not None:
             yield waiting
 
@@ -140,6 +140,46 @@ def top_up(level: DataFrame, captures: DataFrame, since: int, bucket: int) -> Da
     return level.filter(F.col("t") < start).unionByName(psd_level(captures.filter(F.col("t") >= start), bucket))
 
 
+def day_of(t: Column) -> Column:
+    return F.floor(t / BUCKETS[-1]).cast("long")
+
+
+def write_level(level: DataFrame, path: str) -> None:
+    """A level in a folder for each day; days that ``level`` has replace those stored, others stay as they are."""
+    dated = level.withColumn("day", day_of(F.col("t")))
+    dated.repartitionByRange("day", "sensor", "t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def top_up_stored(path: str, captures: DataFrame, since: float, bucket: int, by: Sequence[str] = ("stat", "sensor")) -> None:
+    """Bring a level that ``write_level`` stored up to ``captures``, of which those from ``since`` on are new.
+
+    Buckets are rebuilt from the day of ``since`` on, as the bucket in which it falls may have been
+    stored half; earlier days are neither read nor written. A bucket of a day or less lies in one day.
+    """
+    if bucket > BUCKETS[-1]:
+        raise ValueError(f"a bucket of {bucket} s does not lie in one day")
+    start = since // BUCKETS[-1] * BUCKETS[-1]
+    write_level(psd_level(captures.filter(F.col("t") >= start), bucket, by), path)
+
+
+def spread_sample(rows: DataFrame, by: Sequence[str], slots: int = 16, each: int = 16, most: int = 400) -> DataFrame:
+    """Some of ``rows(..by, t)`` from all over each key's range: the first ``each`` of ``slots`` equal
+    stretches, of which then every so many-th stays, in order of time, so that about ``most`` are left.
+
+    A range under a second a slot has slots of a second. With ``slot`` and ``k``, the place among those that stay.
+    """
+    by = list(by)
+    span = rows.groupBy(*by).agg(F.min("t").alias("_a"), F.greatest((F.max("t") - F.min("t")) / slots, F.lit(1.0)).alias("_step"))
+    placed = rows.join(span, by).withColumn("slot", F.least(F.lit(slots - 1), F.floor((F.col("t") - F.col("_a")) / F.col("_step"))).cast("int"))
+    # a limit on a rank keeps so many rows a task before anything moves
+    rank = F.row_number().over(W.partitionBy(*by, "slot").orderBy("t"))
+    first = placed.withColumn("_r", rank).filter(F.col("_r") <= each)
+    every = W.partitionBy(*by)  # slots * each rows at most
+    stride = F.greatest(F.lit(1), F.floor(F.count("*").over(every) / most))
+    thinned = first.withColumn("_stride", stride).withColumn("_i", F.row_number().over(every.orderBy("t")) - 1).filter(F.col("_i") % F.col("_stride") == 0)
+    return thinned.withColumn("k", F.floor(F.col("_i") / F.col("_stride")).cast("int")).select(*rows.columns, "slot", "k")
+
+
 def column_levels(columns: DataFrame, coarsest: int) -> DataFrame:
     """``level, id, col, bins`` from the columns ``(id, col, bins)`` of level 0.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quant import Geometry, code, decode
+from .pyramid import psd_level
 
 KEY = ["sensor", "stat", "t"]
 
@@ -51,20 +52,30 @@ def bytes_equal(both: DataFrame, g: Geometry) -> DataFrame:
     return both.groupBy("sensor", "stat").agg(F.count("*").alias("n_checked"), F.sum((F.col("q") != code(F.col("v"), g.qmin, g.qmax)).cast("int")).alias("n_bad"))
 
 
-def ties(both: DataFrame, g: Geometry) -> DataFrame:
-    """Values halfway between two codes, exactly: they must go to the even one."""
+def _tie(g: Geometry) -> Column:
     twice = (F.col("v").cast("decimal(20,6)") - F.lit(g.qmin).cast("decimal(20,6)")) * 2 * 255 / F.lit(g.qmax - g.qmin).cast("decimal(20,6)")
     whole = twice.cast("decimal(20,0)")
-    tie = _inside(g) & (twice == whole) & (whole % 2 != 0)
-    return both.filter(tie).groupBy("sensor", "stat").agg(F.count("*").alias("n_checked"), F.sum((F.col("q") % 2 != 0).cast("int")).alias("n_bad"))
+    return (twice == whole) & (whole % 2 != 0)
+
+
+def ties(both: DataFrame, g: Geometry) -> DataFrame:
+    """Values halfway between two codes, exactly: they must go to the even one."""
+    return both.filter(_inside(g) & _tie(g)).groupBy("sensor", "stat").agg(F.count("*").alias("n_checked"), F.sum((F.col("q") % 2 != 0).cast("int")).alias("n_bad"))
+
+
+def _picked(one_in: int) -> Column:
+    return (F.floor(F.col("t")) * 31 + F.col("pos") * 17) % one_in == 0
+
+
+def _far(g: Geometry) -> Column:
+    """More than half a step from the source, in decimal arithmetic."""
+    scaled = (F.col("v").cast("decimal(18,9)") - F.lit(g.qmin).cast("decimal(18,9)")) * 255 / F.lit(g.qmax - g.qmin).cast("decimal(18,9)")
+    return F.abs(scaled - F.col("q").cast("decimal(18,9)")) > F.lit("0.500001").cast("decimal(18,9)")
 
 
 def exact(both: DataFrame, g: Geometry, one_in: int = 7) -> DataFrame:
     """Codes of a fixed share of the cells by decimal arithmetic, at most half a step from the source."""
-    picked = both.filter(((F.floor(F.col("t")) * 31 + F.col("pos") * 17) % one_in == 0) & _inside(g))
-    scaled = (F.col("v").cast("decimal(18,9)") - F.lit(g.qmin).cast("decimal(18,9)")) * 255 / F.lit(g.qmax - g.qmin).cast("decimal(18,9)")
-    off = F.abs(scaled - F.col("q").cast("decimal(18,9)")) > F.lit("0.500001").cast("decimal(18,9)")
-    return picked.groupBy("sensor", "stat").agg(F.count("*").alias("n_checked"), F.sum(off.cast("int")).alias("n_bad"))
+    return both.filter(_picked(one_in) & _inside(g)).groupBy("sensor", "stat").agg(F.count("*").alias("n_checked"), F.sum(_far(g).cast("int")).alias("n_bad"))
 
 
 def routing(source: DataFrame, stored: DataFrame, g: Geometry) -> DataFrame:
@@ -99,28 +110,81 @@ def presence(source: DataFrame, stored: DataFrame) -> DataFrame:
     return every.groupBy("sensor", "stat").agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
 
 
-def report(source: DataFrame, stored: DataFrame, g: Geometry) -> DataFrame:
-    """``sensor, stat, check, n_checked, n_bad, ok`` of values, clipping, codes and presence in one table.
+#: Checks that may find nothing to look at: no cell out of range, no value halfway between codes.
+MAY_BE_IDLE = ("clipped", "ties")
 
-    A check that had nothing to look at has failed, but for clipping, which may have nothing to find.
-    """
-    key = ["sensor", "stat"]
-    v, q = F.col("v"), F.col("q")
-    off = F.abs(decode(q, g.qmin, g.qmax) - v) > g.step / 2 + 1e-9
+
+def _by_cell(source: DataFrame, stored: DataFrame, g: Geometry, one_in: int) -> DataFrame:
+    """Everything that is asked of single cells, in one pass: sensor, stat, and for each check its cells and its bad ones."""
+    v, q, inside = F.col("v"), F.col("q"), _inside(g)
+    error = decode(q, g.qmin, g.qmax) - v
     low, high = v < g.qmin, v > g.qmax
     sums = {
-        "values": (_inside(g), off), "codes": (F.lit(True), q != code(v, g.qmin, g.qmax)),
-        "clipped": (low | high, (low & (q != 0)) | (high & (q != 255))),
+        "values": (inside, F.abs(error) > g.step / 2 + 1e-9), "codes": (F.lit(True), q != code(v, g.qmin, g.qmax)),
+        "clipped": (low | high, (low & (q != 0)) | (high & (q != 255))), "ties": (inside & _tie(g), q % 2 != 0),
+        "exact": (inside & _picked(one_in), _far(g)),
     }
     counts = [c for name, (seen, bad) in sums.items() for c in (F.count_if(seen).alias(f"{name}_n"), F.count_if(seen & bad).alias(f"{name}_bad"))]
-    by_cell = cells(source, stored).groupBy(*key).agg(*counts)
+    rows = cells(source, stored).groupBy("sensor", "stat").agg(*counts, F.avg(F.when(inside, error)).alias("bias"))
+    wrong = F.coalesce(F.abs("bias") >= g.step / 4, F.lit(True))
+    return rows.withColumn("bias_n", F.col("values_n")).withColumn("bias_bad", wrong.cast("long"))
+
+
+def _checked(rows: DataFrame, names: list[str]) -> DataFrame:
+    each = [F.struct(F.lit(n).alias("check"), F.col(f"{n}_n").cast("long").alias("n_checked"), F.col(f"{n}_bad").cast("long").alias("n_bad")) for n in names]
+    return rows.select("sensor", "stat", F.inline(F.array(*each)))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """A check that had nothing to look at has failed, unless it is one that may be idle."""
+    return rows.withColumn("ok", (F.col("n_bad") == 0) & ((F.col("n_checked") > 0) | F.col("check").isin(*MAY_BE_IDLE)))
+
+
+def report(source: DataFrame, stored: DataFrame, g: Geometry) -> DataFrame:
+    """``sensor, stat, check, n_checked, n_bad, ok`` of values, clipping, codes and presence in one table."""
+    return reconcile(source, stored, g).filter(F.col("check").isin("values", "codes", "clipped", "presence"))
+
+
+def reconcile(
+    source: DataFrame, stored: DataFrame, g: Geometry, headers: DataFrame | None = None, declared: DataFrame | None = None,
+    levels: dict[int, DataFrame] | None = None, expected: DataFrame | None = None, statistic: str = "max", one_in: int = 7,
+) -> DataFrame:
+    """Every check of a stored layer in one table: sensor, stat, check, n_checked, n_bad, ok.
+
+    From ``source(sensor, stat, t, values)`` and ``stored(sensor, stat, t, spec)`` come values,
+    codes, clipping, ties, the exact sample, bias, presence and routing, the cells in one pass
+    over one join of captures; the others where what they look at is given: ``axis`` of
+    ``headers(file, freqs)``, with the file in place of the sensor; ``metadata`` of ``declared``;
+    ``pyramid`` of ``levels`` by bucket, against a rebuild from the stored captures of
+    ``statistic``; ``totals`` of the combinations ``expected(sensor, stat)``. Routing names pairs of
+    statistics and no sensor.
+    """
+    names = ["values", "codes", "clipped", "ties", "exact", "bias"]
     there = presence(source, stored)
     # a combination that only one side has reached no cell: its checks saw nothing
-    every = there.join(by_cell, key, "left").fillna(0)
-    rows = [F.struct(F.lit(n).alias("check"), F.col(f"{n}_n").alias("n_checked"), F.col(f"{n}_bad").alias("n_bad")) for n in sums]
-    rows.append(F.struct(F.lit("presence").alias("check"), F.col("source_n").alias("n_checked"), (F.col("missing") + F.col("extra") + F.col("twice")).alias("n_bad")))
-    flat = every.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.*")
-    return flat.withColumn("ok", (F.col("n_bad") == 0) & ((F.col("n_checked") > 0) | (F.col("check") == "clipped")))
+    every = there.join(_by_cell(source, stored, g, one_in), ["sensor", "stat"], "left").fillna(0)
+    every = every.withColumn("presence_n", F.col("source_n")).withColumn("presence_bad", F.col("missing") + F.col("extra") + F.col("twice"))
+    parts = [_checked(every, [*names, "presence"])]
+    text = lambda name: F.lit(name).cast("string")
+    bad = lambda ok: (~F.coalesce(ok, F.lit(False))).cast("long").alias("n_bad")
+    one = F.lit(1).cast("long").alias("n_checked")
+    paths = routing(source, stored, g)
+    parts.append(paths.select(text(None).alias("sensor"), F.concat_ws(" as ", "source_stat", "stored_stat").alias("stat"), text("routing").alias("check"), one, bad(F.col("ok"))))
+    counted = [F.col(c).cast("long").alias(c) for c in ("n_checked", "n_bad")]
+    if headers is not None:
+        parts.append(axis(headers, g).select(F.col("file").alias("sensor"), text(None).alias("stat"), text("axis").alias("check"), *counted))
+    own = stored.filter(F.col("stat") == statistic)
+    if declared is not None:
+        parts.append(meta(declared, own, g).select("sensor", text(statistic).alias("stat"), text("metadata").alias("check"), *counted))
+    for bucket, level in (levels or {}).items():
+        found = pyramid(level, psd_level(own, bucket, ("sensor",)), ["sensor", "t"]).groupBy("sensor").agg(F.sum("n").alias("n_checked"), F.sum(F.when(F.col("state") != "ok", F.col("n")).otherwise(0)).alias("n_bad"))
+        parts.append(found.select("sensor", text(statistic).alias("stat"), text(f"pyramid {bucket}").alias("check"), *counted))
+    if expected is not None:
+        parts.append(totals(stored, expected).select("sensor", "stat", text("totals").alias("check"), one, bad(F.col("ok"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _judged(out)
 
 
 def axis(header: DataFrame, g: Geometry, within: float = 1.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.quant import Geometry, pack_db
+from .files import PSD_NAME
 from .pyramid import numbered
 
 DAY = 86_400
@@ -132,7 +133,7 @@ def choose_statistic(files: DataFrame, by: str) -> DataFrame:
 
 
 def is_day_file(name: Column) -> Column:
-    return name.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}_.+_[^_]+\.csv$")
+    return name.rlike(PSD_NAME)
 
 
 #: What a layer must have to be taken for one, the narrower kind first.
@@ -144,25 +145,6 @@ def identify(columns: Sequence[str]) -> str | None:
     return next((kind for kind, needed in REQUIRED.items() if needed <= set(columns)), None)
 
 
-def append_files(captures: DataFrame, width: int, layer: str, manifest: str, listed: DataFrame | None = None) -> DataFrame:
-    """Append whole files of ``captures(file, t, values)`` to ``layer``; a file with a fault adds nothing.
-
-    Files are partitions that a second run replaces, and ``manifest`` has one row for each file
-    seen: file, n, t_min, t_max, and the reason if it was refused. Returned are the rows of this
-    run; any with a reason makes the run an unclean one. ``listed(file)`` adds files without captures.
-    """
-    dynamic = {"partitionOverwriteMode": "dynamic"}
-    refused = rejects(captures, width, listed)
-    good = accepted(captures, refused)
-    good.write.mode("overwrite").options(**dynamic).partitionBy("file").parquet(layer)
-    added = layer_meta(good, ["file"]).select("file", "n", "t_min", "t_max", F.lit(None).cast("string").alias("reason"))
-    none = F.lit(None).cast("double")
-    failed = refused.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reason"))
-    rows = added.unionByName(failed.select("file", F.lit(0).cast("long").alias("n"), none.alias("t_min"), none.alias("t_max"), "reason"))
-    rows.write.mode("overwrite").options(**dynamic).partitionBy("file").parquet(manifest)
-    return captures.sparkSession.read.parquet(manifest).join(rows.select("file"), "file", "left_semi").select(*rows.columns)
-
-
 def in_both_shapes(rows: DataFrame, chunks: DataFrame, by: Sequence[str]) -> DataFrame:
     """Units stored as rows and as chunks at once: publishing them again has to be refused."""
     return rows.select(*by).distinct().join(chunks.select(*by).distinct(), list(by))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quant import CHANNEL_OFFSET, Geometry, colour_index, decode
 from . import pyramid as P
+from .quantiles import percentiles
 
 KNOTS = 64
 LEAST_VALUES = 100
@@ -74,17 +75,13 @@ def match_table(psd_values: DataFrame, summary_values: DataFrame) -> DataFrame:
     """Quantiles of both layers by sensor: sensor, xs (strictly increasing), ys, and lo and hi, the
     summaries' percentiles 2 and 98. Sensors with few values have none.
 
-    Equal values are counted first: a layer of codes has 256 of them at most.
+    Percentiles are exact, of however many values, and no sensor's values are held in one place.
     """
-    share = F.array(*[F.lit(k / KNOTS) for k in range(KNOTS + 1)])
-
-    ends = F.array(F.lit(0.02), F.lit(0.98))
+    shares = [k / KNOTS for k in range(KNOTS + 1)]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        counted = df.filter("x is not null").groupBy("sensor", "x").agg(F.count("*").alias("c"))
-        both = [F.percentile("x", p, F.col("c")).alias(n) for p, n in ((share, name), (ends, f"{name}_ends"))]
-        rows = counted.groupBy("sensor").agg(*both, F.sum("c").alias("n"))
-        return rows.filter(F.col("n") >= LEAST_VALUES).drop("n")
+        rows = percentiles(df, ["sensor"], "x", [*shares, 0.02, 0.98]).filter(F.col("n") >= LEAST_VALUES)
+        return rows.select("sensor", F.slice("p", 1, KNOTS + 1).alias(name), F.slice("p", KNOTS + 2, 2).alias(f"{name}_ends"))
 
     rising = F.transform("xs", lambda x, k: x + k * F.lit(1e-4))
     joined = side(psd_values, "xs").join(side(summary_values, "ys"), "sensor").withColumn("xs", rising)

@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from ..functions.quant import NARROW, code, decode, quantize
 from ..operators import pyramid as P
+from ..operators.quantiles import percentiles
 from ..sources import views as V
+from ..sources.places import shared_place
 from ..sources.views import sql
 from .registry import query
 
@@ -149,7 +151,7 @@ def asof_hold(spark, sf_dir):
 @query(sql("SELECT sensor, round(quantile_cont(x, 0.02), 6) AS p2, round(quantile_cont(x, 0.98), 6) AS p98 FROM (SELECT sensor, -180 + unnest(spec) / 255.0::DOUBLE * 90 AS x FROM (" + CODES + ")) GROUP BY sensor", "v_psd"))
 def display_scale(spark, sf_dir):
     values = codes(spark, sf_dir).select("sensor", F.explode("spec").alias("q")).select("sensor", decode(F.col("q"), NARROW.qmin, NARROW.qmax).alias("x"))
-    p = values.groupBy("sensor").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    p = percentiles(values, ["sensor"], "x", [0.02, 0.98])
     return p.select("sensor", F.round(F.col("p")[0], 6).alias("p2"), F.round(F.col("p")[1], 6).alias("p98"))
 
 
@@ -174,16 +176,24 @@ def stride_thin(spark, sf_dir):
     return rows.filter(F.col("k") % F.col("stride") == 0).select("sensor", "stride", F.round("t", 6).alias("t"), "freq", F.round("mx", 6).alias("mx"))
 
 
-@query(sql("""WITH r AS (SELECT sensor, min(t) AS a, (max(t) - min(t)) / 16 AS step FROM v_psd GROUP BY sensor),
-s AS (SELECT v.sensor, t, least(15, CAST(floor((t - a) / step) AS INTEGER)) AS slot FROM v_psd v JOIN r USING (sensor) WHERE step > 0)
-SELECT sensor, slot, t FROM (SELECT *, row_number() OVER (PARTITION BY sensor, slot ORDER BY t) AS k FROM s) WHERE k <= 16""", "v_psd"))
+@query(sql("""WITH r AS (SELECT sensor, min(t) AS a, greatest((max(t) - min(t)) / 16, 1) AS step FROM v_psd GROUP BY sensor),
+s AS (SELECT v.sensor, t, least(15, CAST(floor((t - a) / step) AS INTEGER)) AS slot FROM v_psd v JOIN r USING (sensor)),
+f AS (SELECT *, row_number() OVER (PARTITION BY sensor, slot ORDER BY t) AS k FROM s), p AS (SELECT sensor, slot, t, row_number() OVER (PARTITION BY sensor ORDER BY t) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY sensor) // 100) AS stride FROM f WHERE k <= 16)
+SELECT sensor, slot, t, CAST(i // stride AS INTEGER) AS k FROM p WHERE i % stride = 0""", "v_psd"))
 def spread_probe(spark, sf_dir):
-    """The first 16 captures of each of 16 equal slots of a sensor's range."""
-    rows = V.psd(spark, sf_dir).select("sensor", "t")
-    span = rows.groupBy("sensor").agg(F.min("t").alias("a"), ((F.max("t") - F.min("t")) / 16).alias("step")).filter("step > 0")
-    slots = rows.join(span, "sensor").withColumn("slot", F.least(F.lit(15), F.floor((F.col("t") - F.col("a")) / F.col("step")).cast("int")))
-    first = F.row_number().over(W.partitionBy("sensor", "slot").orderBy("t"))
-    return slots.withColumn("k", first).filter("k <= 16").select("sensor", "slot", "t")
+    """The first 16 captures of each of 16 equal slots of a sensor's range, thinned evenly to about a hundred."""
+    return P.spread_sample(V.psd(spark, sf_dir).select("sensor", "t"), ["sensor"], most=100)
+
+
+@query(sql(f"SELECT sensor, 'max' AS stat, CAST(floor(t / 3600) * 3600 AS BIGINT) AS t, pos, max(v) AS v FROM (SELECT sensor, t, unnest(range(0, 64)) AS pos, unnest(spec) AS v FROM ({CODES})) GROUP BY ALL", "v_psd"))
+def level_top_up(spark, sf_dir):
+    """A stored level built of the captures up to some instant and brought up to all of them: whole days are replaced."""
+    place = shared_place(spark, "level")
+    c = codes(spark, sf_dir)
+    since = (V.T0 + c.agg(F.max("t")).first()[0]) / 2
+    P.write_level(P.psd_level(c.filter(F.col("t") < since), 3600), place)
+    P.top_up_stored(place, c, since, 3600)
+    return long_form(spark.read.parquet(place), "sensor", "stat", "t")
 
 
 @query(sql("SELECT sensor, count(*) AS n, count(*) FILTER (WHERE p IS NOT NULL AND t <= p) AS out_of_order FROM (SELECT sensor, t, lag(t) OVER (PARTITION BY sensor ORDER BY id) AS p FROM (SELECT event_type AS sensor, epoch(ts) AS t, event_id AS id FROM events)) GROUP BY sensor"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.quant import NARROW, quantize
@@ -9,9 +14,11 @@ from ..operators import iq as IQ
 from ..operators import pyramid as P
 from ..operators import recon as R
 from ..sources import views as V
+from ..sources.places import shared_place
+from ..sources.ranges import write_pieces
 from ..sources.views import sql
 from .pyramids import Q, codes
-from .registry import query
+from .registry import ORACLES, query
 
 NFFT = 16
 FRAMES = f"f AS (SELECT id, CAST(floor(sample / {NFFT}) AS BIGINT) AS frame, sample % {NFFT} AS n, i, q FROM v_iq), ok AS (SELECT id, frame FROM f GROUP BY ALL HAVING count(*) = {NFFT})"
@@ -141,6 +148,50 @@ def iq_meta(spark, sf_dir):
     return iq_metadata(spark, sf_dir)[1]
 
 
+def written_captures(spark, sf_dir):
+    """The captures as files: SigMF in either byte order, and arrays."""
+    place = shared_place(spark, "captures")
+    rows = V.iq(spark, sf_dir)
+    total = rows.groupBy("id").agg(F.count("*").alias("n"))
+    part = F.floor(F.col("sample") / 4_096)
+    some = rows.groupBy("id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("sample", "i", "q"))).alias("s")).join(total, "id")  # bounded stretches
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for id_, part, cells, n in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "s", "n")), strict=True):
+                x = np.array([complex(c["i"], c["q"]) for c in cells], ">c16" if id_ % 3 == 1 else "<c16")
+                head = io.BytesIO()
+                if id_ % 3 == 2:
+                    np.lib.format.write_array_header_1_0(head, {"descr": "<c16", "fortran_order": False, "shape": (n,)})
+                name, start = f"{place}/s{id_ % 5}/cap{id_}", head.tell()
+                path = name + (IQ.ARRAY if id_ % 3 == 2 else IQ.SIGMF_DATA)
+                out.append((path, start + 16 * 4_096 * part, x.tobytes()))
+                if not part and start:
+                    out.append((path, 0, head.getvalue()))
+                elif not part:
+                    text = {"global": {"core:datatype": "cf64_be" if id_ % 3 else "cf64_le", "core:sample_rate": 1600.0 * (1 + id_ % 2)}, "captures": [{"core:frequency": 1e6 * (1 + id_ % 3)}]}
+                    out.append((name + IQ.SIGMF_META, 0, json.dumps(text).encode()))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "at", "content"])
+
+    write_pieces(some.mapInArrow(run, "path string, at long, content binary"))
+    return place
+
+
+@query(sql(f"""WITH {RANGE}, n AS (SELECT id, count(*) AS n_samples FROM v_iq GROUP BY id), nc AS (SELECT id, max(frame) + 1 AS n FROM d GROUP BY id),
+lk AS (SELECT id, n, k FROM nc, (SELECT unnest(range(0, 30)) AS k) WHERE k = 0 OR n // CAST(2 ** (k - 1) AS BIGINT) > {COARSEST}), lv AS (SELECT id, CAST(max(k) + 1 AS INTEGER) AS n_levels, CAST(sum(n // CAST(2 ** k AS BIGINT)) AS BIGINT) AS columns FROM lk GROUP BY id)
+SELECT 'cap' || id AS name, n_samples, CASE WHEN id % 3 = 2 THEN 0 ELSE 1e6 * (1 + id % 3) END AS fc, n_samples / (CASE WHEN id % 3 = 2 THEN 1600.0::DOUBLE ELSE 1600.0::DOUBLE * (1 + id % 2) END) AS duration, n_levels, round(qmin, 4) AS qmin, round(qmax, 4) AS qmax, columns FROM n JOIN qr USING (id) JOIN lv USING (id)""", "v_iq"))
+def iq_ingest(spark, sf_dir):
+    """From files of three kinds to stored pyramids, twice: the second run adds nothing."""
+    place, target = written_captures(spark, sf_dir), shared_place(spark, "ingested")
+    for _ in range(2):
+        IQ.ingest(spark, place, target, "lineitem", NFFT, array_rate=1600.0, coarsest=COARSEST, size=4_096)
+    columns = IQ.stored_levels(spark, target).groupBy("id").agg(F.count("*").alias("columns"))
+    meta = IQ.stored_metadata(spark, target).join(columns, "id")
+    return meta.select("name", "n_samples", "fc", "duration", "n_levels", F.round("qmin", 4).alias("qmin"), F.round("qmax", 4).alias("qmax"), "columns")
+
+
 # --- reconciliation: a store with damage that the checks must find ------------------------------
 
 SRC = "src AS (SELECT sensor, stat, t, CAST(round((t - 1704067200) / 90) AS BIGINT) AS vec, spec_db AS vals FROM v_psd_stat)"
@@ -225,10 +276,13 @@ def recon_report(spark, sf_dir):
 
 @query(sql("SELECT sensor AS file, 64 AS n_checked, CASE WHEN sensor = 'view' THEN 1 ELSE 0 END AS n_bad FROM v_psd GROUP BY sensor", "v_psd"))
 def recon_axis(spark, sf_dir):
+    return R.axis(headers(spark, sf_dir), NARROW)
+
+
+def headers(spark, sf_dir):
     """Headers made from the geometry; one has a bin 5 Hz off."""
     freqs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(NARROW.f0) + i * NARROW.df + F.when((F.col("sensor") == "view") & (i == 9), 5.0).otherwise(0.4))
-    h = V.psd(spark, sf_dir).select("sensor").distinct().select(F.col("sensor").alias("file"), freqs.alias("freqs"))
-    return R.axis(h, NARROW)
+    return V.psd(spark, sf_dir).select("sensor").distinct().select(F.col("sensor").alias("file"), freqs.alias("freqs"))
 
 
 @query(sql("SELECT sensor, 6 AS n_checked, CASE WHEN sensor = 'click' THEN 1 ELSE 0 END AS n_bad FROM v_psd GROUP BY sensor", "v_psd"))
@@ -252,3 +306,36 @@ def recon_pyramid(spark, sf_dir):
 def recon_totals(spark, sf_dir):
     expected = spark.range(1).select(F.explode(F.array(*map(F.lit, V.SENSORS))).alias("sensor")).withColumn("stat", F.explode(F.array(*[F.lit(s) for s in V.STATS])))
     return R.totals(V.psd_stat(spark, sf_dir), expected)
+
+
+ONE = 'SELECT {who}, {stat} AS stat, \'{name}\' AS "check", CAST({n} AS BIGINT) AS n_checked, CAST({bad} AS BIGINT) AS n_bad FROM ({body})'
+
+
+def _parts():
+    take = lambda name, query_, n="n_checked", bad="n_bad", who="sensor", stat="stat": ONE.format(who=who, stat=stat, name=name, n=n, bad=bad, body=ORACLES[query_])
+    tie = "(CAST(round((v + 180) * 1000000) AS BIGINT) * 510) % 90000000 = 0 AND ((CAST(round((v + 180) * 1000000) AS BIGINT) * 510) // 90000000) % 2 = 1 AND abs((v + 180) * 1000000 - round((v + 180) * 1000000)) < 0.5 AND v BETWEEN -180 AND -90"
+    ties = sql(f"{CELL} SELECT sensor, stat, count(*) FILTER (WHERE {tie}) AS n_checked, count(*) FILTER (WHERE {tie} AND q % 2 <> 0) AS n_bad FROM b GROUP BY ALL", "v_psd_stat")
+    level = sql(f"WITH k AS (SELECT sensor, CAST(floor(t / 3600) * 3600 AS BIGINT) AS h FROM v_psd WHERE CAST(round((t - 1704067200) / 90) AS BIGINT) % 59 <> 1 GROUP BY ALL) SELECT sensor, count(*) AS n_checked, count(*) FILTER (WHERE (h // 3600) % 5 = 0) AS n_bad FROM k GROUP BY sensor", "v_psd")
+    declared = sql("SELECT sensor, 6 AS n_checked, CASE WHEN sensor = 'click' THEN 1 ELSE 0 END AS n_bad FROM v_psd WHERE CAST(round((t - 1704067200) / 90) AS BIGINT) % 59 <> 1 GROUP BY sensor", "v_psd")
+    wrong = "CASE WHEN ok THEN 0 ELSE 1 END"
+    return [
+        take("values", "recon_values"), take("codes", "recon_bytes"), take("clipped", "recon_clip"), take("exact", "recon_exact"),
+        ONE.format(who="sensor", stat="stat", name="ties", n="n_checked", bad="n_bad", body=ties),
+        f"SELECT b.sensor, b.stat, 'bias', v.n_checked, CASE WHEN ok THEN 0 ELSE 1 END FROM ({ORACLES['recon_bias']}) b JOIN ({ORACLES['recon_values']}) v ON v.sensor = b.sensor AND v.stat = b.stat",
+        ONE.format(who="sensor", stat="stat", name="presence", n="n_checked", bad="n_bad", body=sql(f"WITH {SRC} SELECT sensor, stat, count(*) AS n_checked, count(*) FILTER (WHERE vec % 59 = 1) AS n_bad FROM src GROUP BY ALL", "v_psd_stat")),
+        take("routing", "recon_routing", "1", wrong, "NULL AS sensor", "source_stat || ' as ' || stored_stat"), take("axis", "recon_axis", who="file AS sensor", stat="NULL"),
+        ONE.format(who="sensor", stat="'max'", name="metadata", n="n_checked", bad="n_bad", body=declared), ONE.format(who="sensor", stat="'max'", name="pyramid 3600", n="n_checked", bad="n_bad", body=level),
+        take("totals", "recon_totals", "1", wrong),
+    ]
+
+
+@query("SELECT *, n_bad = 0 AND (n_checked > 0 OR \"check\" IN ('clipped', 'ties')) AS ok FROM (" + " UNION ALL ".join(_parts()) + ")")
+def recon_whole(spark, sf_dir):
+    """All twelve checks of the damaged store in one table, with its headers, metadata, a level that lacks rows, and the combinations wanted."""
+    store = damaged(spark, sf_dir)
+    own = store.filter("stat = 'max'")
+    level = P.psd_level(own, 3600, ("sensor",)).filter(F.floor(F.col("t") / 3600) % 5 != 0)
+    declared = own.groupBy("sensor").agg(F.lit(64).alias("nf"), F.lit(-180.0).alias("qmin"), F.lit(-90.0).alias("qmax"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.count("*").alias("captures"))
+    declared = declared.withColumn("captures", F.col("captures") + F.when(F.col("sensor") == "click", 1).otherwise(0))
+    expected = spark.range(1).select(F.explode(F.array(*map(F.lit, V.SENSORS))).alias("sensor")).withColumn("stat", F.explode(F.array(*[F.lit(s) for s in V.STATS])))
+    return R.reconcile(source(spark, sf_dir), store, NARROW, headers(spark, sf_dir), declared, {3600: level}, expected)

@@ -12,6 +12,7 @@ from ..operators.store import write_sorted
 from ..sources import exports as X
 from ..sources import views as V
 from ..sources.places import shared_place
+from ..sources.ranges import write_pieces
 from ..sources.views import sql
 from .registry import query
 
@@ -157,15 +158,68 @@ def sorted_sink(spark, sf_dir):
     )
 
 
-@query("SELECT unit, total, files FROM (SELECT 'u' || (event_id // 2) AS unit, CASE WHEN bool_or(event_id % 31 = 0) THEN NULL ELSE sum(event_id * 37 % 1009) END AS total, count(*) AS files, bool_or(event_id % 31 = 0) AS unknown FROM events GROUP BY 1) WHERE NOT unknown ORDER BY total, unit LIMIT 25")
+UNITS = """f AS (SELECT event_id, 'r' || (user_id % 50) || '/' || CASE event_id % 5 WHEN 0 THEN 'c' || (event_id // 10) || '.sigmf-meta' WHEN 1 THEN 'c' || (event_id // 10) || '.SIGMF-data' WHEN 2 THEN 'cap' || (event_id // 10) || '.iq/f' || event_id || '.xml'
+ WHEN 3 THEN 't' || event_id || '.csv' ELSE 'readme' || event_id || '.txt' END AS path, CASE WHEN event_id % 31 <> 0 THEN event_id * 37 % 1009 END AS size FROM events),
+u AS (SELECT *, CASE WHEN regexp_matches(lower(path), '\\.sigmf-(meta|data)$') THEN path[1:-12] WHEN regexp_matches(path, '\\.iq/') THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS unit,
+ CASE WHEN regexp_matches(lower(path), '\\.sigmf-(meta|data)$') THEN 0 WHEN path LIKE '%.csv' THEN 1 ELSE 2 END AS tier FROM f),
+g AS (SELECT unit, min(tier) AS tier, bool_or(size IS NULL) AS unknown, coalesce(sum(size), 0) AS total FROM u GROUP BY unit ORDER BY tier, unknown, total, unit LIMIT 25)"""
+
+
+@query(f"WITH {UNITS} SELECT g.unit, u.path, u.size, g.tier FROM g JOIN u USING (unit)")
 def smallest_units(spark, sf_dir):
-    """The 25 smallest capture units: the limit is the feature."""
-    e = V.table(spark, sf_dir, "events")
-    f = e.select(F.concat(F.lit("u"), F.floor(F.col("event_id") / 2)).alias("unit"), F.col("event_id").alias("path"), F.when(F.col("event_id") % 31 != 0, F.col("event_id") * 37 % 1009).alias("size"))
-    return FO.smallest_units(f, 25)
+    """The files of the 25 smallest whole units: the limit is the feature."""
+    e, k = V.table(spark, sf_dir, "events"), F.col("event_id")
+    ten = F.floor(k / 10).cast("string")
+    name = (
+        F.when(k % 5 == 0, F.concat(F.lit("c"), ten, F.lit(".sigmf-meta"))).when(k % 5 == 1, F.concat(F.lit("c"), ten, F.lit(".SIGMF-data")))
+        .when(k % 5 == 2, F.concat(F.lit("cap"), ten, F.lit(".iq/f"), k.cast("string"), F.lit(".xml"))).when(k % 5 == 3, F.concat(F.lit("t"), k.cast("string"), F.lit(".csv")))
+        .otherwise(F.concat(F.lit("readme"), k.cast("string"), F.lit(".txt")))
+    )
+    path = F.concat(F.lit("r"), (F.col("user_id") % 50).cast("string"), F.lit("/"), name)
+    return FO.smallest_units(e.select(path.alias("path"), F.when(k % 31 != 0, k * 37 % 1009).alias("size")), 25).select("unit", "path", "size", "tier")
+
+
+def header_files(spark, sf_dir):
+    """The listed files, written: a header and two lines each."""
+    place = shared_place(spark, "headers")
+    listed = V.files(spark, sf_dir).groupBy("path", "name").agg(F.min("n_cols").alias("n_cols"), F.min("header").alias("header"))
+    wide = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n_cols") - 2200), lambda i: F.concat(F.lit("b"), i)), ",")
+    day_file = F.col("name").rlike(FO.PSD_NAME) | F.col("name").rlike(FO.PFP_NAME)
+    content = F.concat(F.when(day_file, wide).otherwise(F.col("header")), F.lit("\n1\n2\n")).cast("binary")
+    write_pieces(listed.select(F.concat(F.lit(place + "/"), "path").alias("path"), F.lit(0).cast("long").alias("at"), content.alias("content")))
+    return listed.select(F.concat(F.lit(place + "/"), "path").alias("path"), "name"), place
+
+
+def _below(place):
+    return F.substring("path", len(place) + 2, 1_000)
+
+
+@query(sql(f"WITH {KIND} SELECT path, min(kind) AS kind, bool_or(kind IN ('summaries', 'none') AND ends_with(name, '.csv')) AS opened FROM p GROUP BY path", "v_files"))
+def header_survey(spark, sf_dir):
+    """Kinds of written files; only those whose names do not decide are opened."""
+    files, place = header_files(spark, sf_dir)
+    return FO.survey(files).select(_below(place).alias("path"), "kind", F.col("n_read").isNotNull().alias("opened"))
+
+
+@query(sql(f"""WITH {KIND}, u AS (SELECT kind, sensor, stat, path, min(n_cols) - 2200 AS n_cols FROM p WHERE kind IN ('psd', 'pfp') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, sensor, stat ORDER BY path) AS k FROM u)
+SELECT kind, sensor, stat, path, n_cols, n_cols = 51 AS ok FROM r WHERE k <= 2""", "v_files"))
+def preflight_headers(spark, sf_dir):
+    """The geometry of the first two written files of each sensor and statistic, from their first lines."""
+    files, place = header_files(spark, sf_dir)
+    named = FO.classify(files.withColumn("header", F.lit(None).cast("string"))).filter("kind in ('psd', 'pfp')")
+    return FO.preflight(named.drop("header", "day", "name"), 51).withColumn("path", _below(place))
+
+
+def _sized(text, k):
+    """Sizes as whole numbers, fractions, in quotes, and as what is no size."""
+    forms = ("$1", "$1.75", '"$1"', '"about $1"', "null", "[$1]", "true")
+    out = text
+    for r, form in enumerate(forms):
+        out = F.when(k % len(forms) == r, F.regexp_replace(text, '"size":([0-9]+)', f'"size":{form}')).otherwise(out)
+    return out
 
 
-@query("""SELECT event_id AS id, 'data/' || event_type || '/' || event_id || '.bin' AS path, 'http://host/' || event_id AS url, user_id AS size,
+@query("""SELECT event_id AS id, 'data/' || event_type || '/' || event_id || '.bin' AS path, 'http://host/' || event_id AS url, CASE WHEN event_id % 7 < 3 THEN user_id END AS size,
 CASE WHEN event_id % 3 = 0 THEN 'http://host/' || event_id || '.sha256' END AS checksum FROM events WHERE event_id % 5 <> 0""")
 def manifest_explode(spark, sf_dir):
     """Components of manifests in either wrapping, with their checksum sidecars; unsafe paths and entries without a URL go."""
@@ -179,8 +233,9 @@ def manifest_explode(spark, sf_dir):
     sidecar = F.when(k % 3 == 0, F.array(part(F.concat(path, F.lit(".sha256")), F.concat(url, F.lit(".sha256"))))).otherwise(F.array(part(F.lit("data"), none)))
     parts = F.concat(F.array(part(path, url)), sidecar)
     plain = F.to_json(F.struct(parts.alias("components")))
+    size = lambda text: _sized(text, k)
     wrapped = F.to_json(F.struct(F.lit(1).alias("ResultCount"), F.array(F.struct(parts.alias("components"))).alias("ResultData")))
-    return FO.manifest(e.select(k.alias("id"), F.when(k % 2 == 0, plain).otherwise(wrapped).alias("json")))
+    return FO.manifest(e.select(k.alias("id"), size(F.when(k % 2 == 0, plain).otherwise(wrapped)).alias("json")))
 
 
 @query(sql("WITH f AS (SELECT size, string_split(path, '/') AS p FROM v_files), e AS (SELECT size, p, unnest(range(1, len(p))) AS k FROM f) SELECT array_to_string(p[1:k], '/') AS folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE k = len(p) - 1) AS direct FROM e GROUP BY 1", "v_files"))

@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 from ..functions import quant as QF
 from ..functions.quant import NARROW
 from ..operators import store as S
+from ..operators.discovery import plan
+from ..operators.files import PSD_NAME
+from ..operators.quantiles import percentiles
 from ..sources import views as V
 from ..sources.views import sql
 from .pyramids import CODES, CODES_STAT, WINDOW, codes
@@ -122,19 +125,19 @@ def band_slice(spark, sf_dir):
 @query(sql("WITH s AS (SELECT sensor, quantile_cont(mx, 0.02) AS a, quantile_cont(mx, 0.98) AS b FROM v_summary GROUP BY sensor) SELECT sensor, idx, count(*) AS n FROM (SELECT sensor, CAST(floor(greatest(0, least(255, (mx - a) / greatest(b - a, 1e-6) * 255))) AS SMALLINT) AS idx FROM v_summary JOIN s USING (sensor)) GROUP BY ALL", "v_summary"))
 def colour_index(spark, sf_dir):
     s = V.summary(spark, sf_dir)
-    p = s.groupBy("sensor").agg(F.percentile("mx", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    p = percentiles(s, ["sensor"], "mx", [0.02, 0.98]).select("sensor", "p")
     idx = QF.colour_index(F.col("mx"), F.col("p")[0], F.col("p")[1])
     return s.join(p, "sensor").select("sensor", idx.alias("idx")).groupBy("sensor", "idx").agg(F.count("*").alias("n"))
 
 
-NAME = r"'^([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([^_]+)\.csv$'"
+NAME = f"'{PSD_NAME}'"
 
 
 @query(sql(f"SELECT stat, count(*) AS n, stat IN ('max', 'median', 'mean') AS kept FROM (SELECT regexp_extract(name, {NAME}, 3) AS stat FROM v_files WHERE regexp_matches(name, {NAME})) GROUP BY ALL", "v_files"))
 def stat_filter(spark, sf_dir):
     """Statistics that a layer of spectra keeps, and the others, which are reported."""
     f = V.files(spark, sf_dir).filter(S.is_day_file(F.col("name")))
-    stat = F.regexp_extract("name", r"^([0-9]{4}-[0-9]{2}-[0-9]{2})_(.+?)_([^_]+)\.csv$", 3)
+    stat = F.regexp_extract("name", PSD_NAME, 3)
     return f.groupBy(stat.alias("stat")).agg(F.count("*").alias("n")).withColumn("kept", F.col("stat").isin("max", "median", "mean"))
 
 
@@ -225,13 +228,12 @@ def merge_report(spark, sf_dir):
     return S.merge_units(p.filter(F.col("sensor").isin("click", "view", "error")), p.filter(F.col("sensor").isin("view", "signup") & (F.col("t") < V.T0 + 20_000)), "sensor")[1]
 
 
-@query("WITH f AS (SELECT event_type AS kind, user_id % 4 AS store, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, store) AS k FROM f) SELECT kind, store, n, CASE WHEN kind = 'error' THEN 'already' WHEN k = 1 THEN 'install' WHEN n > 0 AND kind <> 'view' THEN 'merge' ELSE 'skip' END AS action FROM r")
+@query("WITH f AS (SELECT event_type AS kind, 's' || (user_id % 4) AS store, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, store) AS k FROM f) SELECT kind, store, n, CASE WHEN k = 1 THEN 'install' ELSE 'skip' END AS action FROM r")
 def store_plan(spark, sf_dir):
-    """Prebuilt stores by kind, largest first: the first is installed, others are merged where that is possible."""
-    f = V.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), (F.col("user_id") % 4).alias("store")).agg(F.count("*").alias("n"))
-    k = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "store"))
-    action = F.when(F.col("kind") == "error", "already").when(F.col("k") == 1, "install").when((F.col("n") > 0) & (F.col("kind") != "view"), "merge").otherwise("skip")
-    return f.withColumn("k", k).select("kind", "store", "n", action.alias("action"))
+    """Prebuilt stores by kind, largest first; of kinds that cannot be merged one is installed."""
+    f = V.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), F.concat(F.lit("s"), F.col("user_id") % 4).alias("store")).agg(F.count("*").alias("rows"))
+    none = spark.createDataFrame([], "kind string, place string, rows long")
+    return plan(f.withColumn("fault", F.lit(None).cast("string")), none).select("kind", "store", F.col("rows").alias("n"), "action")
 
 
 @query(sql("SELECT sensor, n, sensor IN (SELECT sensor FROM v_psd WHERE t < 1704067200 + 300) AS kept FROM (SELECT sensor, count(*) AS n FROM v_summary GROUP BY sensor)", "v_summary", "v_psd"))

@@ -15,8 +15,30 @@ def shared_place(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _at(spark, path)
+    return store.exists(place)
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    store, place = _at(spark, path)
+    store.delete(place, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it is not there."""
+    store, place = _at(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []

@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+    place = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", f"{place}/warehouse").config("spark.checkpoint.dir", f"{place}/checkpoints")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
