@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bandloom.llm import decontaminate, minhash, packing, personal_data, toxicity
-from bandloom.llm.common import table, written
+from bandloom.llm.common import Cuts, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), Cuts(spark)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        cut = Cuts(spark)
+        docs = cut(stage(spark, docs, sf_dir))
+        before.clear()
+        before = cut
+    packed = written(STAGES[-1][1](spark, docs, sf_dir))
+    before.clear()
+    return packed
