@@ -186,7 +186,7 @@ def iq_ingest(spark, sf_dir):
     """From files of three kinds to stored pyramids, twice: the second run adds nothing."""
     place, target = written_captures(spark, sf_dir), shared_place(spark, "ingested")
     for _ in range(2):
-        IQ.ingest(spark, place, target, "lineitem", NFFT, array_rate=1600.0, coarsest=COARSEST, size=4_096)
+        IQ.ingest(spark, place, target, "lineitem", NFFT, array_rate=1600.0, coarsest=COARSEST, size=1 << 16)
     columns = IQ.stored_levels(spark, target).groupBy("id").agg(F.count("*").alias("columns"))
     meta = IQ.stored_metadata(spark, target).join(columns, "id")
     return meta.select("name", "n_samples", "fc", "duration", "n_levels", F.round("qmin", 4).alias("qmin"), F.round("qmax", 4).alias("qmax"), "columns")
