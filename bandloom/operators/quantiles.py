@@ -67,7 +67,7 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence
     plain = rows.select(group.alias("g"), times.cast("long").alias("c"), F.col(value).cast("double").alias("x")).filter("x is not null and c > 0")
     kinds = "".join(f"{n} {plain.schema[n].dataType.simpleString()}, " for n in names)
     keys = cut(plain.mapInArrow(_keyed, f"{kinds}c long, key long").groupBy(*names, "key").agg(F.sum("c").alias("c")))
-    sizes = cut(keys.groupBy(*names).agg(F.sum("c").alias("n")))
+    sizes = keys.groupBy(*names).agg(F.sum("c").alias("n"))
     share = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("share")) for k, s in enumerate(shares)]))
     wanted = sizes.select(*names, "n", share).withColumn("at", (F.col("n") - 1) * F.col("share"))
     ends = F.inline(F.array(F.struct(F.lit(0).alias("end"), F.floor("at").alias("rank")), F.struct(F.lit(1).alias("end"), F.ceil("at").alias("rank"))))

@@ -78,13 +78,14 @@ def match_table(psd_values: DataFrame, summary_values: DataFrame) -> DataFrame:
     Percentiles are exact, of however many values, and no sensor's values are held in one place.
     """
     shares = [k / KNOTS for k in range(KNOTS + 1)]
+    both = psd_values.select("sensor", "x", F.lit("xs").alias("side")).unionByName(summary_values.select("sensor", "x", F.lit("ys").alias("side")))
+    found = percentiles(both, ["side", "sensor"], "x", [*shares, 0.02, 0.98]).filter(F.col("n") >= LEAST_VALUES)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        rows = percentiles(df, ["sensor"], "x", [*shares, 0.02, 0.98]).filter(F.col("n") >= LEAST_VALUES)
-        return rows.select("sensor", F.slice("p", 1, KNOTS + 1).alias(name), F.slice("p", KNOTS + 2, 2).alias(f"{name}_ends"))
+    def side(name: str) -> DataFrame:
+        return found.filter(F.col("side") == name).select("sensor", F.slice("p", 1, KNOTS + 1).alias(name), F.slice("p", KNOTS + 2, 2).alias(f"{name}_ends"))
 
     rising = F.transform("xs", lambda x, k: x + k * F.lit(1e-4))
-    joined = side(psd_values, "xs").join(side(summary_values, "ys"), "sensor").withColumn("xs", rising)
+    joined = side("xs").join(side("ys"), "sensor").withColumn("xs", rising)
     return joined.select("sensor", "xs", "ys", F.col("ys_ends")[0].alias("lo"), F.col("ys_ends")[1].alias("hi"))
 
 
