@@ -19,6 +19,8 @@ import numpy as np
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Entries kept per worker (about 160 MB) before the cache starts anew.
 CACHE_ENTRIES = 800_000
+#: The same for ids, of which a plain word costs little to find again (about 80 MB).
+ID_ENTRIES = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -158,7 +160,7 @@ class _Ids(dict):
         else:
             text = key.decode("utf-8")
             found = self._model(text) if self._direct and _PLAIN.fullmatch(text) else self._whole(text)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= ID_ENTRIES:
             self.clear()
         self[key] = found
         return found
