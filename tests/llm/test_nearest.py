@@ -78,3 +78,19 @@ def test_scan_keeps_the_nearest():
     q /= np.sqrt(q @ q)
     found = nearest.scan(units @ nearest.rotation(64), q @ nearest.rotation(64), 6)
     assert set(np.argsort(-(units @ q))[:6]) <= set(found)
+
+
+def test_very_large_and_very_small_entries(spark):
+    """Squares of these overflow or vanish; the cosines are those of the plain vectors."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8))
+    scale = [1e200, 1e-200, 1e300, 1e-300, 1.0]
+    rows = [(i, [float(x) for x in v * scale[i % 5]]) for i, v in enumerate(base)]
+    found = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=3).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        near = unit @ unit[q]
+        want = sorted((i for i in range(60) if i != q), key=lambda i: (-near[i], i))[:3]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [i for _, i, _ in mine] == want
+        np.testing.assert_allclose([s for _, _, s in mine], near[want], rtol=1e-12)
