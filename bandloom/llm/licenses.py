@@ -52,13 +52,20 @@ KNOWN: list[tuple[str, str]] = [
 ]
 #: Identifiers of licences that a file may carry in one line; -only and -or-later go with the version's name.
 IDENTIFIERS = (
-    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 "
-    "CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only "
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 "
+    "CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only "
     "GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 "
     "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 "
-    "Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+    "Ruby Unlicense Unicode-3.0 UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
 ).split()
 KNOWN += [(re.sub(r"-only$|-or-later$|\+$", "", x), f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS]
+#: Usual expressions of several licences, found under the expression's own name.
+EXPRESSIONS = (
+    "MIT OR Apache-2.0", "Apache-2.0 OR MIT", "Apache-2.0 WITH LLVM-exception", "GPL-2.0 WITH Linux-syscall-note", "GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0-or-later WITH Linux-syscall-note",
+    "GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0 OR MIT", "GPL-2.0-only OR MIT", "GPL-2.0-only OR BSD-3-Clause", "GPL-2.0-only OR BSD-2-Clause", "GPL-2.0-or-later OR MIT", "MIT OR GPL-2.0",
+    "MIT AND Apache-2.0", "BSD-3-Clause OR GPL-2.0", "Apache-2.0 OR BSD-2-Clause", "Apache-2.0 OR BSD-3-Clause", "MIT OR Unlicense", "Unlicense OR MIT", "EPL-2.0 OR Apache-2.0", "CDDL-1.0 OR GPL-2.0-only WITH Classpath-exception-2.0",
+)
+KNOWN += [(x, f"SPDX-License-Identifier: {x}") for x in EXPRESSIONS]
 #: Whole licence texts, one a file, named by identifier (what follows an underscore tells variants apart).
 KNOWN += sorted((f.name.removesuffix(".txt").split("_")[0], f.read_text(encoding="utf-8")) for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt"))
 #: Equivalent spellings, after punctuation has gone; each side is whole words.
