@@ -33,7 +33,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gr
     """Pieces of ``docs(doc_id, text)`` with ``sequence_id`` and ``offset``.
 
     A null or empty text is its end id alone. Repeated rows and null ids are packed like
-    any others. Other columns of ``docs`` are not read.
+    any others; an empty table has no pieces. Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = written(rows.mapInArrow(_cut(tokenizer, capacity), PIECES).withColumn("row", F.monotonically_increasing_id()))

@@ -32,7 +32,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int =
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty (0 bytes, 0 tokens). Rows stay as they are: repeated rows
-    and null ids give a row each. Other columns of ``docs`` are not read.
+    and null ids give a row each. An empty table gives an empty result. Other columns of
+    ``docs`` are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     small = rows.filter(F.length("text") <= chunk)

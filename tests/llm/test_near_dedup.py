@@ -143,3 +143,38 @@ def test_components_of_a_path_and_a_ring(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 3), (3, 5), (7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {3: 3, 5: 3, 9: 3}
+
+
+@pytest.mark.parametrize("block", [4, 1_000])
+def test_buckets_of_one_wide_component_and_others(spark, monkeypatch, block):
+    """All texts in one bucket: one wide component, a few narrow ones, and links between them that no centre found."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for group in range(30):
+        words = list(base)
+        for k in rng.sample(range(40), 3 if group < 22 else 7):
+            words[k] = f"g{group}x{k}"
+        texts.append(" ".join(words))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(36)} for t in texts]
+    of = {i: i for i in range(30)}
+    find = lambda v: v if of[v] == v else find(of[v])
+    for i in range(30):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                of[find(i)] = find(j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {}
+    for i in range(30):
+        parts.setdefault(find(i), []).append(i)
+    want = {i: min(p) for p in parts.values() for i in p}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_one_id_on_many_near_copies(spark):
+    """Each text meets its own node alone, so the sets that are made are as many as the texts."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(7, " ".join([*words, f"end{k}"])) for k in range(200)] + [(3, "p q r s t u")], "doc_id long, text string")
+    found = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3)] + [(7, 7)] * 200
