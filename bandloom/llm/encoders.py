@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -19,8 +20,8 @@ import numpy as np
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Entries kept per worker (about 160 MB) before the cache starts anew.
 CACHE_ENTRIES = 800_000
-#: The same for ids, of which a plain word costs little to find again (about 80 MB).
-ID_ENTRIES = 400_000
+#: The same for ids, of which a plain word costs little to find again (about 100 MB).
+ID_ENTRIES = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -161,7 +162,9 @@ class _Ids(dict):
             text = key.decode("utf-8")
             found = self._model(text) if self._direct and _PLAIN.fullmatch(text) else self._whole(text)
         if len(self) >= ID_ENTRIES:
+            early = dict(islice(self.items(), ID_ENTRIES // 4))  # frequent words came first
             self.clear()
+            self.update(early)
         self[key] = found
         return found
 
