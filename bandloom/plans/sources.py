@@ -143,7 +143,7 @@ def iq_sidecar(spark, sf_dir):
     keys = F.when(k == 1, F.create_map(F.lit("core:sample_rate"), (F.col("user_id") * 1000).cast("double"), F.lit("x:center_frequency"), F.col("value") * 2e6)).otherwise(F.create_map(F.lit("core:sample_rate"), (F.col("user_id") * 1000).cast("double")))
     text = e.select("event_id", F.to_json(F.struct(keys.alias("global"), capture.alias("captures"))).alias("json"))
     found = IQ.described(text.select(F.col("event_id").cast("string").alias("stem"), "json"))
-    return found.select(F.col("stem").cast("long").alias("capture"), "sample_rate", F.nullif("center", F.lit(0.0)).alias("center"))
+    return found.select(F.col("stem").cast("long").alias("capture"), "sample_rate", F.when(F.col("tuned"), F.col("center")).alias("center"))
 
 
 @query(sql("SELECT sensor, count(*) AS n, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max, 0 AS out_of_order FROM v_summary GROUP BY sensor", "v_summary"))

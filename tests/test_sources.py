@@ -3,12 +3,14 @@
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import sigmf_capture
 
 from bandloom.operators import discovery, files, iq, pyramid, quantiles
+from bandloom.plans import catalogue
 from bandloom.sources import ranges
 
 
@@ -210,3 +212,20 @@ def test_spread_sample_of_slots_of_unequal_size(spark):
         found = pyramid.spread_sample(rows, ["sensor"], most=most).collect()
         assert sorted(r.t for r in found if r.sensor == "s") == want[:: max(1, len(want) // most)]
         assert [(r.t, r.slot, r.k) for r in found if r.sensor == "one"] == [(7.0, 0, 0)]
+
+
+def test_a_centre_of_zero_is_told_from_none(spark):
+    """A stated frequency of 0 stays 0 where nothing stated is null: the capture's, a global key's, neither."""
+    rows = [("a", '{"global": {}, "captures": [{"core:frequency": 0.0}]}'), ("b", '{"global": {"x:center_frequency": 0}, "captures": []}'), ("c", '{"global": {}, "captures": []}'), ("d", '{"global": {}, "captures": [{"core:frequency": "?"}]}'), ("e", '{"captures": [{"core:frequency": 5}]}')]
+    found = {r.stem: (r.center, r.tuned) for r in iq.described(spark.createDataFrame(rows, "stem string, json string")).collect()}
+    assert found == {"a": (0.0, True), "b": (0.0, True), "c": (0.0, False), "d": (0.0, False), "e": (5.0, True)}
+
+
+def test_iq_sidecar_with_values_of_zero(spark, tmp_path):
+    rows = [(k, 7, v) for k, v in enumerate([0.0, 0.0, 0.0, 1.5, None, 2.5])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = con.execute(catalogue.ORACLES["iq_sidecar"]).fetchall()
+    found = [tuple(r) for r in catalogue.QUERIES["iq_sidecar"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(want) and [r[2] for r in sorted(found)] == [0.0, 0.0, None, 1.5e6, None, None]
