@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,19 +74,21 @@ def stores(spark: SparkSession, path: str) -> DataFrame:
     return found.select("store", kind.alias("kind"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("fault", F.when(kind.isNull(), holds)).alias("fault"))
 
 
-def plan(found: DataFrame, installed: DataFrame) -> DataFrame:
+def plan(found: DataFrame, installed: DataFrame, mergeable: Sequence[str] = MERGEABLE) -> DataFrame:
     """What to do with each store ``found(store, kind, rows, fault)`` where ``installed(kind, place, rows)`` says what is there.
 
     ``install``: the largest of a kind of which nothing is there; ``merge``: any other, where the
-    kind can be; ``skip`` where it cannot; ``already``: what stands in the place itself; ``reject``:
-    what is no store. store, kind, rows, action, fault
+    kind can be and the store holds rows; ``skip`` where not; ``already``: what stands in a place
+    itself, of which a kind may have several; ``reject``: what is no store. store, kind, rows, action, fault
     """
-    place = installed.groupBy("kind").agg(F.max("place").alias("place"), F.sum("rows").alias("live"))
-    both = found.join(F.broadcast(place), "kind", "left").withColumn("already", F.coalesce(F.col("store") == F.col("place"), F.lit(False)))  # a row a kind
+    live = installed.groupBy("kind").agg(F.sum("rows").alias("live"))
+    places = installed.select("kind", F.col("place").alias("store"), F.lit(True).alias("stands")).distinct()
+    both = found.join(F.broadcast(live), "kind", "left").join(places, ["kind", "store"], "left")  # live: a row a kind
+    both = both.withColumn("already", F.coalesce("stands", F.lit(False)))
     order = F.row_number().over(W.partitionBy("kind", "already").orderBy(F.desc("rows"), "store"))
     later = (F.coalesce("live", F.lit(0)) > 0) | (F.col("i") > 1)
     action = (
         F.when(F.col("kind").isNull(), "reject").when(F.col("already"), "already").when(~later, "install")
-        .when(F.col("kind").isin(*MERGEABLE), "merge").otherwise("skip")
+        .when(F.col("kind").isin(*mergeable) & (F.col("rows") > 0), "merge").otherwise("skip")
     )
     return both.withColumn("i", order).select("store", "kind", "rows", action.alias("action"), "fault")

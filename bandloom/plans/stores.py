@@ -228,12 +228,13 @@ def merge_report(spark, sf_dir):
     return S.merge_units(p.filter(F.col("sensor").isin("click", "view", "error")), p.filter(F.col("sensor").isin("view", "signup") & (F.col("t") < V.T0 + 20_000)), "sensor")[1]
 
 
-@query("WITH f AS (SELECT event_type AS kind, 's' || (user_id % 4) AS store, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, store) AS k FROM f) SELECT kind, store, n, CASE WHEN k = 1 THEN 'install' ELSE 'skip' END AS action FROM r")
+@query("WITH f AS (SELECT event_type AS kind, user_id % 4 AS store, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, store) AS k FROM f) SELECT kind, store, n, CASE WHEN kind = 'error' THEN 'already' WHEN k = 1 THEN 'install' WHEN n > 0 AND kind <> 'view' THEN 'merge' ELSE 'skip' END AS action FROM r")
 def store_plan(spark, sf_dir):
-    """Prebuilt stores by kind, largest first; of kinds that cannot be merged one is installed."""
-    f = V.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), F.concat(F.lit("s"), F.col("user_id") % 4).alias("store")).agg(F.count("*").alias("rows"))
-    none = spark.createDataFrame([], "kind string, place string, rows long")
-    return plan(f.withColumn("fault", F.lit(None).cast("string")), none).select("kind", "store", F.col("rows").alias("n"), "action")
+    """Prebuilt stores by kind, largest first: the first is installed, others are merged where that is possible; one kind's stand in their places."""
+    f = V.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), (F.col("user_id") % 4).alias("store")).agg(F.count("*").alias("rows"))
+    there = f.filter("kind = 'error'").select("kind", F.col("store").alias("place"), "rows")
+    found = plan(f.withColumn("fault", F.lit(None).cast("string")), there, [s for s in V.SENSORS if s != "view"])
+    return found.select("kind", "store", F.col("rows").alias("n"), "action")
 
 
 @query(sql("SELECT sensor, n, sensor IN (SELECT sensor FROM v_psd WHERE t < 1704067200 + 300) AS kept FROM (SELECT sensor, count(*) AS n FROM v_summary GROUP BY sensor)", "v_summary", "v_psd"))

@@ -229,3 +229,12 @@ def test_iq_sidecar_with_values_of_zero(spark, tmp_path):
         want = con.execute(catalogue.ORACLES["iq_sidecar"]).fetchall()
     found = [tuple(r) for r in catalogue.QUERIES["iq_sidecar"](spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted(want) and [r[2] for r in sorted(found)] == [0.0, 0.0, None, 1.5e6, None, None]
+
+
+def test_plans_with_several_places_and_empty_stores(spark):
+    """Each of a kind's places is already there; a store without rows is not merged; the kinds that merge are given."""
+    rows = [("a", "k", 5), ("b", "k", 9), ("c", "k", 0), ("p", "live", 3), ("q", "live", 8), ("r", "live", 2), ("y", "only", 4), ("z", "only", 6)]
+    found = spark.createDataFrame([(*r, None) for r in rows], "store string, kind string, rows long, fault string")
+    there = spark.createDataFrame([("live", "p", 3), ("live", "q", 8)], "kind string, place string, rows long")
+    want = {"a": "merge", "b": "install", "c": "skip", "p": "already", "q": "already", "r": "merge", "y": "skip", "z": "install"}
+    assert {r.store: r.action for r in discovery.plan(found, there, ["k", "live"]).collect()} == want
