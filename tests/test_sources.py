@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from test_operators import sigmf_capture
 
 from bandloom.operators import discovery, files, iq, pyramid, quantiles
-from bandloom.plans import catalogue
-from bandloom.sources import ranges
+from bandloom.plans import catalogue, signals
+from bandloom.sources import ranges, views
 
 
 def frames_of(df):
@@ -238,3 +238,46 @@ def test_plans_with_several_places_and_empty_stores(spark):
     there = spark.createDataFrame([("live", "p", 3), ("live", "q", 8)], "kind string, place string, rows long")
     want = {"a": "merge", "b": "install", "c": "skip", "p": "already", "q": "already", "r": "merge", "y": "skip", "z": "install"}
     assert {r.store: r.action for r in discovery.plan(found, there, ["k", "live"]).collect()} == want
+
+
+def test_pieces_are_made_one_by_one(spark, tmp_path):
+    """Pieces come from rows in the task that writes them, and the captures' files are the samples in order."""
+    rows = spark.createDataFrame([(f"{tmp_path}/a/{k % 3}", 4 * (k // 3), k) for k in range(9)], "path string, at long, k int")
+    made = lambda batch: ((r["path"], r["at"], bytes([r["k"]]) * 4) for r in batch.to_pylist())
+    assert ranges.write_pieces(rows, made) == 9
+    assert [(tmp_path / "a" / str(n)).read_bytes() for n in range(3)] == [bytes(b for k in (n, n + 3, n + 6) for b in [k] * 4) for n in range(3)]
+    assert ranges.write_pieces(rows.limit(0), made) == 0
+
+
+def test_small_ranges_share_tasks(spark):
+    """Ranges of 64 KB are dealt to tasks by their volume, listings to no more tasks than are worth it."""
+    sound = spark.range(4_000).select("id", F.lit("x").alias("path"), F.lit("cf64_le").alias("datatype"), F.lit(1.0).alias("scale"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("samples"))
+    assert iq.read_slices(sound, 16, size=1 << 16).rdd.getNumPartitions() == 4
+    assert ranges.in_tasks(spark.range(100_000), 64).rdd.getNumPartitions() == 128
+
+
+def test_samples_are_dealt_by_their_number(spark, monkeypatch):
+    """More samples, more tasks: what one sorts does not grow."""
+    monkeypatch.setattr(views, "SAMPLES", 500)
+    where = "/root/testdata/sf0.001"
+    assert views.iq_tasks(spark, where) == 12
+    assert signals.spectra(spark, where).rdd.getNumPartitions() == 12
+    s, ranges_, tasks = signals.ranged_spectra(spark, where)
+    assert tasks == 1 and iq.quantization_range(s, 7).rdd.getNumPartitions() == 7 and iq.levels(s, ranges_, 8, 7).rdd.getNumPartitions() == 7
+
+
+def test_frames_of_odd_sizes(spark):
+    """Frames that lack samples or have too many are none, over many batches; nulls stay where they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [("a", k, float(k), -float(k)) for k in range(45)] + [("b", 0, 1.0, 1.0)] * 90 + [("b", k, None if k == 17 else 2.0, 3.0) for k in range(16, 32)] + [(None, k, 1.0, 1.0) for k in range(16)]
+        found = {(r.id, r.frame): (list(r.i), list(r.q)) for r in iq.frames(spark.createDataFrame(rows, "id string, sample long, i double, q double"), 16, 3).collect()}
+        assert sorted(found, key=str) == [(None, 0), ("a", 0), ("a", 1), ("b", 1)] or set(found) == {(None, 0), ("a", 0), ("a", 1), ("b", 1)}
+        assert found["a", 1] == ([float(k) for k in range(16, 32)], [-float(k) for k in range(16, 32)]) and found["b", 1][0] == [2.0, None] + [2.0] * 14
+        spectra = spark.createDataFrame([(k % 5, k // 5, [float((7 * k + j) % 23) for j in range(4)]) for k in range(5 * 300)], "id int, frame long, dbm array<double>")
+        for r in iq.quantization_range(spectra, 2).collect():
+            times = [max(0, f // 4 - -(-max(0, f - 31) // 4) + 1) for f in range(300)]
+            x = [float((7 * (5 * f + r.id) + j) % 23) for f in range(300) for j in range(4) for _ in range(times[f])]
+            assert (r.qmin, r.qmax) == pytest.approx((np.percentile(x, 0.1) - 6, np.percentile(x, 99.9) + 6))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
