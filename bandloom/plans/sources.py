@@ -12,7 +12,7 @@ from ..operators.store import write_sorted
 from ..sources import exports as X
 from ..sources import views as V
 from ..sources.places import shared_place
-from ..sources.ranges import write_pieces
+from ..sources.ranges import in_tasks, share, write_pieces
 from ..sources.views import sql
 from .registry import query
 
@@ -179,15 +179,20 @@ def smallest_units(spark, sf_dir):
     return FO.smallest_units(e.select(path.alias("path"), F.when(k % 31 != 0, k * 37 % 1009).alias("size")), 25).select("unit", "path", "size", "tier")
 
 
-def header_files(spark, sf_dir):
-    """The listed files, written: a header and two lines each."""
+def header_files(spark, sf_dir, wanted=None):
+    """The listed files, or those ``wanted``, written: a header and two lines each."""
     place = shared_place(spark, "headers")
-    listed = V.files(spark, sf_dir).groupBy("path", "name").agg(F.min("n_cols").alias("n_cols"), F.min("header").alias("header"))
+    tasks = share(V.table(spark, sf_dir, "events").count(), V.EVENTS)
+    files = V.files(spark, sf_dir) if wanted is None else V.files(spark, sf_dir).filter(wanted)
+    listed = files.repartition(tasks, "path", "name").groupBy("path", "name").agg(F.min("n_cols").alias("n_cols"), F.min("header").alias("header"))
     wide = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n_cols") - 2200), lambda i: F.concat(F.lit("b"), i)), ",")
     day_file = F.col("name").rlike(FO.PSD_NAME) | F.col("name").rlike(FO.PFP_NAME)
     content = F.concat(F.when(day_file, wide).otherwise(F.col("header")), F.lit("\n1\n2\n")).cast("binary")
-    write_pieces(listed.select(F.concat(F.lit(place + "/"), "path").alias("path"), F.lit(0).cast("long").alias("at"), content.alias("content")))
-    return listed.select(F.concat(F.lit(place + "/"), "path").alias("path"), "name"), place
+    pieces = listed.select(F.concat(F.lit(place + "/"), "path").alias("path"), "name", F.lit(0).cast("long").alias("at"), content.alias("content"))
+    pieces.write.parquet(f"{place}-listed")
+    pieces = spark.read.schema(pieces.schema).parquet(f"{place}-listed")
+    write_pieces(in_tasks(pieces, 4_096))
+    return pieces.select("path", "name"), place
 
 
 def _below(place):
@@ -205,7 +210,8 @@ def header_survey(spark, sf_dir):
 SELECT kind, sensor, stat, path, n_cols, n_cols = 51 AS ok FROM r WHERE k <= 2""", "v_files"))
 def preflight_headers(spark, sf_dir):
     """The geometry of the first two written files of each sensor and statistic, from their first lines."""
-    files, place = header_files(spark, sf_dir)
+    # other kinds have no geometry to check and are not opened, so only day files are written
+    files, place = header_files(spark, sf_dir, F.col("name").rlike(FO.PSD_NAME) | F.col("name").rlike(FO.PFP_NAME))
     named = FO.classify(files.withColumn("header", F.lit(None).cast("string"))).filter("kind in ('psd', 'pfp')")
     return FO.preflight(named.drop("header", "day", "name"), 51).withColumn("path", _below(place))
 
@@ -223,7 +229,8 @@ def _sized(text, k):
 CASE WHEN event_id % 3 = 0 THEN 'http://host/' || event_id || '.sha256' END AS checksum FROM events WHERE event_id % 5 <> 0""")
 def manifest_explode(spark, sf_dir):
     """Components of manifests in either wrapping, with their checksum sidecars; unsafe paths and entries without a URL go."""
-    e = V.table(spark, sf_dir, "events")
+    e = V.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    e = e.repartition(share(e.count(), V.EVENTS), "event_id")  # reading variants is work, and a small file is one task
     k = F.col("event_id")
     up = F.when(k % 10 == 0, F.concat(F.lit("../up/"), k)).otherwise(F.concat(F.lit("data//"), k, F.lit(":x")))
     path = F.when(k % 5 == 0, up).otherwise(F.concat(F.lit("data/"), "event_type", F.lit("/"), k, F.lit(".bin")))

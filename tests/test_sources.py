@@ -11,6 +11,7 @@ from test_operators import sigmf_capture
 
 from bandloom.operators import discovery, files, iq, pyramid, quantiles
 from bandloom.plans import catalogue, signals
+from bandloom.plans import sources as plans
 from bandloom.sources import ranges, views
 
 
@@ -281,3 +282,12 @@ def test_frames_of_odd_sizes(spark):
             assert (r.qmin, r.qmax) == pytest.approx((np.percentile(x, 0.1) - 6, np.percentile(x, 99.9) + 6))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_preflight_writes_day_files(spark):
+    """What has no geometry is not written; every listed day file is."""
+    where = "/root/testdata/sf0.001"
+    day = F.col("name").rlike(files.PSD_NAME) | F.col("name").rlike(files.PFP_NAME)
+    _, place = plans.header_files(spark, where, day)
+    want = {r.path for r in views.files(spark, where).filter(day).select("path").distinct().collect()}
+    assert {os.path.relpath(os.path.join(d, n), place) for d, _, names in os.walk(place) for n in names} == want
