@@ -179,7 +179,11 @@ def heads(spark, path: str, pattern: str = "*.csv") -> DataFrame:
 
 def undecided(files: DataFrame) -> DataFrame:
     """Of classified files those whose names do not decide: only their headers need to be read."""
-    return files.filter((F.col("kind") == "none") & F.endswith(F.lower("name"), F.lit(".csv")))
+    return files.filter(_open(F.col("kind"), F.col("name")))
+
+
+def _open(kind: Column, name: Column) -> Column:
+    return (kind == "none") & F.coalesce(F.endswith(F.lower(name), F.lit(".csv")), F.lit(False))
 
 
 def survey(files: DataFrame) -> DataFrame:
@@ -188,5 +192,6 @@ def survey(files: DataFrame) -> DataFrame:
     named = classify(files.select("path", "name").withColumn("header", F.lit(None).cast("string")))
     open_ = undecided(named).select("path", "name")
     read = open_.join(first_lines(open_), "path")
-    both = named.join(open_.select("path"), "path", "left_anti").withColumn("n_read", F.lit(None).cast("long")).unionByName(classify(read), allowMissingColumns=True)
+    decided = named.filter(~_open(F.col("kind"), F.col("name")) | F.col("path").isNull())
+    both = decided.withColumn("n_read", F.lit(None).cast("long")).unionByName(classify(read), allowMissingColumns=True)
     return both.select("path", "name", "kind", "day", "sensor", "stat", "n_read")
