@@ -151,18 +151,21 @@ def manifest(rows: DataFrame) -> DataFrame:
     """
     record = F.try_parse_json("json")
     listed = lambda v, key: F.try_variant_get(v, f"$.{key}", "array<variant>")
-    plain = listed(record, "components")
-    wrapped = F.flatten(F.filter(F.transform(listed(record, "ResultData"), lambda r: listed(r, "components")), lambda c: c.isNotNull()))
-    each = rows.select("id", F.explode(F.coalesce(plain, wrapped)).alias("c"))
-    url = _text(F.col("c"), "downloadURL")
-    last = F.try_url_decode(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1))
-    path = F.coalesce(F.nullif(_text(F.col("c"), "filepath"), F.lit("")), last)
-    kinds = F.try_variant_get("c", "$.@type", "array<string>")
-    found = each.select("id", path.alias("path"), url.alias("url"), size_of(F.col("c")).alias("size"), kinds.alias("types")).filter("url <> ''")
-    found = found.filter(safe_path(F.col("path")))
+    wrapped = lambda v: F.flatten(F.filter(F.transform(listed(v, "ResultData"), lambda r: listed(r, "components")), lambda c: c.isNotNull()))
+
+    def fields(c: Column) -> Column:
+        url = _text(c, "downloadURL")
+        last = F.try_url_decode(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1))
+        path = F.coalesce(F.nullif(_text(c, "filepath"), F.lit("")), last)
+        return F.struct(path.alias("path"), url.alias("url"), size_of(c).alias("size"), F.try_variant_get(c, "$.@type", "array<string>").alias("types"))
+
+    # a text is parsed once and a field read once: what comes out of inline is no expression that a filter repeats
+    each = F.flatten(F.transform(F.array(record), lambda v: F.transform(F.coalesce(listed(v, "components"), wrapped(v)), fields)))
+    found = rows.select("id", F.inline(each)).filter("url <> ''").filter(safe_path(F.col("path")))
     sidecar = F.endswith("path", F.lit(".sha256")) | F.coalesce(F.array_contains("types", "nrdp:ChecksumFile"), F.lit(False))
-    sums = found.filter(sidecar).groupBy("id", F.regexp_replace("path", r"\.sha256$", "").alias("path")).agg(F.min("url").alias("checksum"))
-    return found.filter(~sidecar).drop("types").join(sums, ["id", "path"], "left").select("id", "path", "url", "size", "checksum")
+    found = found.withColumn("sidecar", sidecar).withColumn("of", F.when(sidecar, F.regexp_replace("path", r"\.sha256$", "")).otherwise(F.col("path")))
+    checksum = F.when(F.col("id").isNotNull(), F.min(F.when(F.col("sidecar"), F.col("url"))).over(W.partitionBy("id", "of")))
+    return found.withColumn("checksum", checksum).filter("not sidecar").select("id", "path", "url", "size", "checksum")
 
 
 def heads(spark, path: str, pattern: str = "*.csv") -> DataFrame:

@@ -291,3 +291,12 @@ def test_preflight_writes_day_files(spark):
     _, place = plans.header_files(spark, where, day)
     want = {r.path for r in views.files(spark, where).filter(day).select("path").distinct().collect()}
     assert {os.path.relpath(os.path.join(d, n), place) for d, _, names in os.walk(place) for n in names} == want
+
+
+def test_manifests_are_parsed_once_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "EVENTS", 100)
+    found = catalogue.QUERIES["manifest_explode"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == 10 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    part = lambda path, url: f'{{"filepath": "{path}", "downloadURL": "{url}"}}'
+    rows = [(1, f'{{"components": [{part("a", "u")}, {part("a.sha256", "s2")}]}}'), (1, f'{{"components": [{part("a.sha256", "s1")}]}}'), (None, f'{{"components": [{part("a", "u")}, {part("a.sha256", "s")}]}}')]
+    assert sorted((r.id or 0, r.path, r.checksum) for r in files.manifest(spark.createDataFrame(rows, "id int, json string")).collect()) == [(0, "a", None), (1, "a", "s1")]
