@@ -300,3 +300,18 @@ def test_manifests_are_parsed_once_in_many_tasks(spark, monkeypatch):
     part = lambda path, url: f'{{"filepath": "{path}", "downloadURL": "{url}"}}'
     rows = [(1, f'{{"components": [{part("a", "u")}, {part("a.sha256", "s2")}]}}'), (1, f'{{"components": [{part("a.sha256", "s1")}]}}'), (None, f'{{"components": [{part("a", "u")}, {part("a.sha256", "s")}]}}')]
     assert sorted((r.id or 0, r.path, r.checksum) for r in files.manifest(spark.createDataFrame(rows, "id int, json string")).collect()) == [(0, "a", None), (1, "a", "s1")]
+
+
+def test_spectra_in_one_pass(spark, monkeypatch):
+    """Frames and transforms share one Python step, dealt by stretches of frames: as many tasks as asked, the same spectra."""
+    rng = np.random.default_rng(5)
+    rows = [(i, k, float(a), float(b)) for i in range(3) for k, (a, b) in enumerate(rng.normal(size=(16 * 90 + 5, 2)))]
+    samples = spark.createDataFrame(rows, "id int, sample long, i double, q double")
+    once = iq.spectra(samples, 16, 5)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and once.rdd.getNumPartitions() == 5
+    want = {(r.id, r.frame): list(r.dbm) for r in iq.stft(iq.frames(samples, 16, 5), 16).collect()}
+    assert {(r.id, r.frame): list(r.dbm) for r in once.collect()} == want and len(want) == 270
+    # what a task of the query holds is bounded by SAMPLES, not by the table
+    monkeypatch.setattr(views, "SAMPLES", 1_000)
+    plan = signals.spectra(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
