@@ -315,3 +315,28 @@ def test_spectra_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(views, "SAMPLES", 1_000)
     plan = signals.spectra(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def columns_by_hand(n, width, coarsest, seed):
+    rng = random.Random(seed)
+    levels = [[[rng.randrange(256) for _ in range(width)] for _ in range(n)]]
+    while len(levels[-1]) > coarsest:
+        last = levels[-1]
+        levels.append([[max(p) for p in zip(last[2 * k], last[2 * k + 1], strict=True)] for k in range(len(last) // 2)])
+    return levels
+
+
+def test_levels_come_from_the_level_below(spark):
+    """Every level against one built by hand, over batches of 13 rows; columns are not copied for each level."""
+    made = {i: columns_by_hand(n, 3, 8, n) for i, n in enumerate((1, 2, 7, 8, 9, 16, 17, 18, 35, 100, 257))}
+    rows = [(i, c, b) for i, levels in made.items() for c, b in enumerate(levels[0])]
+    random.Random(1).shuffle(rows)
+    columns = spark.createDataFrame(rows, "id int, col long, bins array<smallint>")
+    want = {(k, i, c): b for i, levels in made.items() for k, level in enumerate(levels) for c, b in enumerate(level)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        every = pyramid.column_levels(columns, 8, 3)
+        assert {(r.level, r.id, r.col): list(r.bins) for r in every.collect()} == want
+        assert "Generate explode" not in every._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
