@@ -340,3 +340,24 @@ def test_levels_come_from_the_level_below(spark):
         assert "Generate explode" not in every._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_display_scale_builds_the_coarsest_level_alone(spark, monkeypatch):
+    """The coarsest level, straight from the columns, is that of the pyramid; the query's scale sees no other, dealt to tasks."""
+    made = {i: columns_by_hand(n, 3, 8, n) for i, n in enumerate((1, 8, 9, 35, 100, 257))}
+    columns = spark.createDataFrame([(i, c, b) for i, levels in made.items() for c, b in enumerate(levels[0])], "id int, col long, bins array<smallint>")
+    want = {(len(levels) - 1, i, c): b for i, levels in made.items() for c, b in enumerate(levels[-1])}
+    last = pyramid.coarsest_level(columns, 8, 3)
+    assert {(r.level, r.id, r.col): list(r.bins) for r in last.collect()} == want
+    ranges_ = spark.createDataFrame([(i, -100.0 - i, -20.0 + i) for i in made], "id int, qmin double, qmax double")
+    scale = iq.display_scale(last, ranges_, tasks=7)
+    assert "RepartitionByExpression [id" in scale._jdf.queryExecution().optimizedPlan().toString()
+    for r in scale.collect():
+        x = [-100.0 - r.id + q / 255 * (80 + 2 * r.id) for b in made[r.id][-1] for q in b]
+        low, high = np.percentile(x, 2), np.percentile(x, 98)
+        assert (r.vmin, r.vmax) == pytest.approx((low, max(high, low + 6)), abs=0.051)
+    seen = []
+    own = iq.display_scale
+    monkeypatch.setattr(iq, "display_scale", lambda p, *a, **k: seen.append(p) or own(p, *a, **k))
+    signals.iq_display_scale(spark, "/root/testdata/sf0.001")
+    assert seen[0].select("id", "level").distinct().groupBy("id").count().agg(F.max("count")).first()[0] == 1
