@@ -12,7 +12,7 @@ from test_operators import sigmf_capture
 from bandloom.operators import discovery, files, iq, pyramid, quantiles
 from bandloom.plans import catalogue, signals
 from bandloom.plans import sources as plans
-from bandloom.sources import ranges, views
+from bandloom.sources import listing, ranges, views
 
 
 def frames_of(df):
@@ -361,3 +361,42 @@ def test_display_scale_builds_the_coarsest_level_alone(spark, monkeypatch):
     monkeypatch.setattr(iq, "display_scale", lambda p, *a, **k: seen.append(p) or own(p, *a, **k))
     signals.iq_display_scale(spark, "/root/testdata/sf0.001")
     assert seen[0].select("id", "level").distinct().groupBy("id").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_listing_in_tasks_equals_sparks(spark, tmp_path, monkeypatch):
+    """Names that Spark's readers pass over, odd ones, empty files, links, more names than a batch has; paths in every spelling."""
+    monkeypatch.setattr(listing, "NAMES", 3)
+    top = tmp_path / "all of it"
+    for name in ("a.npy", "b c/d é.npy", "b c/e%20f.npy", "b c/.h/x.npy", "_s/x.npy", "_s=1/x.npy", "_metadata/x.npy", "x._COPYING_/x.npy", "deep/er/and/deeper/x.npy", "deep/_x.npy", "deep/.x.npy", "deep/_k=2.npy", "deep/y._COPYING_", "deep/z.txt"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(name.encode())
+    (top / "deep/empty.npy").touch()
+    (top / "bare").mkdir()
+    (top / "link").symlink_to(top / "b c")
+    (top / "broken").symlink_to(top / "gone")
+    for k, path in enumerate((str(top), f"{top}/", f"file://{top}", f"file:{tmp_path}//all of it/deep/..", str(top / "bare"))):
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+        found = listing.files_below(spark, path, str(tmp_path / f"listed{k}"))
+        assert sorted(map(tuple, found.collect())) == sorted((r.path, r.length) for r in own.collect())
+        texts = listing.contents(spark, path, found, ".npy")
+        assert sorted((r.path, bytes(r.content)) for r in texts.collect()) == sorted((r.path, bytes(r.content)) for r in own.collect() if r.path.endswith(".npy"))
+    assert len(os.listdir(tmp_path / "listed0")) == 5
+    for path in (f"{top}/d*", str(top / "a.npy")):  # by Spark
+        found = listing.files_below(spark, path, str(tmp_path / "none"))
+        assert {r.path for r in found.collect()} and {r.path for r in listing.contents(spark, path, found, ".npy").collect()}
+    assert not (tmp_path / "none").exists()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        listing.files_below(spark, str(top / "gone"), str(tmp_path / "none"))
+
+
+def test_captures_are_not_listed_by_the_driver(spark, tmp_path):
+    """No relation of the catalogue holds the captures' files; ingest removes its listing."""
+    src, target = tmp_path / "in", str(tmp_path / "out")
+    for k in range(20):
+        (src / f"d{k % 3}").mkdir(parents=True, exist_ok=True)
+        sigmf_capture(src / f"d{k % 3}", f"c{k}", "cf32_le", np.arange(64, dtype="<c8").tobytes())
+        np.save(src / f"d{k % 3}" / f"a{k}.npy", np.arange(64) + 0j)
+    for rows, n in ((iq.catalogue(spark, str(src)), 20), (iq.arrays(spark, str(src)), 20), (iq.sound_captures(spark, str(src)), 40)):
+        assert rows.count() == n and not [f for f in rows.inputFiles() if f.endswith((".npy", ".sigmf-data", ".sigmf-meta"))]
+    states = iq.ingest(spark, str(src), target, "d", 16, array_rate=1.0).collect()
+    assert [r.state for r in states] == ["ingested"] * 40 and not os.listdir(f"{target}/listed")
